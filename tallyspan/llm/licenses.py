@@ -43,7 +43,6 @@ NOTICES = [
 RARE = 3
 #: Share of a notice's words that must be in place.
 COVER = 0.8
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass(frozen=True)
@@ -63,16 +62,19 @@ def templates() -> list[Template]:
     return out
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text: A-Z lower-cased, runs of anything but ASCII marks and blanks."""
-    cut = F.split(F.translate(text, _UPPER, _LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    return F.filter(cut, lambda w: w != "")
+def pieces(text: Column) -> Column:
+    """The words of a text, with an empty piece at either end where the text doesn't begin or end with a word.
+
+    Words are runs of anything but ASCII marks and blanks. Lower-casing reaches beyond A-Z, which no template can tell:
+    no letter outside ASCII becomes an ASCII letter of a template, and no word is cut or joined by it.
+    """
+    return F.split(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 def idf(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> dict[str, float]:
     """The IDF of the vocabulary's words over all documents."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    held = docs.select(F.array_intersect(words_of(text), F.array(*map(F.lit, vocabulary))).alias("w"))
+    held = docs.select(F.array_intersect(pieces(text), F.array(*map(F.lit, vocabulary))).alias("w"))
     counts = held.select(F.explode("w").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     found = {r["w"]: r["n"] for r in counts.collect()}
     total = docs.count()
@@ -89,20 +91,29 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rare = [sorted(range(len(t.words)), key=lambda i, t=t: (-weight[t.words[i]], i))[:RARE] for t in wanted]
     index = sorted({t.words[i] for t, at in zip(wanted, rare) for i in at})
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("scan_id"), words_of(text).alias("words"))
-    rows = rows.withColumn("hits", F.filter(F.transform("words", lambda w, i: F.when(w.isin(index), i)), lambda i: i.isNotNull()))
-    words, hits, n = F.col("words"), F.col("hits"), F.size("words")
+    rows = docs.select(F.col(id_col).alias("scan_id"), pieces(text).alias("cut"))
+    cut, none = F.col("cut"), F.array().cast("array<string>")
+    ends = (F.element_at(cut, 1) == "").cast("int") + ((F.size(cut) > 1) & (F.element_at(cut, -1) == "")).cast("int")
+    found = F.arrays_overlap(cut, F.array(*map(F.lit, index)))
+    rows = rows.select("scan_id", (F.size(cut) - ends).alias("n"), F.when(found, F.filter(cut, lambda w: w != "")).otherwise(none).alias("words"))
+    some = F.size("words") > 0
+    hit = F.filter(F.transform("words", lambda w, i: F.when(w.isin(index), i)), lambda i: i.isNotNull())
+    rows = rows.select("*", F.when(some, hit).otherwise(F.array().cast("array<int>")).alias("hits"))
+    words, hits, n = F.col("words"), F.col("hits"), F.col("n")
 
     def beginnings(t: Template, at: list[int]) -> Column:
         """Where at least two of the rare words stand in their relative positions, and the whole template fits."""
-        each = [F.transform(F.filter(hits, lambda i, j=j: F.get(words, i) == t.words[j]), lambda i, j=j: i - j) for j in at]
+
+        def posting(j: int) -> Column:
+            return F.transform(F.filter(hits, lambda i: F.get(words, i) == t.words[j]), lambda i: i - j)
+
         need = min(2, len(at))
 
         def aligned(s: Column) -> Column:
             votes = sum((F.when(F.get(words, s + j) == t.words[j], 1).otherwise(0) for j in at), F.lit(0))
             return (s >= 0) & (s + len(t.words) <= n) & (votes >= need)
 
-        return F.filter(F.array_distinct(F.concat(*each)), aligned)
+        return F.filter(F.array_distinct(F.concat(*map(posting, at))), aligned)
 
     def cover(t: Template, s: Column) -> Column:
         return sum((F.when(F.get(words, s + j) == w, 1.0).otherwise(0.0) for j, w in enumerate(t.words)), F.lit(0.0)) / len(t.words)
@@ -111,15 +122,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         a, k = t.key
         return F.array_join(F.slice(words, s + a + 1, F.lit(k)), " ") == " ".join(t.words[a : a + k])
 
-    base, more = [], []
-    for t, at in zip(wanted, rare):
-        found = F.filter(beginnings(t, at), lambda s, t=t: key_there(t, s))
+    def places(t: Template, at: list[int]) -> Column:
+        """The verified places of a template."""
+        found = F.filter(beginnings(t, at), lambda s: key_there(t, s))
         if t.base:
-            base.append(F.transform(found, lambda s, t=t: F.struct(F.lit(t.label).alias("label"), s.alias("at"))))
-        else:
-            seen = F.transform(found, lambda s, t=t: F.struct(F.lit(t.label).alias("label"), s.alias("at"), cover(t, s).alias("cover")))
-            more.append(F.filter(seen, lambda x: x["cover"] >= COVER))
-    some = F.size("hits") > 0
+            return F.transform(found, lambda s: F.struct(F.lit(t.label).alias("label"), s.alias("at")))
+        seen = F.transform(found, lambda s: F.struct(F.lit(t.label).alias("label"), s.alias("at"), cover(t, s).alias("cover")))
+        return F.filter(seen, lambda x: x["cover"] >= COVER)
+
+    base = [places(t, at) for t, at in zip(wanted, rare) if t.base]
+    more = [places(t, at) for t, at in zip(wanted, rare) if not t.base]
     return rows.select(
         F.col("scan_id").alias(id_col),
         n.cast("long").alias("n_words"),

@@ -156,8 +156,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     found = cut(met.applyInPandas(_compare(threshold), "id long, n long, other long"))
     labels = components(found.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")))
     linked = found.groupBy("id").agg(F.sum("n").alias("n"))
-    head = groups.join(linked, "id", "left").join(labels, groups["id"] == labels["node"], "left")
-    head = head.select(F.col("label").alias("g_label"), F.col("v").alias("g_v"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce(labels["label"], groups["id"]).alias("component_id"))
+    head = groups.withColumnsRenamed({"label": "g_label", "v": "g_v"}).join(linked, "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    head = head.select("g_label", "g_v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "id").alias("component_id"))
     done = good.join(head, (F.col("label") == F.col("g_label")) & (F.col("v") == F.col("g_v"))).select("id", "n_links", "component_id")
     alone = rows.where("v is null or id is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = done.union(alone)
