@@ -25,7 +25,7 @@ from .bpe_tables import NONE, PATTERN, PairTable, rank_pairs, read_ranks, splitt
 from .shingles import blocks
 
 #: Pre-tokens that a worker remembers; the memory is emptied when they are more.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 #: Leaves of the trees that are worked on at once.
 LEAVES = 1 << 17
 _POS = 32

@@ -26,7 +26,7 @@ from .bpe_tables import NONE, PATTERN, PairTable, read_merges, splitter
 from .shingles import blocks
 
 #: Pre-tokens that a worker remembers; the memory is emptied when they are more.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 #: Symbols that are merged at once.
 SYMBOLS = 1 << 20
 
