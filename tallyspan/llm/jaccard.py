@@ -6,9 +6,10 @@
    pairs at once, so a hot signature costs the shuffle one row a task. Holders of a signature are paired with its
    smallest holder only, never all with all.
 3. Pairs are verified on their whole texts, and verified links are closed into groups.
-4. A bucket is finished once its members are in one group. In the others, members of different groups are compared
-   in blocks of bounded size: sizes and profiles rule most pairs out, the rest is verified exactly. So no link between
-   different groups is lost, and pairs inside a group are never listed.
+4. A bucket is finished once its members are in one group. The others are gathered by their smallest holder, their lead,
+   so that documents which share many buckets meet once. There, members of different groups are compared in blocks of
+   bounded size: sizes and profiles rule most pairs out, the rest is verified on whole texts, and only links are
+   emitted. So no link between different groups is lost, and pairs inside a group are never looked at.
 
 Defined results: a null or blank text has size 0 and is its own component; rows with a null id have a null component;
 rows that repeat an id are expected to repeat its text and get the same component; extra columns are ignored.
@@ -29,8 +30,8 @@ from .shingles import PartEnum, blocks, fingerprint, profile, shingle_sets
 
 #: (signature, id) rows that a signing task holds before it emits them.
 HELD = 1 << 20
-#: Most members of a bucket that meet in one block.
-BLOCK = 256
+#: Members of a lead that one block aims at.
+BLOCK = 128
 
 
 def _measure(size: int):
@@ -125,62 +126,68 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, percent), "a long, b long").distinct()
 
 
-def _across(percent: int):
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        key = np.stack([t[c].to_numpy() for c in ("sig", "low", "high")])
-        ids, comp, n, block = (t[c].to_numpy() for c in ("id", "label", "n", "block"))
-        cells = np.frombuffer(b"".join(t["profile"].to_pylist()), dtype=np.uint8).reshape(-1, 64).astype(np.int16)
-        out_a, out_b = [], []
-        i = np.arange(len(ids))
-        for shift in range(1, len(ids)):
-            i = i[i + shift < len(ids)]
-            i = i[(key[:, i] == key[:, i + shift]).all(axis=0)]
-            if not len(i):
-                break
-            j = i + shift
-            ok = (comp[i] != comp[j]) & ((key[1, i] == key[2, i]) | (block[i] != block[j]))
-            ok &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-            x, y = i[ok], j[ok]
-            total = n[x] + n[y]
+def _within(size: int, percent: int):
+    """Links between members of different groups, in units (lead, low, high) that follow each other."""
+
+    def links(unit: dict[str, list]) -> list[tuple[int, int]]:
+        ids, texts = unit["id"], unit["text"]
+        sets = [s for a, b in blocks(texts) for s in shingle_sets(texts[a:b], size)]
+        cells = profile(sets).astype(np.int16)
+        n, comp, block = (np.array(x, dtype=np.int64) for x in ([len(s) for s in sets], unit["label"], unit["block"]))
+        apart = unit["low"][0] != unit["high"][0]
+        out = []
+        for i in range(len(ids) - 1):
+            j = np.arange(i + 1, len(ids))
+            ok = (comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
+            j = j[ok & (block[j] != block[i])] if apart else j[ok]
+            total = n[j] + n[i]
             most = total - 2 * -(-percent * total // (100 + percent))
-            near = np.abs(cells[x] - cells[y]).sum(axis=1) <= most
-            out_a.append(np.maximum(ids[x[near]], ids[y[near]]))
-            out_b.append(np.minimum(ids[x[near]], ids[y[near]]))
-        a, b = (np.concatenate([*z, np.zeros(0, dtype=np.int64)]) for z in (out_a, out_b))
-        both = np.unique(np.stack([a, b]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+            for k in j[np.abs(cells[j] - cells[i]).sum(axis=1) <= most].tolist():
+                same = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                if 100 * same >= percent * (n[i] + n[k] - same):
+                    out.append((max(ids[i], ids[k]), min(ids[i], ids[k])))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
+        kept: dict[str, list] = {}
+
+        def done(unit: dict[str, list]) -> pa.RecordBatch:
+            found = links(unit)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([kept, t]).combine_chunks() if kept is not None else t
-            if not len(t):
+            if not len(batch):
                 continue
-            key = np.stack([t[c].to_numpy() for c in ("sig", "low", "high")])
-            last = int((key == key[:, -1:]).all(axis=0).argmax())
-            if last:
-                yield pairs(t.slice(0, last).combine_chunks())
-            kept = t.slice(last)
-        if kept is not None:
-            yield pairs(kept.combine_chunks())
+            key = np.stack([batch[c].to_numpy() for c in ("lead", "low", "high")])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), len(batch)]
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                part = batch.slice(x, y - x).to_pydict()
+                if kept and all(kept[c][0] == part[c][0] for c in ("lead", "low", "high")):
+                    kept = {c: kept[c] + part[c] for c in kept}
+                else:
+                    if kept:
+                        yield done(kept)
+                    kept = part
+        if kept:
+            yield done(kept)
 
     return run
 
 
-def across(buckets: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
-    """Pairs of bucket members in different groups that sizes and profiles do not rule out.
+def across(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Similar pairs (a, b) of members of one lead in different groups.
 
-    buckets: (sig, id, label), each row once. A bucket of m members is dealt into ceil(m / BLOCK) blocks, and every
-    pair of blocks is a unit of at most about 2 * BLOCK rows.
+    members: (lead, id, label), each row once. The m members of a lead are dealt into ceil(m / BLOCK) blocks, and every
+    pair of blocks is a unit of at most about 2 * BLOCK rows. Leads with two members are left out: that pair was verified.
     """
-    counts = buckets.groupBy("sig").agg((F.ceil(F.count("*") / BLOCK)).cast("int").alias("parts"))
-    rows = buckets.join(counts, "sig").join(sized.select("id", "n", "profile"), "id")
+    counts = members.groupBy("lead").agg(F.count("*").alias("m")).where("m > 2").select("lead", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
+    rows = cut(members.join(counts, "lead"))
+    texts = keep_likely(docs, "id", rows.select("id"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "label", "n", "block", "profile")
-    rows = rows.repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high")
-    return rows.mapInArrow(_across(percent), "a long, b long").distinct()
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(texts, "id")
+    rows = rows.select("lead", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "label", "block", "text")
+    rows = rows.repartition("lead", "low", "high").sortWithinPartitions("lead", "low", "high")
+    return rows.mapInArrow(_within(size, percent), "a long, b long").distinct()
 
 
 def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,10 +212,10 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     groups = components(links)
     missed = held.join(links, ["a", "b"], "left_anti").select("sig").distinct()
     open_ = held.join(missed, "sig", "left_semi")
-    members = open_.select("sig", F.col("a").alias("id")).union(open_.select("sig", F.col("b").alias("id"))).distinct()
-    members = members.join(groups, members.id == groups.node, "left").select("sig", "id", F.coalesce("label", "id").alias("label"))
-    rest = cut(across(members, sized.select("id", "n", "profile").distinct(), percent).join(held.select("a", "b"), ["a", "b"], "left_anti"))
-    more = cut(verified(rest, with_id, size, percent))
+    open_ = open_.join(open_.groupBy("sig").agg(F.min("b").alias("lead")), "sig")
+    members = open_.select("lead", F.col("a").alias("id")).union(open_.select("lead", F.col("b").alias("id"))).distinct()
+    members = members.join(groups, members.id == groups.node, "left").select("lead", "id", F.coalesce("label", "id").alias("label"))
+    more = cut(across(members, with_id, size, percent))
     if not more.isEmpty():
         groups = components(links.union(more))
 
