@@ -21,8 +21,8 @@ def first_within(rows: DataFrame, keys: list[str], time: str, order: str, ttl_se
         return F.struct(F.when(new, x["t"].cast("timestamp")).otherwise(acc["last"]).alias("last"), F.when(new, F.concat(acc["kept"], own)).otherwise(acc["kept"]).alias("kept"))
 
     grouped = rows.groupBy(*keys).agg(items.alias("items"))
-    kept = grouped.select(*keys, F.explode(F.aggregate("items", empty, step)["kept"]).alias("k"))
-    return kept.select(*keys, F.col("k.t").alias(time), F.col("k.o").alias(order))
+    kept = grouped.select(*keys, F.explode(F.aggregate("items", empty, step)["kept"]).alias("kept_row"))
+    return kept.select(*keys, F.col("kept_row.t").alias(time), F.col("kept_row.o").alias(order))
 
 
 def stream_first_within(rows: DataFrame, keys: list[str], time: str, ttl: str) -> DataFrame:
