@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_tables import NONE, PATTERN, PairTable, rank_pairs, read_ranks, splitter
+from .common import slices
 from .shingles import blocks
 
 #: Pre-tokens that a worker remembers; the memory is emptied when they are more.
@@ -143,10 +144,9 @@ def encode_column(text: Column, path: str, pattern: str = PATTERN) -> Column:
     @F.arrow_udf("binary")
     def encode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = ranks(path, pattern)
-        for part in parts:
+        for part in slices(parts):
             texts = [t or "" for t in part.to_pylist()]
-            out = [pa.array(table.encode(texts[a:b]), pa.binary()) for a, b in blocks(texts)]
-            yield pa.concat_arrays(out) if out else pa.array([], pa.binary())
+            yield pa.array([ids for a, b in blocks(texts) for ids in table.encode(texts[a:b])], pa.binary())
 
     return encode(text)
 
@@ -157,7 +157,7 @@ def decode_column(ids: Column, path: str) -> Column:
     @F.arrow_udf("binary")
     def decode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = ranks(path)
-        for part in parts:
+        for part in slices(parts):
             yield pa.array([None if x is None else table.decode(x) for x in part.to_pylist()], pa.binary())
 
     return decode(ids)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +65,9 @@ def components(links: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
         if step.where("label <> was").isEmpty():
             return labels
+
+
+def slices(parts: Iterator[pa.Array], rows: int = 256) -> Iterator[pa.Array]:
+    """The arrays of an Arrow UDF in pieces of a few rows, so that Python objects of whole batches never stand side by side."""
+    for part in parts:
+        yield from (part.slice(a, rows) for a in range(0, max(1, len(part)), rows))

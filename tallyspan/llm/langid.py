@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .shingles import U, blocks, mix
 
 #: Families of some languages by ISO code; a language that isn't listed is a family of its own.
@@ -153,7 +154,7 @@ def predict_column(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("lang_pred string, score double")
     def predict(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for part in parts:
+        for part in slices(parts):
             texts = [t or "" for t in part.to_pylist()]
             lang, score = [], [np.zeros(0)]
             for a, b in blocks(texts, 1 << 17):

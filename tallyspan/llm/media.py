@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Fixed values of the track that is written.
 WIDTH, HEIGHT, TICKS, KEY_EVERY, CHUNK = 16, 12, 25, 12, 8
 FRAME = WIDTH * HEIGHT
@@ -136,7 +138,7 @@ def pack_column(text: Column) -> Column:
 
     @F.arrow_udf("binary")
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for part in parts:
+        for part in slices(parts):
             yield pa.array([pack((t or "").encode("utf-8", "surrogatepass")) for t in part.to_pylist()], pa.binary())
 
     return run(text)
@@ -147,7 +149,7 @@ def index_column(media: Column) -> Column:
 
     @F.arrow_udf("codec string, time_scale long, duration long, samples long, key_frames array<struct<first: long, end: long>>")
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for part in parts:
+        for part in slices(parts):
             found = [None if m is None else Index(m) for m in part.to_pylist()]
             rows = [x or Index(b"") for x in found]
             first = [x.starts[x.keys] for x in rows]
@@ -166,7 +168,7 @@ def read_column(media: Column) -> Column:
 
     @F.arrow_udf("binary")
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for part in parts:
+        for part in slices(parts):
             yield pa.array([None if m is None else Index(m).read(m) for m in part.to_pylist()], pa.binary())
 
     return run(media)

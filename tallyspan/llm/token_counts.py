@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_tables import NONE, PATTERN, PairTable, read_merges, splitter
+from .common import slices
 from .shingles import blocks
 
 #: Pre-tokens that a worker remembers; the memory is emptied when they are more.
@@ -106,7 +107,7 @@ def count_column(text: Column, path: str) -> Column:
     @F.arrow_udf("long")
     def count(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = merges(path)
-        for part in parts:
+        for part in slices(parts):
             texts = [t or "" for t in part.to_pylist()]
             yield pa.array([n for a, b in blocks(texts) for n in table.count(texts[a:b])], pa.int64())
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_likely
+from .common import keep_likely, slices
 from .shingles import U, blocks, mix
 
 SIZES = (4, 5)
@@ -167,7 +167,7 @@ def score_column(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("double")
     def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for part in parts:
+        for part in slices(parts):
             texts = part.to_pylist()
             found = [model.scores(texts[a:b]) for a, b in blocks(texts, 1 << 17)]
             yield pa.array(np.concatenate([*found, np.zeros(0)]))
