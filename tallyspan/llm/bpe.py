@@ -164,15 +164,14 @@ def decode_column(ids: Column, path: str) -> Column:
 
 
 def ids_of(packed: Column) -> Column:
-    """array<long>: the ids in a packed binary, read on the JVM."""
-    digits = F.hex(packed)
+    """array<long>: the ids in a packed binary; null stays null."""
 
-    def one(i: Column) -> Column:
-        p = [F.substring(digits, i * 8 + 2 * b + 1, F.lit(2)) for b in (3, 2, 1, 0)]
-        return F.conv(F.concat(*p), 16, 10).cast("long")
+    @F.arrow_udf("array<long>")
+    def unpack(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in slices(parts):
+            yield pa.array([None if x is None else np.frombuffer(x, dtype="<u4").astype(np.int64) for x in part.to_pylist()], pa.list_(pa.int64()))
 
-    n = (F.octet_length(packed) / 4).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<long>"))
+    return unpack(packed)
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
