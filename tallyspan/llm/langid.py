@@ -35,11 +35,12 @@ FAMILIES = {
 }
 CELLS = 1 << 12
 _BASE = U(0x9FB21C651E98DF25)
+_LETTER = regex.compile(r"\p{L}")
 _GAP = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def vectors(texts: list[str]) -> np.ndarray:
-    """One row of length 1 for each text, or of zeros without a letter. Long texts are summed over parts."""
+    """One row of length 1 for each text. Long texts are summed over parts."""
     out = np.zeros((len(texts), CELLS), dtype=np.float32)
     spans = [(i, a) for i, t in enumerate(texts) for a in range(0, max(1, len(t)), 1 << 17)]
     parts = [texts[i][max(0, a - 2) : a + (1 << 17)].lower() for i, a in spans]
@@ -86,7 +87,7 @@ class Model:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         x = vectors(texts)
-        some = np.flatnonzero(x.any(axis=1)) if self.families else np.zeros(0, dtype=np.int64)
+        some = np.array([i for i, t in enumerate(texts) if self.families and _LETTER.search(t)], dtype=np.int64)
         lang, score = ["und"] * len(texts), np.zeros(len(texts))
         if not len(some):
             return lang, score
