@@ -2,9 +2,11 @@
 
 Equal vectors of a label are grouped first and stand for their group. Centres are fitted by spherical k-means on a hash-chosen
 sample of at most ``SAMPLE`` vectors. A vector's home is the cell of its most similar centre. Similar vectors can have
-different homes: if y lies within distance d = sqrt(2 - 2 * threshold) of x and has home c, then
-x . (u_home - u_c) <= d * |u_home - u_c|. So x also visits every cell c that meets this, and all its links are
-found among the homes of the cells it visits; each link counts once for x, as y has one home.
+different homes: if y lies within angle t of x, where cos t = threshold, and has home c, then y . (u_c - u_home) >= 0, so
+x . (u_home - u_c) <= sin t * |u_home - u_c|. So x also visits every cell c that meets this, and all its links are
+found among the homes of the cells it visits; each link counts once for x, as y has one home. How many cells that
+are depends on the vectors: few where they cluster, most where they lie evenly in many dimensions. As only equal
+labels compare, the number of cells follows the largest label, so that visits stay few against a cell's rows.
 
 A cell's homes are dealt into blocks of at most about ``BLOCK`` rows and its visitors into blocks as well; each pair of
 blocks is one product of bounded size. From every product only the number of links of each visitor and a spanning
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import components, cut
 
-#: Vectors that centres are fitted on, vectors a cell aims at, most cells, and rows of a block.
-SAMPLE, CELL, CELLS, BLOCK = 10_000, 500, 512, 512
+#: Vectors that centres are fitted on, vectors of one label that a cell aims at, fewest and most cells, and rows of a block.
+SAMPLE, CELL, LEAST_CELLS, CELLS, BLOCK = 10_000, 1024, 8, 512, 1024
 
 
 def fit_centres(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -56,7 +58,7 @@ def _unit(vectors: list[bytes]) -> np.ndarray:
 
 def _assign(centres: dict[int, np.ndarray], threshold: float):
     """Home and visited cells of each vector."""
-    reach = (2 - 2 * threshold) ** 0.5 + 1e-9
+    reach = (1 - threshold**2) ** 0.5 + 1e-9 if threshold > 0 else 3.0
     apart = {d: np.linalg.norm(c[:, None, :] - c[None, :, :], axis=2) for d, c in centres.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,24 +78,23 @@ def _assign(centres: dict[int, np.ndarray], threshold: float):
     return run
 
 
-def _forest(linked: np.ndarray, visitors: np.ndarray, homes: np.ndarray) -> np.ndarray:
-    """Links (a, b) that connect what the matrix of links connects."""
-    left = set(range(len(visitors)))
-    free = np.ones(len(homes), bool)
-    out = []
-    while left:
-        todo = [left.pop()]
+def _forest(linked: np.ndarray, visitors: np.ndarray, homes: np.ndarray) -> list[tuple[int, int]]:
+    """Links (visitor, home) that connect what the matrix of links connects."""
+    left, free, out = linked.any(axis=1), linked.any(axis=0), []
+    for start in np.flatnonzero(left):
+        todo = [start] if left[start] else []
+        left[start] = False
         while todo:
             i = todo.pop()
-            for j in np.flatnonzero(linked[i] & free).tolist():
-                free[j] = False
+            fresh = np.flatnonzero(linked[i] & free)
+            free[fresh] = False
+            for j in fresh:
                 out.append((visitors[i], homes[j]))
-                for m in np.flatnonzero(linked[:, j]).tolist():
-                    if m in left:
-                        left.discard(m)
-                        out.append((visitors[m], homes[j]))
-                        todo.append(m)
-    return np.array([(a, b) for a, b in out if a != b], dtype=np.int64).reshape(-1, 2)
+                more = np.flatnonzero(linked[:, j] & left)
+                left[more] = False
+                out += [(visitors[m], homes[j]) for m in more]
+                todo += more.tolist()
+    return out
 
 
 def _compare(threshold: float):
@@ -103,12 +104,12 @@ def _compare(threshold: float):
         if not len(home) or not len(guest):
             return pd.DataFrame({"id": [], "n": [], "other": []}, dtype="int64")
         x, y = (np.frombuffer(b"".join(p["vector"]), dtype="<f8").reshape(len(p), -1) for p in (guest, home))
-        linked = (x @ y.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)) >= threshold
+        dot = x @ y.T
+        dot /= np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1))
         a, b = guest["id"].to_numpy(), home["id"].to_numpy()
-        linked |= a[:, None] == b[None, :]
-        others = linked & (a[:, None] != b[None, :])
-        n = others @ home["copies"].to_numpy()
-        pairs = _forest(linked, a, b) if others.any() else np.zeros((0, 2), dtype=np.int64)
+        linked = (dot >= threshold) & (a[:, None] != b[None, :])
+        n = linked @ home["copies"].to_numpy()
+        pairs = np.array(_forest(linked, a, b), dtype=np.int64).reshape(-1, 2)
         some = n > 0
         return pd.DataFrame({"id": np.concatenate([a[some], pairs[:, 0]]), "n": np.concatenate([n[some], np.zeros(len(pairs), dtype=np.int64)]), "other": np.concatenate([a[some], pairs[:, 1]])})
 
@@ -135,10 +136,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
 
     packed = groups.select("id", "copies", "label", "v").mapInArrow(bytes_of, "id long, copies long, label string, dim int, vector binary")
     total = groups.count()
+    largest = groups.groupBy("label", F.size("v")).count().agg(F.max("count")).first()[0] or 0
+    k = min(CELLS, max(LEAST_CELLS, -(-largest // CELL)))
     draw = F.pmod(F.xxhash64("id", F.lit(31)), F.lit(1 << 30)) / float(1 << 30)
     sample = packed.where(draw < min(1.0, SAMPLE / max(1, total))).select("dim", "vector").collect()
     sample.sort(key=lambda r: bytes(r["vector"]))
-    centres = {d: fit_centres(_unit([r["vector"] for r in sample if r["dim"] == d]), min(CELLS, -(-total // CELL))) for d in {r["dim"] for r in sample}}
+    centres = {d: fit_centres(_unit([r["vector"] for r in sample if r["dim"] == d]), k) for d in {r["dim"] for r in sample}}
 
     placed = packed.mapInArrow(_assign(centres, threshold), "id long, copies long, label string, dim int, vector binary, home int, cells array<int>")
     placed = cut(placed)
