@@ -67,7 +67,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def slices(parts: Iterator[pa.Array], rows: int = 256) -> Iterator[pa.Array]:
-    """The arrays of an Arrow UDF in pieces of a few rows, so that Python objects of whole batches never stand side by side."""
+def slices[T: (pa.Array, pa.RecordBatch)](parts: Iterator[T], rows: int = 256) -> Iterator[T]:
+    """The arrays or batches of an Arrow function in pieces of a few rows, so that Python objects of whole batches never stand side by side."""
     for part in parts:
         yield from (part.slice(a, rows) for a in range(0, max(1, len(part)), rows))

@@ -25,18 +25,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import components, cut, keep_likely
+from .common import components, cut, keep_likely, slices
 from .shingles import PartEnum, blocks, fingerprint, profile, shingle_sets
 
 #: (signature, id) rows that a signing task holds before it emits them.
 HELD = 1 << 20
+#: Rows of an Arrow batch whose texts stand as Python strings at once.
+ROWS = 512
 #: Members of a lead that one block aims at.
 BLOCK = 128
 
 
 def _measure(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             texts, ids = batch["text"].to_pylist(), batch["id"]
             for a, b in blocks(texts):
                 sets = shingle_sets(texts[a:b], size)
@@ -70,7 +72,7 @@ def _sign(size: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme, seen, sigs, ids, held = PartEnum(percent), set(), [], [], 0
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             texts, own = batch["text"].to_pylist(), batch["id"].to_numpy(zero_copy_only=False)
             for a, b in blocks(texts):
                 sets = shingle_sets(texts[a:b], size)
@@ -98,7 +100,7 @@ def _sign(size: int, percent: int):
 
 def _verify(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
             ta, tb = batch["text_a"].to_pylist(), batch["text_b"].to_pylist()
             for lo, hi in blocks([(x or "") + (y or "") for x, y in zip(ta, tb)], 1 << 22):
