@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 from math import isqrt
 
 import pandas as pd
@@ -50,3 +51,25 @@ def wilson_mantissa(k: Column, n: Column, upper: Column) -> Column:
 
 def value_state(n: Column, least: int = LEAST_N) -> Column:
     return F.when(n == 0, "zero-denominator").when(n < least, "insufficient-evidence").otherwise("published")
+
+
+def to_fixed(x: float, places: int = PLACES) -> int:
+    """The exact value of a binary float times 10 ** places, rounded half up."""
+    return int(Decimal(x).scaleb(places).to_integral_value(ROUND_HALF_UP))
+
+
+@F.pandas_udf(LongType())
+def _to_fixed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for part in parts:
+        yield pd.Series([None if x is None or pd.isna(x) else to_fixed(x) for x in part], dtype="Int64")
+
+
+def legacy_rate(k: Column, n: Column, upper: Column, z: float = 1.96) -> tuple[Column, Column]:
+    """(point, bound) as older reports round them: binary floats first, then decimal places; null for n = 0."""
+    n, z = F.nullif(n, F.lit(0)).cast("double"), F.lit(z)
+    p = k.cast("double") / n
+    scale = F.lit(1.0) + (z * z) / n
+    centre = (p + (z * z) / (F.lit(2.0) * n)) / scale
+    spread = (z / scale) * F.sqrt((p * (F.lit(1.0) - p)) / n + (z * z) / (F.lit(4.0) * n * n))
+    end = F.when(upper, centre + spread).otherwise(centre - spread)
+    return _to_fixed(p), _to_fixed(F.when(n.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), end))))

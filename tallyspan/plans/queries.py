@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import identity, ranges
-from ..operators import accounting, compare, generate, matching, verify
+from ..functions import exchange, identity, ranges, stats
+from ..operators import accounting, compare, evidence, generate, matching, outputs, verify
 from ..sources import population
 from . import sql
 
@@ -449,6 +449,93 @@ def document_level_flags(spark: SparkSession, d: str) -> DataFrame:
     flagged = docs.select("doc_id", F.lower("text").contains("idiot").alias("hit"))
     return labels.join(flagged, "doc_id").groupBy(F.col("quality").cast("long").alias("quality"), F.col("toxic").cast("long").alias("toxic")).agg(F.count("*").alias("n"), F.count_if("hit").alias("flagged"))
 
+#: Plain SQL that Spark and DuckDB read alike.
+_DOCUMENTS = """SELECT c_custkey, CASE c_custkey % 12 WHEN 0 THEN '{"id":' || c_custkey || ',"name":["' || c_name || '"]}' WHEN 1 THEN '{"id":1,"id":' || c_custkey || '}'
+  WHEN 2 THEN '{"id":null}' WHEN 3 THEN '{"id":1.5}' WHEN 4 THEN '{"id":9007199254740992}' WHEN 5 THEN repeat('[', 33) || repeat(']', 33) WHEN 6 THEN '{"id":1} 2'
+  WHEN 7 THEN '{"a":[{"DetectorState":1}]}' WHEN 8 THEN '' WHEN 9 THEN '[-0]' WHEN 10 THEN repeat('[', 32) || repeat(']', 32) ELSE '{"name":"score"}' END AS document FROM customer"""
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 12 WHEN 1 THEN 'duplicate-key' WHEN 2 THEN 'null-not-allowed' WHEN 3 THEN 'float-not-allowed' WHEN 4 THEN 'integer-out-of-range'
+  WHEN 5 THEN 'nesting-too-deep' WHEN 6 THEN 'malformed-json' WHEN 8 THEN 'malformed-json' WHEN 9 THEN 'float-not-allowed' END AS defect, c_custkey % 12 = 7 AS banned FROM customer""")
+def strict_json_defects(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.sql(_DOCUMENTS.replace("FROM customer", f"FROM parquet.`{d}/customer.parquet`"))
+    return rows.select("c_custkey", exchange.strict_json(F.col("document")).alias("found")).select("c_custkey", "found.defect", "found.banned")
+
+
+_ENVELOPES = """SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN '[1]' WHEN 1 THEN '{"id":1}' WHEN 2 THEN '{"schema":"x"}' WHEN 3 THEN '{"schema":"manifest","schemaVersion":"1.0"}'
+  WHEN 4 THEN '{"schema":"corpus","schemaVersion":"1.00"}' WHEN 5 THEN '{"schema":"corpus","schemaVersion":"2.0"}' WHEN 6 THEN '{"schema":"corpus","schemaVersion":"1.3"}'
+  ELSE '{"schema":"corpus","schemaVersion":"1.1"}' END AS document FROM customer"""
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'not-an-object' WHEN 1 THEN 'missing-schema' WHEN 2 THEN 'unknown-schema' WHEN 3 THEN 'schema-kind-mismatch'
+  WHEN 4 THEN 'malformed-schema-version' WHEN 5 THEN 'incompatible-schema-major' WHEN 6 THEN 'schema-minor-too-new' END AS defect FROM customer""")
+def envelope_defects(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.sql(_ENVELOPES.replace("FROM customer", f"FROM parquet.`{d}/customer.parquet`"))
+    return rows.select("c_custkey", exchange.envelope_error(F.col("document"), "corpus", ["corpus", "manifest"], 1, 1).alias("defect"))
+
+
+@query("""SELECT c_custkey, o AS occurrence_id, c_custkey % 6 NOT IN (3, 4) AS context_preserved, CASE c_custkey % 6 WHEN 0 THEN 'removed' WHEN 3 THEN 'collateral-change'
+  WHEN 2 THEN CASE o WHEN 0 THEN 'removed' ELSE 'residual-present' END WHEN 5 THEN CASE o WHEN 0 THEN 'residual-present' ELSE 'removed' END ELSE 'residual-present' END AS verdict
+FROM customer, (VALUES (0), (1)) v(o)""")
+def sanitized_outputs(spark: SparkSession, d: str) -> DataFrame:
+    name, phone = F.col("c_name"), F.concat(F.lit("+1-"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))
+    rows = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name")
+
+    def said(a, b, end="; Ende", start="Kunde "):
+        return F.concat(F.lit(start), a, F.lit(", Größe 12, Tel. "), b, F.lit(end))
+
+    kind, mask = F.col("c_custkey") % 6, F.lit("[X]")
+    sanitized = F.when(kind == 0, said(mask, F.lit(""))).when(kind == 1, said(name, phone)).when(kind == 2, said(mask, phone)).when(kind == 3, said(mask, mask, "; ENDE"))
+    sanitized = sanitized.when(kind == 4, said(name, phone, start="An Kunde ")).otherwise(said(F.concat(F.lit("<"), name, F.lit(">")), mask))
+    texts = rows.select("c_custkey", said(name, phone).alias("text"), sanitized.alias("sanitized"))
+    n, gap = F.octet_length(name), F.octet_length(F.lit("Kunde , Größe 12, Tel. "))
+    spans = F.array(F.struct(F.lit(0).alias("o"), F.lit(6).alias("s"), (n + 6).alias("e")), F.struct(F.lit(1).alias("o"), (n + gap).alias("s"), (n + gap + F.octet_length(phone)).alias("e")))
+    held = rows.select("c_custkey", F.explode(spans).alias("x")).select("c_custkey", F.col("x.o").alias("occurrence_id"), F.col("x.s").alias("start"), F.col("x.e").alias("end"))
+    return outputs.verify_outputs(held, texts, "c_custkey").drop("refusal")
+
+
+_FIXTURES = """SELECT case_id, variant_id, occurrence_id, exp_start AS start, type_expectation AS identity, CASE WHEN variant_id % 9 = 0 THEN 'context-dependent' WHEN sensitivity = 'not-established' THEN 'sensitive'
+  ELSE sensitivity END AS sensitivity, variant_id % 4 = 0 AS in_context, variant_id % 5 = 0 AS phi FROM expectations"""
+_LOSSES = """SELECT loss, count(*) AS n FROM (SELECT unnest([CASE WHEN weak AND identity <> 'not-established' THEN 'identity-weakened-no-span' END,
+  CASE WHEN weak AND sensitivity <> 'context-dependent' THEN 'sensitivity-weakened-no-span' END{more}]) AS loss FROM fixtures) WHERE loss IS NOT NULL GROUP BY loss"""
+_PLAIN = """, CASE WHEN sensitivity = 'context-dependent' AND start IS NOT NULL THEN 'sensitivity-context-flattened' END, CASE WHEN in_context THEN 'contexts-not-carried' END, CASE WHEN phi THEN 'phi-domain-not-carried' END"""
+_WEAK = {
+    False: f"SELECT *, start IS NULL AS weak FROM ({_FIXTURES})",
+    True: f"SELECT *, start IS NULL AND (identity = 'valid' OR sensitivity = 'sensitive' OR (identity <> 'invalid' AND sensitivity <> 'non-sensitive')) AS weak FROM ({_FIXTURES})",
+}
+
+
+def _fixtures(spark: SparkSession, d: str) -> DataFrame:
+    rows = Of(spark, d).expectations.withColumn("start", F.col("exp_start")).withColumn("identity", F.col("type_expectation"))
+    told = F.when(F.col("variant_id") % 9 == 0, "context-dependent").when(F.col("sensitivity") == "not-established", "sensitive").otherwise(F.col("sensitivity"))
+    rows = rows.select("case_id", "variant_id", "occurrence_id", "start", "identity", told.alias("sensitivity"))
+    domains = F.when(F.col("variant_id") % 5 == 0, F.array(F.lit("phi"), F.lit("pii"))).otherwise(F.array(F.lit("pii")))
+    return rows.withColumn("contexts", F.when(F.col("variant_id") % 4 == 0, F.array(F.lit("form")))).withColumn("domains", domains)
+
+
+@query(sql.ask("SELECT method, located, count(*) AS cases, CAST(sum(n) AS BIGINT) AS variants FROM (SELECT case_id, located, count(*) AS n, CASE WHEN NOT located THEN 'schema-only' WHEN bool_and(sensitivity = 'non-sensitive') THEN 'pii-benign' ELSE 'type-validation' END AS method FROM (SELECT *, start IS NOT NULL AS located FROM fixtures) GROUP BY case_id, located) GROUP BY ALL", (("fixtures", _FIXTURES),)))
+def evidence_case_methods(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.case_methods(_fixtures(spark, d)).groupBy("method", "located").agg(F.count("*").alias("cases"), F.sum("variants").alias("variants"))
+
+
+@query(sql.ask(_LOSSES.format(more=_PLAIN), (("fixtures", _WEAK[False]),)))
+def evidence_losses(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.loss_counts(evidence.mapped(_fixtures(spark, d)))
+
+
+@query(sql.ask(_LOSSES.format(more=""), (("fixtures", _WEAK[True]),)))
+def evidence_losses_with_semantics(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.loss_counts(evidence.mapped(_fixtures(spark, d), semantics=True))
+
+
+@query()
+def legacy_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Without SQL: decimal rounding of a binary float's exact value is held against rational numbers in the tests."""
+    rows = legacy_metric_counts(spark, d)
+    point, bound = stats.legacy_rate(F.col("any_pass"), F.col("cases"), F.lit(False))
+    return rows.select("scanner_id", "method", "cases", point.alias("point"), bound.alias("bound"))
+
+
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return metric_published(spark, d).where("stratum = 'overall'")
