@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import identity
+from ..functions import identity, ranges
 
 #: Frames of this engine's own sample plan.
 FRAMES = [("frame-0", "Employee number: {{candidate}}.", "sensitive"), ("frame-1", "Größe {{candidate}} cm", "neutral"), ("frame-2", "sample {{candidate}}", "non-sensitive")]
+#: The largest text, and the most families that compete with one.
+MAX_TEXT_BYTES, MAX_COMPETING = 1024 * 1024, 32
 FAMILIES = ["card", "email", "phone", "ssn"]
 
 
@@ -20,18 +22,44 @@ def frames(cases: DataFrame, plan: list[tuple[str, str, str]] = FRAMES) -> DataF
     return rows.select("case_id", "f.slot", "f.context_class", text.alias("text"), start.alias("start")).where("text is not null")
 
 
-def refusal() -> Column:
-    """The first reason to refuse a case, or null."""
+def refusal(max_text_bytes: int = MAX_TEXT_BYTES) -> Column:
+    """The first reason to refuse a case, or null, from the case's own columns.
+
+    Every case: text, exp_start, exp_end, family (scoped, see ``identity``), jurisdiction, method and evidence_method, null without
+    evidence. Then pii-benign reads sensitivity, benign_class, evidence_classes and checks; jurisdiction-collision competing, cross_family
+    and checks. Checks are structs of validator, version and expected state, held against the candidate.
+    """
+    text, start, end = F.col("text"), F.col("exp_start"), F.col("exp_end")
+    defect = ranges.range_error(text, start, end)
+    value = F.when(defect.isNull(), F.decode(F.substring(F.encode(text, "UTF-8"), (start + 1).cast("int"), (end - start).cast("int")), "UTF-8"))
+    see = lambda c: identity.observe(c["validator"], c["version"], value)
+    failed = F.get(F.filter("checks", lambda c: see(c) != c["expected"]), F.lit(0))
+    check = F.when(failed.isNotNull(), F.when(see(failed) == "unavailable", "validator-check-unavailable").otherwise("validator-check-mismatch"))
+    evidence = F.col("evidence_method").isNotNull()
+    rivals = F.array_distinct(F.array_compact(F.coalesce("competing", F.array().cast("array<string>"))))
+    benign = F.when(~F.col("sensitivity").eqNullSafe("non-sensitive"), "sensitivity-role").when(
+        evidence & ~F.coalesce(F.array_contains("evidence_classes", F.col("benign_class")), F.lit(False)), "evidence-role-mismatch"
+    )
+    collision = (
+        F.when(F.size(rivals) == 0, "competing-set-empty")
+        .when(F.array_contains(rivals, F.col("family")) | (F.size(rivals) > MAX_COMPETING), "invalid-collision")
+        .when(F.col("cross_family") & (F.coalesce(F.size("checks"), F.lit(0)) < 1 + F.size(rivals)), "missing-evidence-checks")
+    )
     return (
-        F.when(F.col("case_id") % 31 == 0, "text-too-large")
-        .when(F.col("exp_start").isNull(), "range-invalid")
-        .when((F.col("method") == "jurisdiction-collision") & (F.col("case_id") % 2 == 0), "competing-set-empty")
-        .when((F.col("method") == "pii-benign") & (F.col("sensitivity") != "non-sensitive"), "sensitivity-role")
+        F.when(F.octet_length(text) > max_text_bytes, "text-too-large")
+        .when(text.isNull() | start.isNull() | end.isNull() | (start < 0) | defect.isin("inverted", "empty"), "range-invalid")
+        .when(defect == "too-large", "range-offset-too-large")
+        .when(defect == "out-of-bounds", "range-out-of-bounds")
+        .when(defect == "not-a-boundary", "range-not-on-char-boundary")
+        .when(~identity.scope_agrees(F.col("family"), F.col("jurisdiction")), "family-scope-mismatch")
+        .when(evidence & (F.col("evidence_method") != F.col("method")), "evidence-role-mismatch")
+        .when(F.col("method") == "jurisdiction-collision", F.coalesce(collision, check))
+        .when(F.col("method") == "pii-benign", F.coalesce(benign, check))
     )
 
 
-def guarded(cases: DataFrame) -> DataFrame:
-    return cases.withColumn("reason", refusal())
+def guarded(cases: DataFrame, max_text_bytes: int = MAX_TEXT_BYTES) -> DataFrame:
+    return cases.withColumn("reason", refusal(max_text_bytes))
 
 
 def collisions(cases: DataFrame) -> DataFrame:

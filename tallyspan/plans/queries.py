@@ -357,19 +357,35 @@ def variant_ids(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", identity.variant_id(k, F.lit("authored")).alias("variant_id"), F.hex(identity.preimage(k, F.lit("authored"))).alias("preimage"))
 
 
+#: Bytes that a text may have in the generation queries.
+_LIMIT = 4096
 _GEN = """SELECT case_id, method, CASE WHEN case_id % 31 = 0 THEN 'text-too-large' WHEN exp_start IS NULL THEN 'range-invalid' WHEN method = 'jurisdiction-collision' AND case_id % 2 = 0 THEN 'competing-set-empty'
   WHEN method = 'pii-benign' AND sensitivity <> 'non-sensitive' THEN 'sensitivity-role' END AS reason FROM expectations WHERE occurrence_id = 0 AND variant_id % 10 = 0"""
 
 
+def _authored(spark: SparkSession, d: str) -> DataFrame:
+    """One case a row with what the guards read. The faults are in the rows: texts over the limit and empty competing sets."""
+    rows = Of(spark, d).expectations.where("occurrence_id = 0 and variant_id % 10 = 0")
+    none = F.lit(None).cast("string")
+    others = F.array_remove(F.array(*map(F.lit, generate.FAMILIES)), F.col("family"))
+    scope = F.coalesce(F.lower("jurisdiction"), F.lit("global"))
+    scoped = lambda name: F.concat(F.lit("pii:"), scope, F.lit(":"), name)
+    rivals = F.when(F.col("case_id") % 2 == 0, F.array().cast("array<string>")).otherwise(F.transform(others, scoped))
+    rows = rows.withColumn("competing", F.when(F.col("method") == "jurisdiction-collision", rivals)).withColumn("family", scoped(F.col("family")))
+    rows = rows.withColumn("text", F.repeat(F.lit("x"), F.when(F.col("case_id") % 31 == 0, _LIMIT + 1).otherwise(64)))
+    rows = rows.withColumn("evidence_method", none).withColumn("benign_class", none).withColumn("evidence_classes", F.lit(None).cast("array<string>"))
+    return rows.withColumn("cross_family", F.lit(False)).withColumn("checks", F.lit(None).cast("array<struct<validator:string,version:int,expected:string>>"))
+
+
 @query(sql.ask("SELECT method, count(*) AS given, count(*) FILTER (reason IS NULL) AS generated, count(reason) AS refused FROM g GROUP BY ALL", (("g", _GEN),)))
 def generation_report(spark: SparkSession, d: str) -> DataFrame:
-    rows = generate.guarded(Of(spark, d).expectations.where("occurrence_id = 0 and variant_id % 10 = 0"))
+    rows = generate.guarded(_authored(spark, d), _LIMIT)
     return rows.groupBy("method").agg(F.count("*").alias("given"), F.count_if(F.col("reason").isNull()).alias("generated"), F.count("reason").alias("refused"))
 
 
 @query(sql.ask("SELECT case_id, method, reason FROM g WHERE reason IS NOT NULL", (("g", _GEN),)))
 def generation_refusals(spark: SparkSession, d: str) -> DataFrame:
-    return generate.guarded(Of(spark, d).expectations.where("occurrence_id = 0 and variant_id % 10 = 0")).where("reason is not null").select("case_id", "method", "reason")
+    return generate.guarded(_authored(spark, d), _LIMIT).where("reason is not null").select("case_id", "method", "reason")
 
 
 @query(sql.ask("SELECT case_id, family AS target, array_to_string([x FOR x IN ['card', 'email', 'phone', 'ssn'] IF x <> family], ',') AS competing FROM cases WHERE method = 'jurisdiction-collision'", ()))
