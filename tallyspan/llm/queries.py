@@ -52,7 +52,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"))
+    """Without rate and copies, which its SQL doesn't have; ``op6_mixing_copies`` gives them."""
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("rate", "copies")
+
+
+def op6_mixing_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", *mixing.MARGINS, "tokens", "target", "rate", "copies")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +98,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_ngram_jaccard_join, op3_language_id, op4_embedding_near_dedup, op5_sharding, op6_mixing, op7_byte_bpe, op8_media_columns, op9_license_scans, op10_token_counts]
+    found = [op1_toxicity, op2_ngram_jaccard_join, op3_language_id, op4_embedding_near_dedup, op5_sharding, op6_mixing, op6_mixing_copies, op7_byte_bpe, op8_media_columns, op9_license_scans, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
@@ -128,4 +133,4 @@ FROM v LEFT JOIN n ON vec_id = n.a LEFT JOIN m ON vec_id = m.a"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": JACCARD_SQL, "op4_embedding_near_dedup": EMBEDDING_SQL, "op6_mixing": mixing.oracle()}
+    return {"op2_ngram_jaccard_join": JACCARD_SQL, "op4_embedding_near_dedup": EMBEDDING_SQL, "op6_mixing": mixing.oracle(), "op6_mixing_copies": mixing.copies_oracle()}
