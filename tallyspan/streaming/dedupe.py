@@ -1,30 +1,85 @@
-"""Delivery de-duplication: a delivery is kept if no kept one of the same key lies within the time to live before it.
+"""Delivery de-duplication: a delivery is kept if no kept one of the same key lies less than the time to live before it.
 
-A duplicate doesn't refresh the timer, so the rule runs along each key's deliveries in order. The batch form folds a key's sorted
-times on the JVM; the streaming form keeps one time per key in state, which the watermark clears.
+A duplicate doesn't refresh the timer, so the rule runs along each key's deliveries in order. A delivery that comes at least the time
+to live after the one before it is new whatever was kept, so keys are split there first. The batch form then streams sorted rows and
+carries one time; the streaming form keeps each key's kept times in state until the watermark has passed their time to live.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+
+def _segments(rows: DataFrame, keys: list[str], ttl: int) -> DataFrame:
+    """rows with dd_group, which tells keys apart and parts of a key with a gap of ``ttl`` between them.
+
+    Spans of ``ttl`` have no such gap inside, so the first and last time of each span tell where the gaps are.
+    """
+    rows = rows.withColumn("dd_key", F.to_json(F.struct(*keys))).withColumn("dd_span", F.floor(F.col("dd_us") / F.lit(max(ttl, 1))))
+    spans = rows.groupBy("dd_key", "dd_span").agg(F.min("dd_us").alias("first"), F.max("dd_us").alias("last"))
+    order = W.partitionBy("dd_key").orderBy("dd_span")
+    spans = spans.withColumn("gap", F.coalesce((F.col("first") - F.lag("last").over(order) >= ttl).cast("int"), F.lit(1)))
+    spans = spans.select(F.col("dd_key").alias("dd_k"), F.col("dd_span").alias("dd_s"), F.sum("gap").over(order).alias("dd_part"))
+    found = rows.join(spans, (F.col("dd_key") == F.col("dd_k")) & F.col("dd_span").eqNullSafe(F.col("dd_s")))
+    return found.withColumn("dd_group", F.concat_ws("|", F.col("dd_part").cast("string"), "dd_key")).drop("dd_key", "dd_span", "dd_k", "dd_s", "dd_part")
 
 
 def first_within(rows: DataFrame, keys: list[str], time: str, order: str, ttl_seconds: int) -> DataFrame:
-    """The kept rows (keys, time, order) of a batch table."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(order).alias("o"))))
-    empty = F.struct(F.lit(None).cast("timestamp").alias("last"), F.array().cast(f"array<struct<t:timestamp,o:{dict(rows.dtypes)[order]}>>").alias("kept"))
+    """The kept rows (keys, time, order) of a batch table. Rows without a time are all kept."""
+    ttl = ttl_seconds * 1_000_000
+    rows = rows.select(*keys, F.col(time).cast("timestamp").alias(time), order).withColumn("dd_us", F.unix_micros(time))
+    parts = _segments(rows, keys, ttl).repartition("dd_group").sortWithinPartitions("dd_group", "dd_us", order)
 
-    def step(acc, x):
-        new = acc["last"].isNull() | (x["t"].cast("timestamp") > acc["last"] + F.make_dt_interval(secs=F.lit(ttl_seconds)))
-        own = F.array(F.struct(x["t"].cast("timestamp").alias("t"), x["o"].alias("o")))
-        return F.struct(F.when(new, x["t"].cast("timestamp")).otherwise(acc["last"]).alias("last"), F.when(new, F.concat(acc["kept"], own)).otherwise(acc["kept"]).alias("kept"))
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last = None, None
+        for batch in batches:
+            new = []
+            for g, t in zip(batch.column("dd_group").to_pylist(), batch.column("dd_us").to_pylist()):
+                if g != group:
+                    group, last = g, None
+                new.append(t is None or last is None or t - last >= ttl)
+                last = t if new[-1] else last
+            yield batch.filter(pa.array(new, pa.bool_()))
 
-    grouped = rows.groupBy(*keys).agg(items.alias("items"))
-    kept = grouped.select(*keys, F.explode(F.aggregate("items", empty, step)["kept"]).alias("kept_row"))
-    return kept.select(*keys, F.col("kept_row.t").alias(time), F.col("kept_row.o").alias(order))
+    return parts.mapInArrow(walk, parts.schema).select(*keys, time, order)
 
 
 def stream_first_within(rows: DataFrame, keys: list[str], time: str, ttl: str) -> DataFrame:
-    """The streaming form; rows later than the watermark are dropped with the state."""
-    return rows.withWatermark(time, ttl).dropDuplicatesWithinWatermark(keys)
+    """The streaming form; rows later than the watermark are dropped with the state.
+
+    Within a micro-batch a key's rows, which must fit a Python worker, are taken by time. A kept row can't be taken back, so a late row is also a duplicate of one that
+    was kept less than the time to live after it.
+    """
+    us = rows.sparkSession.sql(f"SELECT unix_micros(timestamp_micros(0) + INTERVAL '{ttl}')").first()[0]
+    names = rows.columns
+
+    def walk(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = list(state.get[0]) if state.exists else []
+        batch = pd.concat(list(parts)).sort_values("dd_us", kind="stable")
+        new = []
+        for t in batch["dd_us"]:
+            near = kept[-1:] if kept and t >= kept[-1] else kept
+            new.append(all(abs(t - k) >= us for k in near))
+            if new[-1]:
+                kept = sorted([*kept, int(t)])
+        now = state.getCurrentWatermarkMs()
+        kept = [k for k in kept if k + us > now * 1000]
+        if kept:
+            state.update((kept,))
+            state.setTimeoutTimestamp(max(now + 1, (kept[-1] + us) // 1000 + 1))
+        elif state.exists:
+            state.remove()
+        yield batch[new][names]
+
+    marked = rows.withWatermark(time, ttl).withColumn("dd_us", F.unix_micros(F.col(time).cast("timestamp"))).where("dd_us is not null")
+    return marked.groupBy(*keys).applyInPandasWithState(walk, rows.schema, "kept array<long>", "append", GroupStateTimeout.EventTimeTimeout)
