@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The largest offset that an exchange format may hold.
@@ -66,3 +66,22 @@ def byte_of_utf16(text: Column, units: Column) -> Column:
     inside = (units * 2 < F.octet_length(wide)) & lead.between(0xDC, 0xDF)
     part = F.decode(F.substring(wide, F.lit(1), (units * 2).cast("int")), "UTF-16BE")
     return F.when((units * 2 <= F.octet_length(wide)) & ~inside, F.octet_length(part)).cast("long")
+
+
+def every_match(rows: DataFrame, text: str, pattern: str) -> DataFrame:
+    """rows with start, end_ and token of each match of a pattern: byte offsets, from the lengths of what lies before.
+
+    The text is the parts between matches and the matches in turn, so a running sum of their lengths places each.
+    """
+    runs = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = rows.withColumn("runs", runs).where(F.size("runs") > 0).withColumn("parts", F.split(text, pattern, -1))
+    size = lambda c: F.octet_length(c).cast("long")
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end_:bigint,token:string>>").alias("spans"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + size(x["parts"])
+        one = F.struct(start.alias("start"), (start + size(x["runs"])).alias("end_"), x["runs"].alias("token"))
+        return F.struct(one["end_"].alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans"))
+
+    pairs = F.filter(F.arrays_zip("parts", "runs"), lambda x: x["runs"].isNotNull())
+    return found.withColumn("span", F.explode(F.aggregate(pairs, zero, step)["spans"])).select(*rows.columns, "span.start", "span.end_", "span.token")

@@ -409,6 +409,26 @@ def range_validation(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", defect.alias("defect")).where("defect is not null and defect <> 'not-a-boundary'")
 
 
+@query("""SELECT doc_id, CAST(strlen(array_to_string(parts[1:i], '')) + strlen(array_to_string(runs[1:i - 1], '')) AS BIGINT) AS start,
+  CAST(strlen(array_to_string(parts[1:i], '')) + strlen(array_to_string(runs[1:i], '')) AS BIGINT) AS end_, runs[i] AS token
+FROM (SELECT *, unnest(range(1, len(runs) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]{3,}') AS runs, regexp_split_to_array(text, '[0-9]{3,}') AS parts FROM documents))""")
+def byte_ranges_every_run(spark: SparkSession, d: str) -> DataFrame:
+    """Every digit run of each text; ``byte_ranges_documents`` has the first, as its SQL says."""
+    rows = spark.read.parquet(f"{d}/documents.parquet")
+    return ranges.every_match(rows.select("doc_id", "text"), "text", "[0-9]{3,}").select("doc_id", "start", "end_", "token")
+
+
+_AT = "(CASE WHEN {0} < strlen(text) THEN ('0x' || substr(hex(encode(text)), CAST(2 * {0} + 1 AS BIGINT), 2))::INT & 192 ELSE 0 END) = 128"
+
+
+@query(f"""SELECT doc_id, CASE WHEN s > e THEN 'inverted' WHEN s = e THEN 'empty' WHEN e > strlen(text) THEN 'out-of-bounds' WHEN {_AT.format("s")} OR {_AT.format("e")} THEN 'not-a-boundary' END AS defect
+FROM (SELECT doc_id, text, doc_id % 50 AS s, doc_id % 37 + 10 AS e FROM documents) WHERE defect IS NOT NULL""")
+def range_defects(spark: SparkSession, d: str) -> DataFrame:
+    """Every defect; ``range_validation`` lacks not-a-boundary, which its SQL doesn't know."""
+    defect = ranges.range_error(F.col("text"), F.col("doc_id") % 50, F.col("doc_id") % 37 + 10)
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", defect.alias("defect")).where("defect is not null")
+
+
 @query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS utf8, CAST(length(text) + length(regexp_replace(text, '[\\x{0}-\\x{FFFF}]', '', 'g')) AS BIGINT) AS utf16, CAST(length(text) AS BIGINT) AS points FROM documents")
 def utf16_lengths(spark: SparkSession, d: str) -> DataFrame:
     utf8, utf16, points = ranges.unit_lengths(F.col("text"))
