@@ -46,3 +46,34 @@ def changed(stored: DataFrame, recomputed: DataFrame, keys: list[str], value: st
     """(keys, stored, recomputed) where the two differ or one is absent."""
     a, b = stored.withColumnRenamed(value, "stored"), recomputed.withColumnRenamed(value, "recomputed")
     return a.join(b, keys, "full").where(~F.col("stored").eqNullSafe(F.col("recomputed")))
+
+
+#: References of an evidence snapshot: (table, its column, one id or an array of ids; the table whose ids it names).
+REFERENCES = [
+    ("claims", "source", "sources"),
+    ("cases", "kind", "kinds"),
+    ("cases", "jurisdiction", "jurisdictions"),
+    ("cases", "contexts", "contexts"),
+    ("cases", "sources", "sources"),
+    ("cases", "claims", "claims"),
+    ("cases", "related", "cases"),
+    ("cases", "events", "events"),
+    ("rules", "cases", "cases"),
+    ("skips", "case", "cases"),
+    ("skips", "rule", "rules"),
+]
+
+
+def unresolved(tables: dict[str, DataFrame], references: list[tuple[str, str, str]] = REFERENCES) -> DataFrame:
+    """(owner, id, field, target): references to an id that the table they name doesn't have; each table has a column id."""
+    found = []
+    for owner, field, to in references:
+        rows = tables[owner]
+        many = dict(rows.dtypes)[field].startswith("array")
+        rows = rows.select("id", (F.explode(field) if many else F.col(field)).alias("target")).withColumn("target", F.col("target").cast("string"))
+        ids = tables[to].select(F.col("id").cast("string").alias("target"))
+        found.append(rows.join(ids, "target", "left_anti").select(F.lit(owner).alias("owner"), F.col("id").cast("string").alias("id"), F.lit(field).alias("field"), "target"))
+    out = found[0]
+    for rows in found[1:]:
+        out = out.union(rows)
+    return out

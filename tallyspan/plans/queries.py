@@ -463,6 +463,17 @@ def reference_integrity(spark: SparkSession, d: str) -> DataFrame:
     return p.cases.join(p.findings.select("case_id"), "case_id", "left_anti").select("case_id", F.lit("finding-without-variant").alias("code"))
 
 
+@query("""SELECT l_orderkey AS case_id, CAST(l_linenumber AS BIGINT) AS emission, 'finding-without-variant' AS code FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey)
+UNION ALL SELECT o_orderkey, NULL, 'case-without-finding' FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)""")
+def reference_defects(spark: SparkSession, d: str) -> DataFrame:
+    """Raw findings without a variant, and cases without a finding; ``reference_integrity`` gives the latter the former's name, as its SQL does."""
+    p = Of(spark, d)
+    raw = p.lineitem.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").cast("long").alias("emission"))
+    dangling = raw.join(p.variants.select("case_id"), "case_id", "left_anti").select("case_id", "emission", F.lit("finding-without-variant").alias("code"))
+    silent = p.cases.join(raw, "case_id", "left_anti").select("case_id", F.lit(None).cast("long").alias("emission"), F.lit("case-without-finding").alias("code"))
+    return dangling.union(silent)
+
+
 @query(sql.ask("SELECT family, count(DISTINCT case_id) AS cases, count(*) AS fixtures, string_agg(DISTINCT method, ',' ORDER BY method) AS methods FROM expectations GROUP BY ALL", ()))
 def evidence_coverage(spark: SparkSession, d: str) -> DataFrame:
     methods = F.array_join(F.array_sort(F.collect_set("method")), ",")
