@@ -1,18 +1,19 @@
 """N-gram Jaccard join: exact similarity links and groups of word-shingle sets, found by PartEnum signatures.
 
-1. One pass gives each document's set size, fingerprint and profile (``shingles.profile``); equal sets are grouped by
-   fingerprint and only the smallest id of a group goes on.
-2. A second pass signs the sets. A task emits a signature once; further holders in the same task become candidate
-   pairs at once, so a hot signature costs the shuffle one row a task. Holders of a signature are paired with its
-   smallest holder only, never all with all.
-3. Pairs are verified on their whole texts, and verified links are closed into groups.
-4. A bucket is finished once its members are in one group. The others are gathered by their smallest holder, their lead,
-   so that documents which share many buckets meet once. There, members of different groups are compared in blocks of
-   bounded size: sizes and profiles rule most pairs out, the rest is verified on whole texts, and only links are
-   emitted. So no link between different groups is lost, and pairs inside a group are never looked at.
+1. One pass gives each document's set size, fingerprint, parity sketch and the number of signature ranges in which it must
+   agree with any similar set (``shingles``). Equal sets are grouped by fingerprint, with the smallest id as their head.
+2. A second pass signs the sets. A task emits a signature once, with its further holders beside it, so a hot signature
+   costs the shuffle few rows a task. Holders of a signature are paired with its smallest holder only, never all with all.
+3. Sizes and sketches rule most of these pairs out; the heads of the rest are verified on the hashes of all shingles of their whole texts,
+   and verified links are closed into groups.
+4. A link that is missing joins two groups, so its ends share signatures whose holders are in different groups. Only such
+   signatures are looked at further. A holder that has them in fewer ranges than it must agree in with a similar set is
+   dropped; that leaves few. The rest are gathered by the smallest holder of their signatures, their lead, and compared
+   by sizes and sketches in pairs of blocks of bounded size; neither texts nor signatures go along. What passes is verified as in 3.
+   So no link between different groups is lost, and pairs inside a group are never looked at.
 
 Defined results: a null or blank text has size 0 and is its own component; rows with a null id have a null component;
-rows that repeat an id are expected to repeat its text and get the same component; extra columns are ignored.
+rows that repeat an id are expected to repeat its text and get the same component; extra columns are ignored. Ids are integers.
 """
 
 from __future__ import annotations
@@ -25,33 +26,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import components, cut, keep_likely, slices
-from .shingles import PartEnum, blocks, fingerprint, profile, shingle_sets
+from .common import components, cut, keep_likely, salted, slices, unused, workspace
+from .shingles import PartEnum, blocks, fingerprint, halved, most_apart, shingle_sets, sketches
 
 #: (signature, id) rows that a signing task holds before it emits them.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Rows of an Arrow batch whose texts stand as Python strings at once.
 ROWS = 512
 #: Members of a lead that one block aims at.
-BLOCK = 128
+BLOCK = 2048
+#: Bytes of sketches that are compared at once.
+COMPARED = 1 << 23
+#: The lowest bits of a signature: its range, and the parity of its band.
+RANGE, PARITY = "sig & 4095", "cast(shiftright(sig, 12) & 1 as int)"
 
 
-def _measure(size: int):
+def _measure(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scheme = PartEnum(percent)
         for batch in slices(batches, ROWS):
             texts, ids = batch["text"].to_pylist(), batch["id"]
             for a, b in blocks(texts):
                 sets = shingle_sets(texts[a:b], size)
-                prints = [fingerprint(s) for s in sets]
+                prints, needs = [fingerprint(s) for s in sets], scheme.needs(sets)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids[a:b],
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([x for x, _ in prints], pa.int64()),
                         pa.array([y for _, y in prints], pa.int64()),
-                        pa.array([row.tobytes() for row in profile(sets)], pa.binary()),
+                        pa.array(sketches(sets), pa.binary()),
+                        pa.array(needs[:, 0], pa.int32()),
+                        pa.array(needs[:, 1], pa.int32()),
                     ],
-                    names=["id", "n", "print_a", "print_b", "profile"],
+                    names=["id", "n", "print_a", "print_b", "sketch", "need_even", "need_odd"],
                 )
 
     return run
@@ -61,14 +69,17 @@ def _sign(size: int, percent: int):
     def out(sig: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((ids, sig))
         sig, ids = sig[order], ids[order]
-        first = np.concatenate([[True], sig[1:] != sig[:-1]])
-        lead = ids[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
-        deal = np.where(first, sig, sig + np.uint64(0x9E3779B97F4A7C15) * (ids.astype(np.uint64) + np.uint64(1)))
-        keep = first | (ids != lead)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(x[keep]) for x in (deal.view(np.int64), sig.view(np.int64), ids)] + [pa.array(lead[keep], mask=first[keep])],
-            names=["deal", "sig", "id", "lead"],
-        )
+        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])])
+        sig, ids = sig[new], ids[new]
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        more = np.diff(np.append(first, len(sig))) - 1
+        # Neighbouring rows of one id make the shuffle smaller.
+        row = np.argsort(ids[first], kind="stable")
+        first, more = first[row], more[row]
+        at = np.cumsum(more) - more
+        rest = ids[np.arange(more.sum()) - np.repeat(at, more) + np.repeat(first + 1, more)]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(at, more.sum()), pa.int32()), pa.array(rest, pa.int64()), mask=pa.array(more == 0))
+        return pa.RecordBatch.from_arrays([pa.array(sig[first].view(np.int64)), pa.array(ids[first], pa.int64()), lists], names=["sig", "id", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme, seen, sigs, ids, held = PartEnum(percent), set(), [], [], 0
@@ -120,114 +131,184 @@ def _verify(size: int, percent: int):
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose whole texts are similar."""
-    texts = keep_likely(docs, "id", pairs.select(F.col("a").alias("x")).union(pairs.select("b")))
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, percent), "a long, b long").distinct()
-
-
-def _within(size: int, percent: int):
-    """Links between members of different groups, in units (lead, low, high) that follow each other."""
-
-    def links(unit: dict[str, list]) -> list[tuple[int, int]]:
-        ids, texts = unit["id"], unit["text"]
-        sets = [s for a, b in blocks(texts) for s in shingle_sets(texts[a:b], size)]
-        cells = profile(sets).astype(np.int16)
-        n, comp, block = (np.array(x, dtype=np.int64) for x in ([len(s) for s in sets], unit["label"], unit["block"]))
-        apart = unit["low"][0] != unit["high"][0]
-        out = []
-        for i in range(len(ids) - 1):
-            j = np.arange(i + 1, len(ids))
-            ok = (comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
-            j = j[ok & (block[j] != block[i])] if apart else j[ok]
-            total = n[j] + n[i]
-            most = total - 2 * -(-percent * total // (100 + percent))
-            for k in j[np.abs(cells[j] - cells[i]).sum(axis=1) <= most].tolist():
-                same = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
-                if 100 * same >= percent * (n[i] + n[k] - same):
-                    out.append((max(ids[i], ids[k]), min(ids[i], ids[k])))
-        return out
+def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, folder: str) -> DataFrame:
+    """The pairs (a, b) of ids whose whole texts are similar. ``pairs`` is a table of distinct pairs."""
+    texts = keep_likely(docs, "id", pairs.select(F.col("a").alias("x")).union(pairs.select("b"))).dropDuplicates(["id"])
+    both = cut(salted(pairs, texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"), folder)
+    both = salted(both, texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, percent), "a long, b long")
+
+
+def _words(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), dtype=np.uint64).reshape(len(parts), -1)
+
+
+def _alike(percent: int):
+    """Pairs that sizes and sketches do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, list] = {}
+        for batch in slices(batches, ROWS * 8):
+            n, m = (batch[c].to_numpy().astype(np.int64) for c in ("n_a", "n_b"))
+            near = np.flatnonzero(100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            one, two = (batch[c].take(pa.array(near)).to_pylist() for c in ("sketch_a", "sketch_b"))
+            most, good = most_apart(n + m, percent)[near], np.zeros(len(near), bool)
+            widths = np.array([(len(x), len(y)) for x, y in zip(one, two)], dtype=np.int64).reshape(-1, 2)
+            for u, v in {tuple(w) for w in widths.tolist()}:
+                at = np.flatnonzero((widths == (u, v)).all(axis=1))
+                x, y = _words([one[i] for i in at]), _words([two[i] for i in at])
+                while x.shape[1] != y.shape[1]:
+                    x, y = (halved(x), y) if x.shape[1] > y.shape[1] else (x, halved(y))
+                good[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most[at]
+            yield pa.RecordBatch.from_arrays([batch[c].take(pa.array(near[good])) for c in ("head_a", "head_b")], names=["a", "b"])
 
-        def done(unit: dict[str, list]) -> pa.RecordBatch:
-            found = links(unit)
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+    return run
 
+
+def alike(pairs: DataFrame, nodes: DataFrame, percent: int, folder: str) -> DataFrame:
+    """Distinct pairs (a, b), a > b, of heads of the pairs (id, lead) that sizes and sketches do not rule out."""
+
+    def side(key: str, end: str) -> DataFrame:
+        return nodes.select(F.col("id").alias(key), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "head", "sketch")])
+
+    both = pairs.join(side("id", "a"), "id")
+    both = salted(cut(both, folder), side("lead", "b"), "lead").where("head_a <> head_b")
+    found = both.select("n_a", "n_b", "head_a", "head_b", "sketch_a", "sketch_b").mapInArrow(_alike(percent), "a long, b long")
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _compare(percent: int, one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...], apart: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of (id, label, n, block, sketch) rows of different labels that sizes and sketches do not rule out."""
+    order = np.argsort(two[2], kind="stable")
+    ids, label, n, block, cells = (x[order] for x in two)
+    step = max(1, COMPARED // max(1, cells.nbytes))
+    out = []
+    rows = np.argsort(one[2], kind="stable")
+    for a in range(0, len(rows), step):
+        i, i_label, i_n, i_block, i_cells = (x[rows[a : a + step]] for x in one)
+        lo, hi = np.searchsorted(100 * n, percent * i_n[0]), np.searchsorted(percent * n, 100 * i_n[-1], side="right")
+        if lo < hi:
+            far = np.bitwise_count(i_cells[:, None, :] ^ cells[None, lo:hi]).sum(axis=2, dtype=np.int64)
+            total = i_n[:, None] + n[None, lo:hi]
+            ok = (far <= most_apart(total, percent)) & (i_label[:, None] != label[None, lo:hi])
+            if apart:
+                ok &= i_block[:, None] != block[None, lo:hi]
+            x, y = np.nonzero(ok)
+            out.append((i[x], ids[lo:hi][y]))
+    return out
+
+
+def _within(percent: int):
+    """Pairs of members of different groups that may be similar, in units (lead, low, high) that follow each other."""
+
+    def close(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        unit = pa.Table.from_batches(parts)
+        cols = [unit[c].to_numpy().astype(np.int64) for c in ("id", "label", "n", "block")]
+        apart, sketch = unit["low"][0].as_py() != unit["high"][0].as_py(), unit["sketch"].to_pylist()
+        width = np.array([len(s) for s in sketch])
+        found = []
+        for w in np.unique(width).tolist():
+            # Similar sets have sketches of one width or of two that follow each other.
+            small, large = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+            mine = (*[c[small] for c in cols], _words([sketch[i] for i in small]))
+            found += _compare(percent, mine, mine, apart)
+            if len(large):
+                found += _compare(percent, mine, (*[c[large] for c in cols], halved(_words([sketch[i] for i in large]))), apart)
+        a, b = (np.concatenate([np.zeros(0, dtype=np.int64), *[f[i] for f in found]]) for i in (0, 1))
+        pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        unit = None
         for batch in batches:
             if not len(batch):
                 continue
             key = np.stack([batch[c].to_numpy() for c in ("lead", "low", "high")])
             cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), len(batch)]
             for x, y in zip(cuts[:-1], cuts[1:]):
-                part = batch.slice(x, y - x).to_pydict()
-                if kept and all(kept[c][0] == part[c][0] for c in ("lead", "low", "high")):
-                    kept = {c: kept[c] + part[c] for c in kept}
-                else:
-                    if kept:
-                        yield done(kept)
-                    kept = part
+                if kept and unit != tuple(key[:, x].tolist()):
+                    yield close(kept)
+                    kept = []
+                unit = tuple(key[:, x].tolist())
+                kept.append(batch.slice(x, y - x))
         if kept:
-            yield done(kept)
+            yield close(kept)
 
     return run
 
 
-def across(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Similar pairs (a, b) of members of one lead in different groups.
+def across(stars: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int, folder: str) -> DataFrame:
+    """Distinct pairs (a, b), a > b, of heads of different groups that share signatures and may be similar.
 
-    members: (lead, id, label), each row once. The m members of a lead are dealt into ceil(m / BLOCK) blocks, and every
-    pair of blocks is a unit of at most about 2 * BLOCK rows. Leads with two members are left out: that pair was verified.
+    stars: (sig, id, lead), nodes: (id, head, n, sketch, need_even, need_odd), groups: (node, label). A member of different
+    groups' signatures stays for the bands in which it has them in as many ranges as it must agree in. The m members of a
+    lead are dealt into ceil(m / BLOCK) blocks, and every pair of blocks is a unit of about 2 * BLOCK rows at most.
     """
-    counts = members.groupBy("lead").agg(F.count("*").alias("m")).where("m > 2").select("lead", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
-    rows = cut(members.join(counts, "lead"))
-    texts = keep_likely(docs, "id", rows.select("id"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(texts, "id")
-    rows = rows.select("lead", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "label", "block", "text")
+    members = stars.select("sig", "id").union(stars.select("sig", F.col("lead").alias("id"))).distinct()
+    signers = stars.select("id").union(stars.select("lead")).distinct()
+    signers = cut(nodes.select("id", "head", "need_even", "need_odd").join(signers, "id", "left_semi"), folder)
+    labels = groups.select(F.col("node").alias("head"), "label")
+    signers = cut(salted(signers, labels, "head", "left").select("id", "head", F.coalesce("label", "head").alias("label"), "need_even", "need_odd"), folder)
+    members = cut(members.join(signers, "id").select("sig", "head", "label", "need_even", "need_odd").distinct(), folder)
+
+    crossed = members.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig")
+    members = cut(salted(members, crossed, "sig").withColumn("parity", F.expr(PARITY)), folder)
+    agreed = members.select("head", "parity", F.expr(RANGE).alias("range"), "need_even", "need_odd").distinct()
+    agreed = agreed.groupBy("head", "parity").agg(F.count("*").alias("ranges"), F.max(F.when(F.col("parity") == 0, F.col("need_even")).otherwise(F.col("need_odd"))).alias("need"))
+    members = cut(members.join(agreed.where("ranges >= need").select("head", "parity"), ["head", "parity"], "left_semi").select("sig", "head", "label"), folder)
+
+    leads = members.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("head").alias("lead")).where("low <> high").select("sig", "lead")
+    rows = salted(members, leads, "sig").select("lead", "head", "label").distinct()
+    rows = cut(rows.join(nodes.select(F.col("id").alias("head"), "n", "sketch"), "head"), folder)
+    counts = rows.groupBy("lead").agg(F.count("*").alias("m")).select("lead", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
+    rows = salted(rows, counts, "lead").withColumn("block", F.pmod(F.xxhash64("head"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("lead", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.col("head").alias("id"), "label", "n", "block", "sketch")
     rows = rows.repartition("lead", "low", "high").sortWithinPartitions("lead", "low", "high")
-    return rows.mapInArrow(_within(size, percent), "a long, b long").distinct()
+    return rows.mapInArrow(_within(percent), "a long, b long").distinct()
 
 
 def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_shingles, component_id) for each row of docs: links where 100 * intersection >= percent * union."""
+    """(id_col, n_shingles, component_id) for each row of docs: links where 100 * intersection >= percent * union.
+
+    The rows are computed at once and stand as a table in the shared folder; the working tables are deleted.
+    """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     with_id = rows.where("id is not null and text is not null")
-    sized = cut(rows.mapInArrow(_measure(size), "id long, n long, print_a long, print_b long, profile binary"))
-    known = sized.where("id is not null and n > 0")
-    heads = known.groupBy("print_a", "print_b", "n").agg(F.min("id").alias("head"), F.count("*").alias("copies"))
-    copies = known.join(heads.where("copies > 1"), ["print_a", "print_b", "n"]).where("id <> head").groupBy("id").agg(F.min("head").alias("head"))
-    copies = cut(copies)
-
-    signed = with_id.mapInArrow(_sign(size, percent), "deal long, sig long, id long, lead long")
-    signed = signed.withColumn("top", F.first("id").over(W.partitionBy("deal").orderBy("id")))
-    held = signed.select("sig", "id", F.coalesce("lead", "top").alias("lead")).where("id <> lead")
-    for c in ("id", "lead"):
-        held = held.join(copies.select(F.col("id").alias(c), F.col("head").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
-    held = cut(held.where("id <> lead").select("sig", F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b")).distinct())
-
-    pairs = held.select("a", "b").distinct()
-    links = cut(verified(pairs, with_id, size, percent))
-    groups = components(links)
-    missed = held.join(links, ["a", "b"], "left_anti").select("sig").distinct()
-    open_ = held.join(missed, "sig", "left_semi")
-    open_ = open_.join(open_.groupBy("sig").agg(F.min("b").alias("lead")), "sig")
-    members = open_.select("lead", F.col("a").alias("id")).union(open_.select("lead", F.col("b").alias("id"))).distinct()
-    members = members.join(groups, members.id == groups.node, "left").select("lead", "id", F.coalesce("label", "id").alias("label"))
-    more = cut(across(members, with_id, size, percent))
-    if not more.isEmpty():
-        groups = components(links.union(more))
-
-    base = sized.select("id", "n").join(copies, "id", "left").withColumn("head", F.coalesce("head", "id"))
-    out = base.join(groups, base["head"] == groups["node"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "head").alias("component_id"))
+    with workspace(spark) as folder:
+        sized = cut(rows.mapInArrow(_measure(size, percent), "id long, n long, print_a long, print_b long, sketch binary, need_even int, need_odd int"), folder)
+        known = sized.where("id is not null and n > 0")
+        heads = known.groupBy("print_a", "print_b", "n").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").drop("last")
+        alone = known.select("id", F.struct("print_a", "print_b", "n").alias("print"))
+        copies = salted(alone, heads.select(F.struct("print_a", "print_b", "n").alias("print"), "head"), "print").where("id <> head")
+        copies = cut(copies.groupBy("id").agg(F.min("head").alias("head")), folder)
+        nodes = known.select("id", "n", "sketch", "need_even", "need_odd").dropDuplicates(["id"]).join(copies, "id", "left").withColumn("head", F.coalesce("head", "id"))
+        nodes = cut(nodes, folder)
+
+        signed = with_id.mapInArrow(_sign(size, percent), "sig long, id long, more array<long>")
+        signed = signed.withColumn("top", F.min("id").over(W.partitionBy("sig"))).where("id <> top or more is not null")
+        own = F.expr("if(id <> top, array(struct(id, top as lead)), array())")
+        rest = F.expr("transform(coalesce(more, array()), x -> struct(x as id, id as lead))")
+        stars = cut(signed.select("sig", F.explode(F.concat(own, rest)).alias("star")).select("sig", "star.id", "star.lead"), folder)
+
+        pairs = cut(alike(stars.select("id", "lead").distinct(), nodes, percent, folder), folder)
+        links = cut(verified(pairs, with_id, size, percent, folder), folder)
+        groups = components(links, folder)
+        pairs = cut(across(stars, nodes, groups, percent, folder).join(pairs, ["a", "b"], "left_anti"), folder)
+        more = cut(verified(pairs, with_id, size, percent, folder), folder)
+        if not more.isEmpty():
+            groups = components(links.union(more), folder)
+
+        named = salted(copies, groups.select(F.col("node").alias("head"), "label"), "head", "left").select("id", F.coalesce("label", "head").alias("label"))
+        named = named.union(groups.select("node", "label"))
+        out = sized.select("id", "n").join(named, "id", "left")
+        return cut(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of its group, with all their columns; rows without an id stay."""
     groups = jaccard_groups(docs, size, percent, id_col, text_col)
-    gone = groups.where("component_id <> " + id_col).select(F.col(id_col).cast("long").alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("gone_id"), "left_anti")
+    name = unused(docs, "gone_id")
+    gone = groups.where("component_id <> " + id_col).select(F.col(id_col).cast("long").alias(name)).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == F.col(name), "left_anti")

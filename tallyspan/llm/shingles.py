@@ -15,6 +15,10 @@ import numpy as np
 
 U = np.uint64
 BATCH_BYTES = 1 << 20
+#: Ranges that a signature tells apart, and the bits for them and the parity of a band.
+RANGES, PLACE = 1 << 12, 13
+#: Fewest cells of a sketch.
+SKETCH_BITS = 512
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -106,11 +110,18 @@ class PartEnum:
     Pairs of parts without elements would put unrelated sets together. A set is safe when more than k // 2 of its ranges
     have elements in two parts: a similar set then shares a signature that isn't empty. Only sets that aren't safe also
     sign their empty pairs, so nothing is lost.
+
+    Mostly more than one signature agrees: a set differs from any similar one of the band by a number d <= k that depends on
+    its size. Of its ranges with elements in two parts at most d // 2 hold two differences, and each of the others agrees
+    on a signature. ``needs`` gives that least number of agreeing ranges.
+    The lowest PLACE bits of a signature name its band's parity and its range, so that agreeing ranges can be counted.
     """
 
     def __init__(self, percent: int, growth: float = 1.4, spare: float = 1.15):
         if not 50 <= percent <= 100:
             raise ValueError("percent must be between 50 and 100")
+        #: Similar sets lie in one band or in two that follow each other.
+        growth = max(growth, 100 / percent + 0.01)
         self.percent, self.growth, self.spare = percent, growth, spare
         self.low: list[int] = [1]
         self.n1: list[int] = []
@@ -122,35 +133,45 @@ class PartEnum:
             low = self.low[-1]
             high = max(low, int(low * self.growth))
             total = np.arange(2, 2 * high + 1)
-            k = int((total - 2 * -(-self.percent * total // (100 + self.percent))).max())
+            k = int(most_apart(total, self.percent).max())
             self.k.append(k)
             need = k // 2 + 1
             self.n1.append(need if need <= 2 else int(np.ceil(need * self.spare)))
             self.low.append(high + 1)
 
-    def signatures(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """All signatures of a batch of sorted sets, and the index of the set that each belongs to."""
+    def _bands(self, sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(band, indexes of the sets that sign in it, index of each element among all sets' elements, index of its set among the signing ones)."""
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
         self._grow(int(sizes.max(initial=1)))
         low = np.array(self.low)
         band = np.searchsorted(low, sizes, side="right") - 1
         also = 100 * sizes >= self.percent * low[band + 1]
-        flat = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)])
         begin = np.cumsum(sizes) - sizes
-        order = mix(flat ^ U(0xD6E8FEB86659FD93))
-        sigs, owners = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
         for b in sorted({*band[sizes > 0].tolist(), *(band[also & (sizes > 0)] + 1).tolist()}):
             own = np.flatnonzero((sizes > 0) & ((band == b) | (also & (band + 1 == b))))
             n = sizes[own]
-            local = np.repeat(np.arange(len(own)), n)
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[own], n)
+            yield b, own, at, np.repeat(np.arange(len(own)), n)
+
+    def _parts(self, b: int, features: np.ndarray, local: np.ndarray) -> np.ndarray:
+        """The part of each element, numbered through the sets of a band."""
+        width = 3 * self.n1[b]
+        return (((features >> U(32)) * U(width)) >> U(32)).astype(np.int64) + local * width
+
+    def signatures(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """All signatures of a batch of sorted sets, and the index of the set that each belongs to."""
+        flat = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)])
+        order = mix(flat ^ U(0xD6E8FEB86659FD93))
+        sigs, owners = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+        for b, own, at, local in self._bands(sets):
+            parity = U((b & 1) << (PLACE - 1))
             if self.k[b] == 0:
-                sums = np.add.reduceat(order[at], np.cumsum(n) - n)
-                sigs.append(mix(sums + mix(np.array([b + 1], dtype=np.uint64))))
+                first = np.flatnonzero(np.concatenate([[True], local[1:] != local[:-1]]))
+                sigs.append(_placed(mix(np.add.reduceat(order[at], first) + mix(np.array([b + 1], dtype=np.uint64))), parity))
                 owners.append(own)
                 continue
             n1 = self.n1[b]
-            part = (((flat[at] >> U(32)) * U(3 * n1)) >> U(32)).astype(np.int64) + local * (3 * n1)
+            part = self._parts(b, flat[at], local)
             first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             sums = np.zeros(len(own) * 3 * n1, dtype=np.uint64)
             sums[part[first]] = np.add.reduceat(order[at], first)
@@ -158,21 +179,58 @@ class PartEnum:
             full[part[first]] = True
             sums, full = sums.reshape(-1, n1, 3), full.reshape(-1, n1, 3)
             safe = (full.sum(axis=2) >= 2).sum(axis=1) > self.k[b] // 2
+            ranges = np.arange(n1, dtype=np.uint64)
+            place = parity | (ranges & U(RANGES - 1))
             for i, (x, y) in enumerate(((0, 1), (0, 2), (1, 2))):
-                key = mix(np.arange(n1, dtype=np.uint64) * U(4) + U(i) + (U(b + 1) << U(32)))
-                sign = mix((sums[:, :, x] + U(1)) * U(0xD1342543DE82EF95) + mix(sums[:, :, y] + U(2)) + key)
+                key = mix(ranges * U(4) + U(i) + (U(b + 1) << U(32)))
+                sign = _placed(mix((sums[:, :, x] + U(1)) * U(0xD1342543DE82EF95) + mix(sums[:, :, y] + U(2)) + key), place)
                 live = full[:, :, x] | full[:, :, y] | ~safe[:, None]
                 sigs.append(sign[live])
                 owners.append(own[np.nonzero(live)[0]])
         return np.concatenate(sigs), np.concatenate(owners)
 
+    def needs(self, sets: list[np.ndarray]) -> np.ndarray:
+        """For each set the least number of ranges, as signatures name them, in which it agrees with any similar set: in bands of even and of odd number."""
+        flat = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)])
+        sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        out = np.ones((len(sets), 2), dtype=np.int64)
+        for b, own, at, local in self._bands(sets):
+            if self.k[b]:
+                n1 = self.n1[b]
+                full = np.zeros(len(own) * 3 * n1, bool)
+                full[self._parts(b, flat[at], local)] = True
+                total = sizes[own] + np.minimum(self.low[b + 1] - 1, 100 * sizes[own] // self.percent)
+                apart = np.minimum(self.k[b], total * (100 - self.percent) // (100 + self.percent))
+                agree = (full.reshape(-1, n1, 3).sum(axis=2) >= 2).sum(axis=1) - apart // 2
+                out[own, b & 1] = np.maximum(1, -(-agree // -(-n1 // RANGES)))
+        return out
+
+
+def _placed(sign: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (sign & ~U((1 << PLACE) - 1)) | place
 
-def profile(sets: list[np.ndarray]) -> np.ndarray:
-    """64 counts of each set's elements by their highest bits, cut off at 255.
 
-    The sum of absolute differences of two profiles is at most the size of the sets' symmetric difference.
+def sketches(sets: list[np.ndarray]) -> list[bytes]:
+    """The parity of each set's elements in cells named by their lowest bits: a power of two of cells, at least SKETCH_BITS and twice the set's size.
+
+    Each element in which two sets differ turns one cell, so the number of cells that differ is at most the size of their
+    symmetric difference, and close to it. Xor of both halves gives the sketch of half as many cells.
     """
-    sizes = [len(s) for s in sets]
-    cell = (np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]) >> U(58)).astype(np.int64)
-    cell += np.repeat(np.arange(len(sets)), sizes) * 64
-    return np.minimum(np.bincount(cell, minlength=64 * len(sets)), 255).astype(np.uint8).reshape(-1, 64)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    cells = np.array([max(SKETCH_BITS, 1 << int(2 * n - 1).bit_length()) if n else SKETCH_BITS for n in sizes.tolist()], dtype=np.int64)
+    begin = np.cumsum(cells) - cells
+    flat = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)])
+    cell = (flat & np.repeat(cells - 1, sizes).astype(np.uint64)).astype(np.int64) + np.repeat(begin, sizes)
+    bits = np.packbits((np.bincount(cell, minlength=int(cells.sum())) & 1).astype(bool), bitorder="little").tobytes()
+    return [bits[a // 8 : (a + c) // 8] for a, c in zip(begin.tolist(), cells.tolist())]
+
+
+def halved(words: np.ndarray) -> np.ndarray:
+    """Sketches, one a row of 64-bit words, of half as many cells."""
+    half = words.shape[-1] // 2
+    return words[..., :half] ^ words[..., half:]
+
+
+def most_apart(total: np.ndarray, percent: int) -> np.ndarray:
+    """The largest symmetric difference of similar sets whose sizes add up to ``total``."""
+    return total - 2 * -(-percent * total // (100 + percent))
