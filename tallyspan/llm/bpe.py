@@ -4,7 +4,8 @@ A text is split by the public pattern. A pre-token that is a token itself is tha
 A segment tree over its byte positions holds, at each leaf, the rank of the pair that begins there, and at its root the
 leftmost smallest; a merge takes the root's pair and makes point updates on the leaves of the live neighbours, each
 logarithmic in the length. The trees of many new pre-tokens of one size class stand side by side in one array, so a
-step merges one pair in each. Encoded pre-tokens are kept in a bounded dictionary in each worker.
+step merges one pair in each; few of a class, and so very long ones, have a tree of their own each. Encoded pre-tokens
+are kept in each worker in a dictionary that is bounded in entries and bytes.
 
 Defined results: null texts count as empty; the empty text has no ids; texts of any length and repeated rows
 are encoded row by row; input columns beside the text are carried along, and clash only with the name that is asked for.
@@ -25,8 +26,10 @@ from .bpe_tables import NONE, PATTERN, PairTable, rank_pairs, read_ranks, splitt
 from .common import slices
 from .shingles import blocks
 
-#: Pre-tokens that a worker remembers; the memory is emptied when they are more.
-REMEMBERED = 200_000
+#: Pre-tokens that a worker remembers, and bytes of them and their ids; the memory is emptied when they are more.
+REMEMBERED, REMEMBERED_BYTES = 150_000, 1 << 24
+#: Pre-tokens of a size class from which their trees are worked on together.
+TOGETHER = 12
 #: Leaves of the trees that are worked on at once.
 LEAVES = 1 << 17
 _POS = 32
@@ -37,18 +40,20 @@ class Ranks:
 
     def __init__(self, path: str, pattern: str = PATTERN):
         self.ids = read_ranks(path)
-        self.tokens = {i: t for t, i in self.ids.items()}
         self.of_byte = np.array([self.ids[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.pairs = PairTable(rank_pairs(self.ids))
+        pairs = list(rank_pairs(self.ids))
+        self.pairs, self.rank = PairTable(pairs), {a << _POS | b: r for a, b, r in pairs}
         self.split = splitter(pattern)
         self.known: dict[str, bytes] = {}
+        self.bytes = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         words = [self.split(t) for t in texts]
         new = set(chain.from_iterable(words)).difference(self.known)
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
             self.known.clear()
+            self.bytes = 0
             new = set(chain.from_iterable(words))
         self.learn(new)
         known = self.known.__getitem__
@@ -59,17 +64,57 @@ class Ranks:
         for w in new:
             raw = w.encode("utf-8", "surrogatepass")
             found = self.ids.get(raw)
+            self.bytes += 2 * len(raw)
             if found is not None:
                 self.known[w] = found.to_bytes(4, "little")
             else:
                 classes.setdefault(max(2, (len(raw) - 1).bit_length()), []).append((w, raw))
         for bits, group in classes.items():
             step = max(1, LEAVES >> bits)
+            if min(step, len(group)) < TOGETHER:
+                self.known.update((w, self.merge_one(raw)) for w, raw in group)
+                continue
             for i in range(0, len(group), step):
                 part = group[i : i + step]
                 for (w, _), ids in zip(part, self.merge([raw for _, raw in part], 1 << bits)):
                     self.known[w] = ids
 
+    def merge_one(self, raw: bytes) -> bytes:
+        """Ids of one byte string of any length, by one segment tree."""
+        n, none, low = len(raw), NONE << _POS, (1 << _POS) - 1
+        symbol, after, before = self.of_byte[np.frombuffer(raw, dtype=np.uint8)].tolist(), list(range(1, n + 1)), list(range(-1, n))
+        leaves = 1 << max(1, (n - 1).bit_length())
+        tree, rank = [none] * (2 * leaves), self.rank.get
+        for i in range(n - 1):
+            found = rank(symbol[i] << _POS | symbol[i + 1])
+            if found is not None:
+                tree[leaves + i] = found << _POS | i
+        for i in range(leaves - 1, 0, -1):
+            tree[i] = min(tree[2 * i], tree[2 * i + 1])
+
+        def put(at: int, value: int) -> None:
+            at += leaves
+            tree[at] = value
+            while at > 1:
+                value = min(value, tree[at ^ 1])
+                at >>= 1
+                if tree[at] == value:
+                    break
+                tree[at] = value
+
+        while tree[1] < none:
+            at, symbol_ = tree[1] & low, tree[1] >> _POS
+            gone = after[at]
+            then, prev = after[gone], before[at]
+            symbol[at], symbol[gone], after[at], before[then] = symbol_, -1, then, at
+            put(gone, none)
+            found = rank(symbol_ << _POS | symbol[then]) if then < n else None
+            put(at, none if found is None else found << _POS | at)
+            if prev >= 0:
+                found = rank(symbol[prev] << _POS | symbol_)
+                put(prev, none if found is None else found << _POS | prev)
+        return np.array([s for s in symbol if s >= 0], dtype="<u4").tobytes()
+
     def merge(self, raws: list[bytes], leaves: int) -> list[bytes]:
         """Ids of byte strings of at most ``leaves`` bytes, each by a segment tree of its own."""
         n, wide = len(raws), leaves + 1
@@ -128,9 +173,6 @@ class Ranks:
         ends = (np.cumsum(live.sum(axis=1)) * 4).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
-
 
 @lru_cache(maxsize=2)
 def ranks(path: str, pattern: str = PATTERN) -> Ranks:
@@ -138,6 +180,12 @@ def ranks(path: str, pattern: str = PATTERN) -> Ranks:
     return Ranks(path, pattern)
 
 
+@lru_cache(maxsize=2)
+def tokens(path: str) -> dict[int, bytes]:
+    """The bytes of each id, one table for each worker process."""
+    return {i: t for t, i in read_ranks(path).items()}
+
+
 def encode_column(text: Column, path: str, pattern: str = PATTERN) -> Column:
     """Binary: the text's ids as little-endian unsigned 32-bit integers; ``ids_of`` gives them as an array."""
 
@@ -156,9 +204,9 @@ def decode_column(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("binary")
     def decode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = ranks(path)
+        token = tokens(path).__getitem__
         for part in slices(parts):
-            yield pa.array([None if x is None else table.decode(x) for x in part.to_pylist()], pa.binary())
+            yield pa.array([None if x is None else b"".join(map(token, np.frombuffer(x, dtype="<u4").tolist())) for x in part.to_pylist()], pa.binary())
 
     return decode(ids)
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 FILTER_BITS = 1 << 23
 #: A key is hot that holds more than this part of a table's rows, so at most as many keys are; and the fewest rows of a hot key.
 HOT_PART, HOT_ROWS = 1000, 256
+#: Rows of an Arrow batch of texts, so that neither the JVM nor Python holds many texts at once.
+ARROW_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,11 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 @contextmanager
 def workspace(spark: SparkSession) -> Iterator[str]:
-    """A new folder in the shared one for working tables, deleted at the end."""
+    """A new folder in the shared one for working tables, deleted at the end. Meanwhile Arrow batches hold ARROW_ROWS rows at most."""
     folder = f"{shared_dir(spark)}/tallyspan-{uuid.uuid4().hex}"
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, ARROW_ROWS if int(was) <= 0 else min(int(was), ARROW_ROWS))
     try:
         yield folder
     finally:
+        spark.conf.set(key, was)
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

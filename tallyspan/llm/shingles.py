@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 U = np.uint64
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 #: Ranges that a signature tells apart, and the bits for them and the parity of a band.
 RANGES, PLACE = 1 << 12, 13
 #: Fewest cells of a sketch.
@@ -51,7 +51,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     blank = _BLANK[raw]
     edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     starts, ends = edges[0::2], edges[1::2]
-    size = 1 << max(20, int(len(raw)).bit_length())
+    size = 1 << max(19, int(len(raw)).bit_length())
     power, inverse = _powers(size)
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum((raw.astype(np.uint64) + U(1)) * power[: len(raw)], out=sums[1:])

@@ -26,8 +26,8 @@ from .bpe_tables import NONE, PATTERN, PairTable, read_merges, splitter
 from .common import slices
 from .shingles import blocks
 
-#: Pre-tokens that a worker remembers; the memory is emptied when they are more.
-REMEMBERED = 250_000
+#: Pre-tokens that a worker remembers, and bytes of them; the memory is emptied when they are more.
+REMEMBERED, REMEMBERED_BYTES = 250_000, 1 << 24
 #: Symbols that are merged at once.
 SYMBOLS = 1 << 20
 
@@ -43,6 +43,7 @@ class Merges:
         self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.split = splitter(PATTERN)
         self.known: dict[str, int] = {}
+        self.bytes = 0
 
     def words(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens of a text, and the number of added tokens between them."""
@@ -54,11 +55,13 @@ class Merges:
     def count(self, texts: list[str]) -> list[int]:
         found = [self.words(t) for t in texts]
         words = [w for w, _ in found]
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
             self.known.clear()
+            self.bytes = 0
         new = list(set(chain.from_iterable(words)).difference(self.known))
         raws = [w.encode("utf-8", "surrogatepass") for w in new]
         ends = np.cumsum([len(r) for r in raws])
+        self.bytes += int(ends[-1]) if new else 0
         a = 0
         while a < len(new):
             b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SYMBOLS)))
