@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_tables import NONE, PATTERN, PairTable, rank_pairs, read_ranks, splitter
-from .common import slices
+from .common import slices, unused
 from .shingles import blocks
 
 #: Pre-tokens that a worker remembers, and bytes of them and their ids; the memory is emptied when they are more.
@@ -211,6 +211,21 @@ def decode_column(ids: Column, path: str) -> Column:
     return decode(ids)
 
 
+def coded_column(text: Column, path: str, pattern: str = PATTERN) -> Column:
+    """struct<ids, decoded>: what ``encode_column`` gives, and what ``decode_column`` makes of it, by one worker."""
+
+    @F.arrow_udf("ids binary, decoded binary")
+    def coded(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table, token = ranks(path, pattern), tokens(path).__getitem__
+        for part in slices(parts):
+            texts = [t or "" for t in part.to_pylist()]
+            packed = [ids for a, b in blocks(texts) for ids in table.encode(texts[a:b])]
+            plain = [b"".join(map(token, np.frombuffer(x, dtype="<u4").tolist())) for x in packed]
+            yield pa.StructArray.from_arrays([pa.array(packed, pa.binary()), pa.array(plain, pa.binary())], ["ids", "decoded"])
+
+    return coded(text)
+
+
 def ids_of(packed: Column) -> Column:
     """array<long>: the ids in a packed binary; null stays null."""
 
@@ -230,3 +245,10 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """rows with a column of the bytes that their packed ids stand for."""
     return rows.withColumn(out_col, decode_column(F.col(ids_col), path))
+
+
+def round_trip(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """docs with a column of packed ids and a column of the bytes that they decode to, in one pass."""
+    name = unused(docs, "coded")
+    both = docs.withColumn(name, coded_column(F.col(text_col), path))
+    return both.withColumns({ids_col: F.col(name)["ids"], out_col: F.col(name)["decoded"]}).drop(name)

@@ -31,17 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession) -> str:
+    """Let Arrow batches of this session hold ARROW_ROWS rows at most; the setting before."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, ARROW_ROWS if int(was) <= 0 else min(int(was), ARROW_ROWS))
+    return was
+
+
 @contextmanager
 def workspace(spark: SparkSession) -> Iterator[str]:
     """A new folder in the shared one for working tables, deleted at the end. Meanwhile Arrow batches hold ARROW_ROWS rows at most."""
     folder = f"{shared_dir(spark)}/tallyspan-{uuid.uuid4().hex}"
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(key)
-    spark.conf.set(key, ARROW_ROWS if int(was) <= 0 else min(int(was), ARROW_ROWS))
+    was = small_batches(spark)
     try:
         yield folder
     finally:
-        spark.conf.set(key, was)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

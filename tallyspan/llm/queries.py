@@ -61,7 +61,7 @@ def op6_mixing_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS), RANKS)
+    rows = bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS)
     return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -69,6 +69,8 @@ def test_bpe_and_counts(odd, empty):
     out = bpe.decode(bpe.encode(odd, queries.RANKS), queries.RANKS).withColumn("list", bpe.ids_of(F.col("ids")))
     for r in out.collect():
         assert r.list == enc.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
+    both = bpe.round_trip(odd, queries.RANKS, out_col="LABEL").collect()
+    assert {(r.doc_id, bytes(r.ids), bytes(r.LABEL)) for r in both} == {(r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in out.collect()}
     tok = Tokenizer.from_file(queries.TOKENIZER)
     for r in token_counts.count_tokens(odd, queries.TOKENIZER).collect():
         n = len(tok.encode(r.text or "", add_special_tokens=False).ids)
