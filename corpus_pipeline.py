@@ -1,7 +1,8 @@
 """A training-data pipeline over documents: language ID, toxicity, near-duplicates, mixing, tokens.
 
 Every stage takes (spark, docs, sf_dir) and all rows that the stage before kept. All but the last return the columns
-of docs. ``run`` writes each stage's rows to the shared folder and reads them for the next.
+of docs. ``run`` writes each stage's rows to the shared folder and reads them for the next. Stages that hand texts to Python
+let the session's Arrow batches hold ``common.ARROW_ROWS`` rows at most, so that few texts stand in memory at once.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspan.llm import bpe, jaccard, langid, mixing, toxicity
-from tallyspan.llm.common import shared_dir
+from tallyspan.llm.common import shared_dir, small_batches
 
 #: A language that is less sure than this is none.
 LEAST_SURE = 0.2
@@ -23,12 +24,14 @@ TOXIC = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language that can be told: texts that are null or without a letter go, and hopeless guesses."""
+    small_batches(spark)
     found = langid.predict(docs, langid.train(docs), out_col="stage_language")
     return found.where(f"stage_language.lang_pred <> 'und' and stage_language.score >= {LEAST_SURE}").select(*docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that are not toxic, as learned from the labels of documents that are still there."""
+    small_batches(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model, out_col="stage_score").where(F.col("stage_score") < TOXIC).select(*docs.columns)
 
@@ -45,8 +48,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document, and whether they decode to its text."""
+    small_batches(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    rows = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    rows = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), path)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return rows.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.col("decoded") == text).alias("round_trip"))
 
