@@ -1,7 +1,8 @@
-"""Accounting: outcomes folded to one word of flags per (scanner, case), then to ten metrics per stratum.
+"""Accounting: outcomes folded to one standing per metric for each (scanner, case), then to ten metrics per stratum.
 
-The fold is ``bit_or``, so it combines on the map side and doesn't depend on order. Strata are GROUPING SETS applied
-after the fold, when rows are already one per case.
+An outcome's standing in a metric is how much it says against a plain reading of the case: CLEAR, an EVENT, a measurement that is missing, or one
+that waits for review; null where the metric does not look at the outcome. A case stands where its worst outcome stands, so the fold is ``max``,
+which combines on the map side and doesn't depend on order. Strata are GROUPING SETS applied after the fold, when rows are already one per case.
 """
 
 from __future__ import annotations
@@ -11,10 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 
-FLAGS = (
-    "vt_any vt_nm vt_miss vt_wf vt_wj rv_nonmiss rv_na rv_coll s_any s_rev s_nm s_miss n_any n_rev n_nm n_fp "
-    "a_srev a_snm a_sfail a_tnm a_tfail a_trev e_rev e_nm e_fail"
-).split()
+CLEAR, EVENT, MISSING, REVIEW = range(4)
 #: Metrics in order of their names, whether the bound is an upper one, and whether N is the eligible count.
 METRICS = {
     "benign-suppression-rate": (False, False),
@@ -31,61 +29,74 @@ METRICS = {
 STRATA = ("language", "jurisdiction", "method")
 
 
-def status_of(state: Column, passing: tuple[str, ...]) -> Column:
-    """pass, fail, review-required or not-measured."""
-    return F.when(state.isin(*passing), "pass").when(state == "unresolved", "review-required").when(state == "not-measured", "not-measured").otherwise("fail")
+#: Columns of standings, and the metric that each decides. The last two both decide one.
+STANDINGS = {
+    "missed_type": "type-miss-rate",
+    "wrong_family": "wrong-family-rate",
+    "wrong_place": "wrong-jurisdiction-rate",
+    "missed_sensitive": "sensitive-miss-rate",
+    "flagged_harmless": "non-sensitive-flag-rate",
+    "ends_told_apart": "context-discrimination-rate",
+    "benign_left_alone": "benign-suppression-rate",
+    "collision_resolved": "jurisdiction-collision-rate",
+    "range_off": "range-collateral-rate",
+    "type_measurable": "measurable-share",
+    "sensitivity_measurable": "measurable-share",
+}
+#: Standings that count events; the others count cases without one.
+COUNTS_EVENTS = ("missed_type", "wrong_family", "wrong_place", "missed_sensitive", "flagged_harmless", "range_off")
+
+
+def standings() -> dict[str, Column]:
+    """Each outcome's standing in each metric."""
+    kind, mood, span = F.col("type_state"), F.col("sensitivity_state"), F.col("range_state")
+    valid, method = F.col("type_expectation") == "valid", F.col("method")
 
+    def gaps(state: Column, otherwise: Column) -> Column:
+        return F.when(state == "unresolved", REVIEW).when(state == "not-measured", MISSING).otherwise(otherwise)
 
-def flag_columns() -> dict[str, Column]:
-    t, s, r = F.col("type_state"), F.col("sensitivity_state"), F.col("range_state")
-    valid, sens, non = F.col("type_expectation") == "valid", F.col("sensitivity") == "sensitive", F.col("sensitivity") == "non-sensitive"
-    ts, ss = status_of(t, ("correct", "invalid-correct")), status_of(s, ("correct",))
-    end = F.col("context_class") != "neutral"
+    def event(test: Column) -> Column:
+        return F.when(test, EVENT).otherwise(CLEAR)
+
+    def typed(test: Column) -> Column:
+        return F.when(kind == "not-measured", MISSING).otherwise(event(test))
+
+    wrong_mood, wrong_kind = event(mood != "correct"), event(~kind.isin("correct", "invalid-correct"))
     return {
-        "vt_any": valid, "vt_nm": valid & (t == "not-measured"), "vt_miss": valid & (t == "miss"), "vt_wf": valid & (t == "wrong-family"), "vt_wj": valid & (t == "wrong-jurisdiction"),
-        "rv_nonmiss": valid & (r != "miss"), "rv_na": valid & r.isin("not-applicable", "unresolved"), "rv_coll": valid & r.isin("overbroad", "partial"),
-        "s_any": sens, "s_rev": sens & (ss == "review-required"), "s_nm": sens & (ss == "not-measured"), "s_miss": sens & (s == "miss"),
-        "n_any": non, "n_rev": non & (ss == "review-required"), "n_nm": non & (ss == "not-measured"), "n_fp": non & (s == "false-positive"),
-        "a_srev": ss == "review-required", "a_snm": ss == "not-measured", "a_sfail": ss == "fail",
-        "a_tnm": ts == "not-measured", "a_tfail": ts == "fail", "a_trev": ts == "review-required",
-        "e_rev": end & (ss == "review-required"), "e_nm": end & (ss == "not-measured"), "e_fail": end & (ss == "fail"),
-    }
-
-
-def case_flags(outcomes: DataFrame) -> DataFrame:
-    """(scanner_id, case_id, method, language, jurisdiction, open, flags): one word for each scanner and case."""
-    cols = flag_columns()
-    word = sum((cols[name].cast("long") * (1 << i) for i, name in enumerate(FLAGS)), F.lit(0))
-    unclear = (F.col("sensitivity") == "not-established").cast("int")
-    return outcomes.groupBy("scanner_id", "case_id", "method", "language", "jurisdiction").agg(F.max(unclear).alias("open"), F.bit_or(word).alias("flags"))
-
-
-def flag(name: str) -> Column:
-    return F.col("flags").bitwiseAND(F.lit(1 << FLAGS.index(name))) != 0
-
-
-def buckets(flags: DataFrame) -> DataFrame:
-    """Each case's bucket in every metric: numerator, other, unresolved, not-measured or not-applicable."""
-
-    def resolve(review: Column, missing: Column, event: Column) -> Column:
-        return F.when(review, "unresolved").when(missing, "not-measured").when(event, "numerator").otherwise("other")
-
-    no, yes, method = F.lit(False), F.lit(True), F.col("method")
-    none = "not-applicable"
-    of = {
-        "type-miss-rate": F.when(flag("vt_any"), resolve(no, flag("vt_nm"), flag("vt_miss"))).otherwise(none),
-        "wrong-family-rate": F.when(flag("vt_any"), resolve(no, flag("vt_nm"), flag("vt_wf"))).otherwise(none),
-        "wrong-jurisdiction-rate": F.when(flag("vt_any") & F.col("jurisdiction").isNotNull(), resolve(no, flag("vt_nm"), flag("vt_wj"))).otherwise(none),
-        "sensitive-miss-rate": F.when(flag("s_any"), resolve(flag("s_rev"), flag("s_nm"), flag("s_miss"))).otherwise(none),
-        "non-sensitive-flag-rate": F.when(flag("n_any"), resolve(flag("n_rev"), flag("n_nm"), flag("n_fp"))).otherwise(none),
-        "context-discrimination-rate": F.when(method == "context-discrimination", resolve(flag("e_rev"), flag("e_nm"), ~flag("e_fail"))),
-        "benign-suppression-rate": F.when(method == "pii-benign", resolve(flag("a_srev"), flag("a_snm"), ~flag("a_sfail"))).otherwise(none),
-        "jurisdiction-collision-rate": F.when(method == "jurisdiction-collision", resolve(flag("a_trev"), flag("a_tnm"), ~flag("a_tfail"))).otherwise(none),
-        "range-collateral-rate": F.when(flag("vt_any") & flag("rv_nonmiss"), resolve(no, flag("rv_na"), flag("rv_coll"))).otherwise(none),
+        "missed_type": F.when(valid, typed(kind == "miss")),
+        "wrong_family": F.when(valid, typed(kind == "wrong-family")),
+        "wrong_place": F.when(valid & F.col("jurisdiction").isNotNull(), typed(kind == "wrong-jurisdiction")),
+        "missed_sensitive": F.when(F.col("sensitivity") == "sensitive", gaps(mood, event(mood == "miss"))),
+        "flagged_harmless": F.when(F.col("sensitivity") == "non-sensitive", gaps(mood, event(mood == "false-positive"))),
+        "ends_told_apart": F.when(method == "context-discrimination", F.when(F.col("context_class") == "neutral", CLEAR).otherwise(gaps(mood, wrong_mood))),
+        "benign_left_alone": F.when(method == "pii-benign", gaps(mood, wrong_mood)),
+        "collision_resolved": F.when(method == "jurisdiction-collision", gaps(kind, wrong_kind)),
+        "range_off": F.when(valid & (span != "miss"), F.when(span.isin("not-applicable", "unresolved"), MISSING).otherwise(event(span.isin("overbroad", "partial")))),
+        "type_measurable": gaps(kind, F.lit(CLEAR)),
+        "sensitivity_measurable": F.when(F.col("sensitivity") == "not-established", REVIEW).otherwise(gaps(mood, F.lit(CLEAR))),
     }
-    share = [resolve(flag("a_trev"), flag("a_tnm"), yes), F.when(F.col("open") == 1, "unresolved").otherwise(resolve(flag("a_srev"), flag("a_snm"), yes))]
-    items = [F.struct(F.lit(m).alias("metric"), b.alias("bucket")) for m, b in [*of.items(), *(("measurable-share", b) for b in share)]]
-    rows = flags.select("scanner_id", "case_id", *STRATA, F.explode(F.array(*items)).alias("i"))
+
+
+def case_standings(outcomes: DataFrame) -> DataFrame:
+    """(scanner_id, case_id, method, language, jurisdiction) and the worst standing in each metric."""
+    worst = [F.max(c.cast("byte")).alias(name) for name, c in standings().items()]
+    return outcomes.groupBy("scanner_id", "case_id", *sorted(STRATA)).agg(*worst)
+
+
+def buckets(cases: DataFrame) -> DataFrame:
+    """Each case's bucket in every metric: numerator, other, unresolved, not-measured or not-applicable.
+
+    A case of another method is not in the context metric at all.
+    """
+
+    def bucket(name: str) -> Column:
+        c = F.col(name)
+        hit = EVENT if name in COUNTS_EVENTS else CLEAR
+        found = F.when(c == REVIEW, "unresolved").when(c == MISSING, "not-measured").when(c == hit, "numerator").when(c.isNotNull(), "other")
+        return found if name == "ends_told_apart" else F.coalesce(found, F.lit("not-applicable"))
+
+    items = [F.struct(F.lit(metric).alias("metric"), bucket(name).alias("bucket")) for name, metric in STANDINGS.items()]
+    rows = cases.select("scanner_id", "case_id", *STRATA, F.explode(F.array(*items)).alias("i"))
     return rows.select("scanner_id", "case_id", *STRATA, "i.metric", "i.bucket").where("bucket is not null")
 
 

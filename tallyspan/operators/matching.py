@@ -1,8 +1,8 @@
 """Matching expectations with findings, and the four axes of each outcome.
 
-expectations and findings meet on (scanner, variant) with an interval condition left for the join to check; the primary
-finding of an occurrence is one aggregate, ``min`` of a struct in order of preference, so the shuffle carries partial minima and no
-window sorts whole groups. Duplicated findings are kept and counted.
+expectations and findings meet once, on the variant; the primary finding of an occurrence is one aggregate, ``min`` of a
+struct in order of preference, so no window sorts whole groups. Scanners without a finding are added after that from the
+scanner table, which is small. Duplicated findings are kept and counted.
 """
 
 from __future__ import annotations
@@ -27,18 +27,6 @@ def candidates(matrix_: DataFrame, findings: DataFrame, how: str = "inner") -> D
     return matrix_.join(f, on, how).drop(f.scanner_id).drop(f.variant_id)
 
 
-def scoped(matrix_: DataFrame, findings: DataFrame) -> DataFrame:
-    """Findings of an occurrence that is about the whole text: same family, and jurisdiction if the case has one."""
-    f = findings.drop("case_id")
-    same = F.col("f_family") == F.col("family")
-    place = F.col("jurisdiction").isNull() | (F.col("f_jurisdiction") == F.col("jurisdiction"))
-    rows = matrix_.where("text_negative")
-    on = (rows.scanner_id == f.scanner_id) & (rows.variant_id == f.variant_id)
-    return rows.join(f, on, "left").withColumn("hit", F.coalesce(same & place, F.lit(False))).withColumn(
-        "lacks", F.coalesce(F.col("f_start").isNotNull() & (F.col("f_family").isNull() | (same & F.col("jurisdiction").isNotNull() & F.col("f_jurisdiction").isNull())), F.lit(False))
-    ).drop(f.scanner_id).drop(f.variant_id)
-
-
 def preference() -> Column:
     """Order of preference among an occurrence's candidates: closeness, identity, completeness, then the finding itself."""
     rank, tight = ranges.closeness(F.col("exp_start"), F.col("exp_end"), F.col("f_start"), F.col("f_end"))
@@ -82,53 +70,66 @@ def sensitivity_state(n: Column, flag: Column) -> Column:
     return F.when(cap == "unsupported", "not-measured").when(wanted.isin("not-established", "context-dependent"), "unresolved").otherwise(judged)
 
 
+def found_by_scanner(expectations: DataFrame, findings: DataFrame) -> DataFrame:
+    """(variant_id, occurrence_id, e, found): each occurrence and what each scanner reported of it.
+
+    Occurrences meet findings once, on the variant. A located occurrence takes the findings whose ranges overlap it; one about the whole text
+    takes those of its family, and of its jurisdiction if it has one. Both folds below need no further shuffle, as
+    rows lie together by variant already. ``found`` holds at most one entry for each scanner.
+    """
+    f = findings.select(F.col("variant_id").alias("f_variant"), "scanner_id", "f_start", "f_end", "f_family", "f_jurisdiction", "f_sensitive", "f_action")
+    rows = expectations.join(f, F.col("variant_id") == F.col("f_variant"), "left")
+    whole, juris = F.col("text_negative"), F.col("jurisdiction")
+    same, here = F.col("f_family") == F.col("family"), F.col("f_start").isNotNull()
+    scoped = here & same & (juris.isNull() | (F.col("f_jurisdiction") == juris))
+    located = ranges.overlaps(F.col("exp_start"), F.col("exp_end"), F.col("f_start"), F.col("f_end"))
+    rows = rows.withColumn("hit", F.coalesce(F.when(whole, scoped).otherwise(located), F.lit(False)))
+    lacks = whole & here & (F.col("f_family").isNull() | (same & juris.isNotNull() & F.col("f_jurisdiction").isNull()))
+    flag = F.when(F.col("f_sensitive"), 0).when(F.col("f_sensitive").isNull(), 1).otherwise(2)
+    names = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(F.col("hit"), F.col(c)))), ",").alias(c)
+    once = rows.groupBy("variant_id", "occurrence_id", "scanner_id").agg(
+        F.first(F.struct(*expectations.columns)).alias("e"),
+        F.count_if("hit").alias("n"),
+        F.min(F.when(F.col("hit") & ~whole, preference())).alias("p"),
+        F.bool_or(F.coalesce(lacks, F.lit(False))).alias("lacks"),
+        F.min(F.when(F.col("hit") & whole, flag)).alias("flag"),
+        names("f_family"),
+        names("f_jurisdiction"),
+    )
+    entry = F.struct("scanner_id", "n", "p", "lacks", "flag", F.col("f_family").alias("families"), F.col("f_jurisdiction").alias("jurisdictions"))
+    return once.groupBy("variant_id", "occurrence_id").agg(F.first("e").alias("e"), F.collect_list(entry).alias("found"))
+
+
 def assess(expectations: DataFrame, scanners: DataFrame, findings: DataFrame) -> DataFrame:
     """One outcome for every scanner and occurrence."""
-    every = matrix(expectations, scanners)
-    whole = expectations.columns + [c for c in scanners.columns]
     measured = F.col("status") == "complete"
     unsupported = (F.col("cap_family") == "unsupported") | (F.col("unsupported_family") == F.col("family"))
     live = findings.join(F.broadcast(scanners.where(measured).select("scanner_id")), "scanner_id", "left_semi")
 
-    found = primaries(candidates(every.where(measured & F.col("exp_start").isNotNull()), live))
-    located = every.where("not text_negative").join(found, list(KEYS), "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    p, n = F.col("p"), F.col("n")
-    ranged = F.col("exp_start").isNotNull()
-    kind = F.when(n > 0, ranges.relation(F.col("exp_start"), F.col("exp_end"), p["f_start"], p["f_end"])).otherwise("miss")
-    act = F.when(n > 0, p["f_action"])
-    located = located.select(
-        *whole,
-        type_state(n, p, unsupported).alias("type_state"),
-        sensitivity_state(n, p["f_sensitive"]).alias("sensitivity_state"),
-        F.when(ranged, kind).otherwise("unresolved").alias("range_state"),
-        F.when(~ranged, "not-measured").when(act.isNotNull(), "reported").otherwise("no-action-reported").alias("action_state"),
-        F.when(ranged, act).alias("action"),
-        n.alias("finding_count"),
-        F.coalesce("families", F.lit("")).alias("families"),
-        F.coalesce("jurisdictions", F.lit("")).alias("jurisdictions"),
-    )
+    every = found_by_scanner(expectations, live).crossJoin(F.broadcast(scanners))
+    mine = F.filter("found", lambda x: x["scanner_id"] == F.col("scanner_id"))
+    every = every.select("e.*", *scanners.columns, F.try_element_at(mine, F.lit(1)).alias("x"))
+    x = F.col("x")
+    every = every.select("*", F.coalesce(x["n"], F.lit(0)).alias("n"), x["p"].alias("p"), F.coalesce(x["lacks"], F.lit(False)).alias("lacks"), x["flag"].alias("flag"))
 
-    near = scoped(every.where(measured), live)
-    flag_rank = F.when(F.col("f_sensitive"), 0).when(F.col("f_sensitive").isNull(), 1).otherwise(2)
-    names = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(F.col("hit"), F.col(c)))), ",")
-    near = near.groupBy(*KEYS).agg(F.count_if("hit").alias("n"), F.bool_or("lacks").alias("lacks"), F.min(F.when(F.col("hit"), flag_rank)).alias("flag"), names("f_family").alias("families"), names("f_jurisdiction").alias("jurisdictions"))
-    rows = every.where("text_negative").join(near, list(KEYS), "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("lacks", F.coalesce("lacks", F.lit(False)))
+    p, n, whole, ranged = F.col("p"), F.col("n"), F.col("text_negative"), F.col("exp_start").isNotNull()
+    nothing = F.lit(None).cast("string")
     gaps = F.col("lacks") | (F.col("cap_family") != "supported") | (F.col("cap_sensitivity") != "supported")
-    kind, mood = type_state(n, F.struct(F.lit(None).cast("string").alias("f_family"), F.lit(None).cast("string").alias("f_jurisdiction")), unsupported), sensitivity_state(n, F.when(F.col("flag") == 0, True).when(F.col("flag") == 2, False))
-    negative = rows.select(
-        *whole,
-        F.when((kind == "invalid-correct") & gaps, "not-measured").otherwise(kind).alias("type_state"),
-        F.when((mood == "correct") & (F.col("sensitivity") == "non-sensitive") & F.col("lacks"), "not-measured").otherwise(mood).alias("sensitivity_state"),
-        F.lit("not-applicable").alias("range_state"),
-        F.lit("not-measured").alias("action_state"),
-        F.lit(None).cast("string").alias("action"),
+    kind, mood = type_state(n, p, unsupported), sensitivity_state(n, F.when(whole, F.when(F.col("flag") == 0, True).when(F.col("flag") == 2, False)).otherwise(p["f_sensitive"]))
+    span = F.when(n > 0, ranges.relation(F.col("exp_start"), F.col("exp_end"), p["f_start"], p["f_end"])).otherwise("miss")
+    act = F.when(~whole & ranged & (n > 0), p["f_action"])
+    return every.select(
+        *expectations.columns,
+        *scanners.columns,
+        F.when(~measured | (whole & (kind == "invalid-correct") & gaps), "not-measured").otherwise(kind).alias("type_state"),
+        F.when(~measured | (whole & (mood == "correct") & (F.col("sensitivity") == "non-sensitive") & F.col("lacks")), "not-measured").otherwise(mood).alias("sensitivity_state"),
+        F.when(~measured | whole, "not-applicable").when(~ranged, "unresolved").otherwise(span).alias("range_state"),
+        F.when(~measured | whole | ~ranged, "not-measured").when(act.isNotNull(), "reported").otherwise("no-action-reported").alias("action_state"),
+        F.when(act.isNotNull(), act).otherwise(nothing).alias("action"),
         n.alias("finding_count"),
-        F.coalesce("families", F.lit("")).alias("families"),
-        F.coalesce("jurisdictions", F.lit("")).alias("jurisdictions"),
+        F.coalesce(x["families"], F.lit("")).alias("families"),
+        F.coalesce(x["jurisdictions"], F.lit("")).alias("jurisdictions"),
     )
-    out = located.unionByName(negative)
-    void = {"type_state": "not-measured", "sensitivity_state": "not-measured", "range_state": "not-applicable", "action_state": "not-measured"}
-    return out.withColumns({c: F.when(measured, F.col(c)).otherwise(v) for c, v in void.items()})
 
 
 def gated(outcomes: DataFrame, held: DataFrame) -> DataFrame:

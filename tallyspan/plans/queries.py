@@ -42,11 +42,11 @@ class Of:
     def outcomes(self) -> DataFrame:
         return matching.assess(self.expectations, self.scanners, self.findings)
 
-    def flags(self) -> DataFrame:
-        return accounting.case_flags(self.outcomes())
+    def cases_folded(self) -> DataFrame:
+        return accounting.case_standings(self.outcomes())
 
     def metrics(self) -> DataFrame:
-        return accounting.published(accounting.tallies(accounting.buckets(self.flags())))
+        return accounting.published(accounting.tallies(accounting.buckets(self.cases_folded())))
 
 
 STATES = ["type_state", "sensitivity_state", "range_state", "action_state"]
@@ -142,19 +142,23 @@ def unmeasured_scanner_rows(spark: SparkSession, d: str) -> DataFrame:
     return Of(spark, d).outcomes().where(verify.is_unmeasured()).select(*AXES)
 
 
-@query(sql.ask("SELECT scanner_id, case_id, CAST(" + " + ".join(f"{f}::BIGINT * {1 << i}" for i, f in enumerate(accounting.FLAGS)) + " AS BIGINT) AS flags FROM folded", (*sql.ASSESSED, sql.FOLDED)))
+_STANDINGS = ", ".join(f"coalesce({name}, -1) AS {name}" for name in accounting.STANDINGS)
+
+
+@query(sql.ask(f"SELECT scanner_id, case_id, {_STANDINGS} FROM folded", (*sql.ASSESSED, sql.FOLDED)))
 def case_flags(spark: SparkSession, d: str) -> DataFrame:
-    return Of(spark, d).flags().select("scanner_id", "case_id", "flags")
+    """Each case's standing in each metric, -1 where the metric does not look at it."""
+    return Of(spark, d).cases_folded().select("scanner_id", "case_id", *[F.coalesce(F.col(c).cast("int"), F.lit(-1)).alias(c) for c in accounting.STANDINGS])
 
 
 @query(sql.ask("SELECT scanner_id, metric, bucket, count(*) AS n FROM bucketed WHERE bucket IS NOT NULL GROUP BY ALL", (*sql.ASSESSED, sql.FOLDED, sql.BUCKETED)))
 def metric_buckets(spark: SparkSession, d: str) -> DataFrame:
-    return accounting.buckets(Of(spark, d).flags()).groupBy("scanner_id", "metric", "bucket").agg(F.count("*").alias("n"))
+    return accounting.buckets(Of(spark, d).cases_folded()).groupBy("scanner_id", "metric", "bucket").agg(F.count("*").alias("n"))
 
 
 def _by(stratum: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        counts = accounting.tallies(accounting.buckets(Of(spark, d).flags()))
+        counts = accounting.tallies(accounting.buckets(Of(spark, d).cases_folded()))
         return counts.where(F.col("stratum") == stratum).select(*METRIC, "value")
 
     run.__name__ = "metric_counts_overall" if stratum == "overall" else f"metric_counts_by_{stratum}"
@@ -210,7 +214,7 @@ def view_composition(spark: SparkSession, d: str) -> DataFrame:
 @query(sql.ask(f"SELECT b.scanner_id, {_VIEW.replace('case_id', 'b.case_id')} AS view, c.family, b.metric, {sql._COUNTS} FROM bucketed b JOIN cases c USING (case_id) WHERE bucket IS NOT NULL GROUP BY ALL", (*sql.ASSESSED, sql.FOLDED, sql.BUCKETED)))
 def projection_cells(spark: SparkSession, d: str) -> DataFrame:
     p = Of(spark, d)
-    rows = accounting.buckets(p.flags()).withColumn("view", F.expr(_VIEW)).join(p.cases.select("case_id", "family"), "case_id")
+    rows = accounting.buckets(p.cases_folded()).withColumn("view", F.expr(_VIEW)).join(p.cases.select("case_id", "family"), "case_id")
     cells = rows.groupBy("scanner_id", "view", "family", "metric", "bucket").agg(F.count("*").alias("n"))
     total = lambda name, *of: F.sum(F.when(F.col("bucket").isin(*of), F.col("n")).otherwise(0)).alias(name)
     return cells.groupBy("scanner_id", "view", "family", "metric").agg(total("eligible", "numerator", "other", "unresolved", "not-measured"), total("measured", "numerator", "other"), *[total(b.replace("-", "_"), b) for b in ("numerator", "unresolved", "not-measured", "not-applicable")], F.sum("n").alias("total"))
@@ -248,7 +252,7 @@ def scope_violations(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql.ask("SELECT scanner_id, metric, numerator + 1 AS stored, numerator AS recomputed FROM tallied WHERE stratum = 'overall' AND metric = 'type-miss-rate'"))
 def metric_recompute_diff(spark: SparkSession, d: str) -> DataFrame:
-    now = accounting.tallies(accounting.buckets(Of(spark, d).flags())).where("stratum = 'overall'").select("scanner_id", "metric", "numerator")
+    now = accounting.tallies(accounting.buckets(Of(spark, d).cases_folded())).where("stratum = 'overall'").select("scanner_id", "metric", "numerator")
     then = now.withColumn("numerator", F.col("numerator") + F.when(F.col("metric") == "type-miss-rate", 1).otherwise(0))
     return verify.changed(then, now, ["scanner_id", "metric"], "numerator")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators.accounting import FLAGS, METRICS
+from ..operators.accounting import COUNTS_EVENTS, METRICS, STANDINGS
 from ..sources.population import sql_with
 
 MATRIX = ("mat", "SELECT * FROM expectations CROSS JOIN scanners")
@@ -78,48 +78,43 @@ OUTCOMES = (
   CASE WHEN NOT text_negative AND exp_start IS NOT NULL THEN f_action END AS action, n AS finding_count
 FROM states""",
 )
-_TS = "CASE WHEN type_state IN ('correct', 'invalid-correct') THEN 'pass' WHEN type_state = 'unresolved' THEN 'review-required' WHEN type_state = 'not-measured' THEN 'not-measured' ELSE 'fail' END"
-_SS = _TS.replace("type_state IN ('correct', 'invalid-correct')", "sensitivity_state = 'correct'").replace("type_state", "sensitivity_state")
-_V, _S, _N, _E = "type_expectation = 'valid'", "sensitivity = 'sensitive'", "sensitivity = 'non-sensitive'", "context_class <> 'neutral'"
-_FLAG = {
-    "vt_any": _V, "vt_nm": f"{_V} AND type_state = 'not-measured'", "vt_miss": f"{_V} AND type_state = 'miss'", "vt_wf": f"{_V} AND type_state = 'wrong-family'", "vt_wj": f"{_V} AND type_state = 'wrong-jurisdiction'",
-    "rv_nonmiss": f"{_V} AND range_state <> 'miss'", "rv_na": f"{_V} AND range_state IN ('not-applicable', 'unresolved')", "rv_coll": f"{_V} AND range_state IN ('overbroad', 'partial')",
-    "s_any": _S, "s_rev": f"{_S} AND ss = 'review-required'", "s_nm": f"{_S} AND ss = 'not-measured'", "s_miss": f"{_S} AND sensitivity_state = 'miss'",
-    "n_any": _N, "n_rev": f"{_N} AND ss = 'review-required'", "n_nm": f"{_N} AND ss = 'not-measured'", "n_fp": f"{_N} AND sensitivity_state = 'false-positive'",
-    "a_srev": "ss = 'review-required'", "a_snm": "ss = 'not-measured'", "a_sfail": "ss = 'fail'",
-    "a_tnm": "ts = 'not-measured'", "a_tfail": "ts = 'fail'", "a_trev": "ts = 'review-required'",
-    "e_rev": f"{_E} AND ss = 'review-required'", "e_nm": f"{_E} AND ss = 'not-measured'", "e_fail": f"{_E} AND ss = 'fail'",
-}
-FOLDED = (
-    "folded",
-    "SELECT scanner_id, case_id, method, language, jurisdiction, max((sensitivity = 'not-established')::INT) AS open, "
-    + ", ".join(f"bool_or({_FLAG[f]}) AS {f}" for f in FLAGS)
-    + f" FROM (SELECT *, {_TS} AS ts, {_SS} AS ss FROM outcomes) GROUP BY ALL",
-)
+_VALID, _METHOD = "type_expectation = 'valid'", "method = '{}'"
+_TYPE, _MOOD = "type_state = 'not-measured'", "sensitivity_state = 'not-measured'"
+_TYPE_REVIEW, _MOOD_REVIEW = "type_state = 'unresolved'", "sensitivity_state = 'unresolved'"
+_BAD_MOOD = "sensitivity_state NOT IN ('correct', 'unresolved', 'not-measured')"
+_ENDS = f"{_METHOD.format('context-discrimination')} AND context_class <> 'neutral'"
+#: For each standing: the outcomes that it looks at, those under review, those not measured, and those with an event.
+_LOOKS = {
+    "missed_type": (_VALID, "FALSE", _TYPE, "type_state = 'miss'"),
+    "wrong_family": (_VALID, "FALSE", _TYPE, "type_state = 'wrong-family'"),
+    "wrong_place": (f"{_VALID} AND jurisdiction IS NOT NULL", "FALSE", _TYPE, "type_state = 'wrong-jurisdiction'"),
+    "missed_sensitive": ("sensitivity = 'sensitive'", _MOOD_REVIEW, _MOOD, "sensitivity_state = 'miss'"),
+    "flagged_harmless": ("sensitivity = 'non-sensitive'", _MOOD_REVIEW, _MOOD, "sensitivity_state = 'false-positive'"),
+    "ends_told_apart": (_METHOD.format("context-discrimination"), f"{_ENDS} AND {_MOOD_REVIEW}", f"{_ENDS} AND {_MOOD}", f"{_ENDS} AND {_BAD_MOOD}"),
+    "benign_left_alone": (_METHOD.format("pii-benign"), _MOOD_REVIEW, _MOOD, _BAD_MOOD),
+    "collision_resolved": (_METHOD.format("jurisdiction-collision"), _TYPE_REVIEW, _TYPE, "type_state NOT IN ('correct', 'invalid-correct', 'unresolved', 'not-measured')"),
+    "range_off": (f"{_VALID} AND range_state <> 'miss'", "FALSE", "range_state IN ('not-applicable', 'unresolved')", "range_state IN ('overbroad', 'partial')"),
+    "type_measurable": ("TRUE", _TYPE_REVIEW, _TYPE, "FALSE"),
+    "sensitivity_measurable": ("TRUE", f"({_MOOD_REVIEW} OR sensitivity = 'not-established')", _MOOD, "FALSE"),
+}
+
+
+def _standing(name: str) -> str:
+    looked, review, missing, event = _LOOKS[name]
+    some = lambda test: f"count(*) FILTER ({looked} AND {test}) > 0"
+    return f"CASE WHEN {some(review)} THEN 3 WHEN {some(missing)} THEN 2 WHEN {some(event)} THEN 1 WHEN {some('TRUE')} THEN 0 END AS {name}"
 
 
-def _r(review: str, missing: str, event: str) -> str:
-    return f"CASE WHEN {review} THEN 'unresolved' WHEN {missing} THEN 'not-measured' WHEN {event} THEN 'numerator' ELSE 'other' END"
+FOLDED = ("folded", "SELECT scanner_id, case_id, method, language, jurisdiction, " + ", ".join(map(_standing, STANDINGS)) + " FROM outcomes GROUP BY ALL")
 
 
-def _if(test: str, then: str, other: str = "'not-applicable'") -> str:
-    return f"CASE WHEN {test} THEN {then} ELSE {other} END"
+def _bucket(name: str) -> str:
+    one, zero = ("'numerator'", "'other'") if name in COUNTS_EVENTS else ("'other'", "'numerator'")
+    none = "" if name == "ends_told_apart" else " ELSE 'not-applicable'"
+    return f"CASE {name} WHEN 3 THEN 'unresolved' WHEN 2 THEN 'not-measured' WHEN 1 THEN {one} WHEN 0 THEN {zero}{none} END"
 
 
-_BUCKETS = [
-    ("type-miss-rate", _if("vt_any", _r("FALSE", "vt_nm", "vt_miss"))),
-    ("wrong-family-rate", _if("vt_any", _r("FALSE", "vt_nm", "vt_wf"))),
-    ("wrong-jurisdiction-rate", _if("vt_any AND jurisdiction IS NOT NULL", _r("FALSE", "vt_nm", "vt_wj"))),
-    ("sensitive-miss-rate", _if("s_any", _r("s_rev", "s_nm", "s_miss"))),
-    ("non-sensitive-flag-rate", _if("n_any", _r("n_rev", "n_nm", "n_fp"))),
-    ("context-discrimination-rate", _if("method = 'context-discrimination'", _r("e_rev", "e_nm", "NOT e_fail"), "NULL")),
-    ("benign-suppression-rate", _if("method = 'pii-benign'", _r("a_srev", "a_snm", "NOT a_sfail"))),
-    ("jurisdiction-collision-rate", _if("method = 'jurisdiction-collision'", _r("a_trev", "a_tnm", "NOT a_tfail"))),
-    ("range-collateral-rate", _if("vt_any AND rv_nonmiss", _r("FALSE", "rv_na", "rv_coll"))),
-    ("measurable-share", _r("a_trev", "a_tnm", "TRUE")),
-    ("measurable-share", _if("open = 1", "'unresolved'", _r("a_srev", "a_snm", "TRUE"))),
-]
-BUCKETED = ("bucketed", " UNION ALL ".join(f"SELECT scanner_id, case_id, language, jurisdiction, method, '{m}' AS metric, {b} AS bucket FROM folded" for m, b in _BUCKETS))
+BUCKETED = ("bucketed", " UNION ALL ".join(f"SELECT scanner_id, case_id, language, jurisdiction, method, '{m}' AS metric, {_bucket(c)} AS bucket FROM folded" for c, m in STANDINGS.items()))
 ASSESSED = (MATRIX, PAIRS, RANKED, SEEN, LOCATED, SCOPED, NEGATIVE, STATES, OUTCOMES)
 _COUNTS = """count(*) FILTER (bucket IN ('numerator', 'other', 'unresolved', 'not-measured')) AS eligible, count(*) FILTER (bucket IN ('numerator', 'other')) AS measured,
   count(*) FILTER (bucket = 'numerator') AS numerator, count(*) FILTER (bucket = 'unresolved') AS unresolved, count(*) FILTER (bucket = 'not-measured') AS not_measured,

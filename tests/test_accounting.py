@@ -45,6 +45,6 @@ NAMES = "case_id method language jurisdiction context_class type_expectation sen
 def test_hand_worked_metrics_in_any_order(spark):
     df = spark.createDataFrame(ROWS, ", ".join(f"{n} string" for n in NAMES)).withColumn("scanner_id", F.lit(0))
     for rows in (df, df.repartition(5).orderBy(F.rand(3))):
-        out = accounting.published(accounting.tallies(accounting.buckets(accounting.case_flags(rows))))
+        out = accounting.published(accounting.tallies(accounting.buckets(accounting.case_standings(rows))))
         got = {r.metric: tuple(r[c] for c in "eligible measured numerator unresolved not_measured not_applicable total n status point bound".split()) for r in out.where("stratum = 'overall'").collect()}
         assert got == WANT
