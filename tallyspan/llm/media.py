@@ -24,6 +24,8 @@ from .common import slices
 #: Fixed values of the track that is written.
 WIDTH, HEIGHT, TICKS, KEY_EVERY, CHUNK = 16, 12, 25, 12, 8
 FRAME = WIDTH * HEIGHT
+#: Levels of a path that are kept apart.
+DEEPEST = 8
 #: Boxes that hold boxes.
 PARENTS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 
@@ -71,10 +73,13 @@ def pack(data: bytes) -> bytes:
     return b"".join((_TYPE, box(b"mdat", data), box(b"moov", movie, box(b"trak", header, media))))
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, first byte, end) of the content of every box, parents before children; a damaged size ends the walk."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+def walk(data: bytes) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """(path, first byte, end) of the content of every box, parents before children; a damaged size ends its parent's walk."""
+    open_: list[tuple[tuple[bytes, ...], int, int]] = [((), 0, len(data))]
+    while open_:
+        path, start, end = open_.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         head = 8
         if size == 1 and start + 16 <= end:
@@ -82,46 +87,87 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
         elif size == 0:
             size = end - start
         if size < head or start + size > end:
-            return
-        yield (*path, kind), start + head, start + size
+            continue
+        open_.append((path, start + size, end))
+        # Paths deeper than any container's are kept at their end.
+        inner = (*path[:DEEPEST], kind)
+        yield inner, start + head, start + size
         if kind in PARENTS:
-            yield from walk(data, start + head, start + size, (*path, kind))
-        start += size
+            open_.append((inner, start + head, start + size))
+
 
+class Damaged(ValueError):
+    """A table that does not fit its box, the file or the other tables."""
 
-def _numbers(data: bytes, at: int, kind: str, count: int) -> np.ndarray:
-    return np.frombuffer(data, dtype=kind, count=count, offset=at).astype(np.int64)
+
+def _sound(test: bool) -> None:
+    if not test:
+        raise Damaged
 
 
 class Index:
-    """The first track with a sample table."""
+    """The first track with a sample table: codec, time scale, duration, and each sample's place.
+
+    A file without such a track has the codec ``none``; one whose tables are damaged has the codec ``damaged``; both have no samples. Nothing
+    is read beyond a box, and nothing is laid out by a count that the box or the file is too short for.
+    """
 
     def __init__(self, data: bytes):
-        at: dict[bytes, int] = {}
-        for path, a, _ in walk(data):
-            if path[:2] == (b"moov", b"trak") and path[-1] not in at and b"stco" not in at and b"co64" not in at:
-                at[path[-1]] = a
         self.codec, self.scale, self.duration = "none", 0, 0
         self.starts = self.sizes = self.keys = np.zeros(0, dtype=np.int64)
+        at: dict[bytes, tuple[int, int]] = {}
+        for path, a, b in walk(data):
+            if path[:2] == (b"moov", b"trak") and path[-1] not in at and b"stco" not in at and b"co64" not in at:
+                at[path[-1]] = a, b
         offsets = b"co64" if b"co64" in at else b"stco"
         if not {b"mdhd", b"stsd", b"stts", b"stsc", b"stsz", offsets} <= at.keys():
             return
-        u = lambda kind, skip: struct.unpack_from(">I", data, at[kind] + skip)[0]
-        self.codec = data[at[b"stsd"] + 12 : at[b"stsd"] + 16].decode("latin-1").strip()
-        self.scale = u(b"mdhd", 20) if data[at[b"mdhd"]] == 1 else u(b"mdhd", 12)
-        times = _numbers(data, at[b"stts"] + 8, ">u4", 2 * u(b"stts", 4)).reshape(-1, 2)
-        self.duration = int((times[:, 0] * times[:, 1]).sum())
-        n = u(b"stsz", 8)
-        fixed = u(b"stsz", 4)
-        self.sizes = np.full(n, fixed, dtype=np.int64) if fixed else _numbers(data, at[b"stsz"] + 12, ">u4", n)
-        chunks = _numbers(data, at[offsets] + 8, ">u8" if offsets == b"co64" else ">u4", u(offsets, 4))
-        runs = _numbers(data, at[b"stsc"] + 8, ">u4", 3 * u(b"stsc", 4)).reshape(-1, 3)
-        per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0] - 1, len(chunks))))
-        chunk = np.repeat(np.arange(len(chunks)), per)[:n]
+        try:
+            found = self._tables(data, at, offsets)
+        except Damaged:
+            self.codec = "damaged"
+            return
+        self.codec, self.scale, self.duration, self.starts, self.sizes, self.keys = found
+
+    @staticmethod
+    def _tables(data: bytes, at: dict[bytes, tuple[int, int]], offsets: bytes) -> tuple[str, int, int, np.ndarray, np.ndarray, np.ndarray]:
+        def number(kind: bytes, skip: int) -> int:
+            begin, end = at[kind]
+            _sound(begin + skip + 4 <= end)
+            return struct.unpack_from(">I", data, begin + skip)[0]
+
+        def table(kind: bytes, skip: int, width: int, form: str = ">u4") -> np.ndarray:
+            begin, end = at[kind]
+            count, cell = number(kind, skip - 4) * width, np.dtype(form).itemsize
+            _sound(begin + skip + count * cell <= end)
+            return np.frombuffer(data, dtype=form, count=count, offset=begin + skip).astype(np.int64).reshape(-1, width)
+
+        number(b"stsd", 12)
+        codec = data[at[b"stsd"][0] + 12 : at[b"stsd"][0] + 16].decode("latin-1").strip()
+        version = number(b"mdhd", 0) >> 24
+        scale = number(b"mdhd", 20 if version == 1 else 12)
+        times = table(b"stts", 8, 2)
+        duration = sum(n * d for n, d in times.tolist())
+        _sound(duration < 1 << 63)
+
+        fixed, n = number(b"stsz", 4), number(b"stsz", 8)
+        _sound(n * fixed <= len(data))
+        sizes = np.full(n, fixed, dtype=np.int64) if fixed else table(b"stsz", 12, 1).ravel()
+        _sound(int(times[:, 0].sum()) == n)
+        chunks = table(offsets, 8, 1, ">u8" if offsets == b"co64" else ">u4").ravel()
+        runs = table(b"stsc", 8, 3)
+        edges = np.append(runs[:, 0] - 1, len(chunks))
+        _sound(edges[0] == 0 and bool((np.diff(edges) >= 0).all()))
+        _sound(sum(c * k for c, k in zip(np.diff(edges).tolist(), runs[:, 1].tolist())) == n)
+        per = np.repeat(runs[:, 1], np.diff(edges))
+        chunk = np.repeat(np.arange(len(chunks)), per)
         first = np.cumsum(per) - per
-        ahead = np.cumsum(self.sizes) - self.sizes
-        self.starts = chunks[chunk] + ahead - ahead[first[chunk]]
-        self.keys = _numbers(data, at[b"stss"] + 8, ">u4", u(b"stss", 4)) - 1 if b"stss" in at else np.arange(n)
+        ahead = np.cumsum(sizes) - sizes
+        starts = chunks[chunk] + ahead - ahead[first[chunk]] if n else np.zeros(0, dtype=np.int64)
+        _sound(bool(((starts >= 0) & (starts <= len(data) - sizes)).all()))
+        keys = table(b"stss", 8, 1).ravel() - 1 if b"stss" in at else np.arange(n)
+        _sound(bool(((keys >= 0) & (keys < n)).all()))
+        return codec, scale, duration, starts, sizes, keys
 
     def read(self, data: bytes) -> bytes:
         """The samples' bytes in order; neighbouring samples are sliced together."""

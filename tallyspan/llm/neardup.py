@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, salted, workspace
 
 #: Vectors that centres are fitted on, vectors of one label that a cell aims at, fewest and most cells, and rows of a block.
-SAMPLE, CELL, LEAST_CELLS, CELLS, BLOCK = 10_000, 1024, 8, 512, 1024
+SAMPLE, CELL, LEAST_CELLS, CELLS, BLOCK = 20_000, 1024, 8, 2048, 1024
 
 
 def fit_centres(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -51,8 +51,15 @@ def fit_centres(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def _unit(vectors: list[bytes]) -> np.ndarray:
+def _scaled(vectors: list[bytes]) -> np.ndarray:
+    """Rows divided by a power of two near their largest component: their cosines stay the same, and squares of very large or small components are not lost."""
     x = np.frombuffer(b"".join(vectors), dtype="<f8").reshape(len(vectors), -1)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _unit(vectors: list[bytes]) -> np.ndarray:
+    """Rows of length one."""
+    x = _scaled(vectors)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -103,7 +110,7 @@ def _compare(threshold: float):
         home, guest = pdf[at_home], pdf[~at_home]
         if not len(home) or not len(guest):
             return pd.DataFrame({"id": [], "n": [], "other": []}, dtype="int64")
-        x, y = (np.frombuffer(b"".join(p["vector"]), dtype="<f8").reshape(len(p), -1) for p in (guest, home))
+        x, y = (_scaled(list(p["vector"])) for p in (guest, home))
         dot = x @ y.T
         dot /= np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1))
         a, b = guest["id"].to_numpy(), home["id"].to_numpy()
@@ -124,10 +131,21 @@ def _vector(col: Column) -> Column:
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """(id_col, n_links, component_id, kept) for each row: links join equal labels with cosine >= threshold."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(F.col(label_col).isNotNull(), _vector(F.col(vector_col))).alias("v"), F.col(label_col).cast("string").alias("label"))
-    good = rows.where("v is not null and id is not null")
-    groups = cut(good.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
+    """(id_col, n_links, component_id, kept) for each row: links join equal labels with cosine >= threshold.
+
+    The rows are computed at once and stand as a table in the shared folder; the working tables are deleted.
+    """
+    spark = vectors.sparkSession
+    with workspace(spark) as folder:
+        return cut(_near(vectors, threshold, id_col, vector_col, label_col, folder))
+
+
+def _near(vectors: DataFrame, threshold: float, id_col: str, vector_col: str, label_col: str, folder: str) -> DataFrame:
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec"), F.when(F.col(label_col).isNotNull(), _vector(F.col(vector_col))).alias("v"), F.col(label_col).cast("string").alias("label"))
+    good = rows.where("v is not null and vec is not null").select("vec", F.struct("label", "v").alias("key"))
+    groups = good.groupBy("key").agg(F.min("vec").alias("least"), F.count("*").alias("copies"))
+    # Rows may repeat a vec_id with another vector, so groups have numbers of their own.
+    groups = cut(groups.select(F.monotonically_increasing_id().alias("id"), "key", "key.label", "key.v", "least", "copies"), folder)
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,11 +162,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     centres = {d: fit_centres(_unit([r["vector"] for r in sample if r["dim"] == d]), k) for d in {r["dim"] for r in sample}}
 
     placed = packed.mapInArrow(_assign(centres, threshold), "id long, copies long, label string, dim int, vector binary, home int, cells array<int>")
-    placed = cut(placed)
+    placed = cut(placed, folder)
     sizes = placed.groupBy("label", "dim", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("home_parts"))
     visits = placed.select("*", F.explode("cells").alias("cell")).drop("cells")
     counts = visits.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("guest_parts"))
-    parts = cut(sizes.join(counts, ["label", "dim", "cell"]))
+    parts = cut(sizes.join(counts, ["label", "dim", "cell"]), folder)
     key = ["label", "dim", "cell"]
     deal = lambda n: F.pmod(F.xxhash64("id", F.lit(5)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -156,12 +174,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     guests = visits.join(parts, key).withColumn("guest_part", deal("guest_parts")).withColumn("home_part", every("home_parts")).withColumn("at_home", F.lit(False))
     homes = placed.withColumn("cell", F.col("home")).join(parts, key).withColumn("home_part", deal("home_parts")).withColumn("guest_part", every("guest_parts")).withColumn("at_home", F.lit(True))
     met = guests.select(*cols).union(homes.select(*cols)).groupBy(*key, "home_part", "guest_part")
-    found = cut(met.applyInPandas(_compare(threshold), "id long, n long, other long"))
-    labels = components(found.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    found = cut(met.applyInPandas(_compare(threshold), "id long, n long, other long"), folder)
+    labels = components(found.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")), folder)
     linked = found.groupBy("id").agg(F.sum("n").alias("n"))
-    head = groups.withColumnsRenamed({"label": "g_label", "v": "g_v"}).join(linked, "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    head = head.select("g_label", "g_v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "id").alias("component_id"))
-    done = good.join(head, (F.col("label") == F.col("g_label")) & (F.col("v") == F.col("g_v"))).select("id", "n_links", "component_id")
-    alone = rows.where("v is null or id is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    head = groups.join(linked, "id", "left").join(labels.select(F.col("node").alias("id"), F.col("label").alias("found")), "id", "left").withColumn("label", F.coalesce("found", "id"))
+    head = cut(head.select("key", "label", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), folder)
+    least = head.groupBy("label").agg(F.min("least").alias("component_id"))
+    head = salted(head, least, "label").select("key", "n_links", "component_id")
+    done = salted(good, head, "key").select("vec", "n_links", "component_id")
+    alone = rows.where("v is null or vec is null").select("vec", F.lit(0).cast("long").alias("n_links"), F.col("vec").alias("component_id"))
     out = done.union(alone)
-    return out.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select(F.col("vec").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec") == F.col("component_id"), F.lit(True)).alias("kept"))

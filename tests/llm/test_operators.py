@@ -91,6 +91,27 @@ def test_media(spark, odd, empty):
     assert media.media_columns(empty).count() == 0
 
 
+def test_media_damaged_files(spark):
+    r = random.Random(7)
+    whole = media.pack(b"a frame of bytes" * 3000)
+    files = [whole[: r.randrange(len(whole))] for _ in range(60)]
+    table = whole.index(b"moov")
+    for _ in range(400):
+        bad = bytearray(whole)
+        for _ in range(r.randint(1, 3)):
+            at = r.randrange(table, len(bad) - 4)
+            bad[at : at + 4] = r.choice([b"\xff\xff\xff\xff", b"\0\0\0\0", r.randbytes(4)])
+        files.append(bytes(bad))
+    nested = b""
+    for _ in range(3000):
+        nested = media.box(b"moov", nested)
+    huge = whole.replace((250).to_bytes(4, "big"), b"\xff\xff\xff\xff")
+    rows = spark.createDataFrame([(bytearray(f),) for f in [*files, nested, huge, b"", whole]], "m binary")
+    out = rows.select(media.index_column(F.col("m")).alias("t"), media.read_column(F.col("m")).alias("p")).collect()
+    assert out[-1].t.codec == "raw" and bytes(out[-1].p) == b"a frame of bytes" * 3000
+    assert any(x.t.codec == "damaged" for x in out) and all(not x.p for x in out if x.t.codec in ("none", "damaged"))
+
+
 def test_media_walks_wide_and_open_boxes():
     inner = media.box(b"free", b"abc")
     wide = b"\0\0\0\1moov" + (16 + len(inner)).to_bytes(8, "big") + inner
@@ -147,6 +168,13 @@ def test_embeddings(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_extreme_and_repeated(spark):
+    rows = [(1, [1e200, 2e200], 1), (2, [1e-200, 2e-200], 1), (3, [5e-324, 1e-323], 1), (4, [-1e308, 1e308], 1), (7, [1.0, 0.0], 2), (7, [0.0, 1.0], 2), (8, [1.0, 0.1], 2), (9, [0.1, 1.0], 2), (9, [0.1, 1.0], 2)]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in out)
+    assert got == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4), (7, 1, 7), (7, 2, 7), (8, 1, 7), (9, 2, 7), (9, 2, 7)]
+
+
 def test_language(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = queries.held_out()
