@@ -185,12 +185,12 @@ def mix(docs: DataFrame, keep: float = 0.8, flatten: float = 0.8, rounds: int =
 
 
 def sampled(docs: DataFrame, keep: float = 0.8, flatten: float = 0.8, rounds: int = 12, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", seed: str = "mix", targets: Targets = None) -> DataFrame:
-    """The selected documents with all their columns, each as often as it has copies."""
+    """The selected documents with all their columns, whatever their names, each as often as it has copies."""
     cells = cell_probabilities(docs, keep, flatten, rounds, id_col, text_col, source_col, lang_col, seed, targets)
     cells = cells.select(*["mix_" + m for m in MARGINS], F.col("rate").alias("mix_rate"))
-    rows = docs.select("*", *_prepared(docs, id_col, text_col, source_col, lang_col, seed)).join(cells, ["mix_" + m for m in MARGINS])
-    rows = rows.withColumn("mix_copies", _copies("mix_draw", "mix_rate")).where("mix_copies > 0")
-    return rows.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("mix_row"), *_prepared(docs, id_col, text_col, source_col, lang_col, seed)).join(cells, ["mix_" + m for m in MARGINS])
+    rows = rows.select("mix_row", _copies("mix_draw", "mix_rate").alias("mix_copies")).where("mix_copies > 0")
+    return rows.select("mix_row", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies")))).select("mix_row.*")
 
 
 def oracle(keep: float = 0.8, flatten: float = 0.8, rounds: int = 12, seed: str = "mix") -> str:

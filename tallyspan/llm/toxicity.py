@@ -116,8 +116,12 @@ def fit_logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndar
     return pw, float(pb)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, features: int = 2048, min_texts: int = 10, l2: float = 3e-4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on at most about ``per_class`` texts of each class; the model has at most ``features`` n-grams."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, features: int = 2048, min_texts: int = 3, least_z: float = 4.0, l2: float = 3e-4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Fit on at most about ``per_class`` texts of each class.
+
+    The model has at most ``features`` n-grams: those held by ``min_texts`` sampled texts or more whose shares of both classes lie at least ``least_z`` standard
+    errors apart, the farthest first. Without both classes every text scores near 0, or near 1 if all labels are toxic.
+    """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     known = known.join(texts.select("id").distinct(), "id", "left_semi")
@@ -132,6 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, features: i
     drawn = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = drawn.get(1, 0), drawn.get(0, 0)
     if not (pos and neg):
+        sample.unpersist()
         return Model(empty, np.zeros(0), 40.0 if pos else -40.0)
     grams = sample.mapInArrow(_count, "gram long, pos long, neg long").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     p, q = F.col("pos") / pos, F.col("neg") / neg
@@ -139,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, features: i
     spread = F.sqrt(both * (1 - both) * (1 / pos + 1 / neg) + 1e-12)
     ratio = F.log((F.col("pos") + 1) / (pos + 2)) - F.log((F.col("neg") + 1) / (neg + 2))
     kept = grams.where(F.col("pos") + F.col("neg") >= min_texts).select("gram", ratio.alias("r"), (F.abs(p - q) / spread).alias("z"))
-    best = kept.where("z >= 4").orderBy(F.desc("z"), "gram").limit(features).collect()
+    best = kept.where(F.col("z") >= least_z).orderBy(F.desc("z"), "gram").limit(features).collect()
     order = np.argsort(np.array([r["gram"] for r in best], dtype=np.int64).view(np.uint64))
     chosen_grams = np.array([r["gram"] for r in best], dtype=np.int64).view(np.uint64)[order]
     ratios = np.array([r["r"] for r in best])[order]

@@ -47,3 +47,11 @@ def test_equal_their_sql(spark, name):
     df = entry.queries()[name](spark, FOLDER)
     assert sorted(df.columns) == sorted(names)
     assert sorted(map(tuple, df.select(*names).collect())) == sorted(cur.fetchall())
+
+
+def test_columns_of_the_same_names_come_through(docs):
+    named = docs.withColumnsRenamed({"n_chars": "mix_draw"}).withColumn("mix_source", docs.doc_id).withColumn("mix_rate", docs.doc_id).withColumn("mix_row", docs.doc_id)
+    out = mixing.sampled(named)
+    assert out.columns == named.columns
+    plain = sorted(r.doc_id for r in mixing.sampled(docs).collect())
+    assert sorted(r.doc_id for r in out.where("mix_row = doc_id and mix_source = doc_id").collect()) == plain

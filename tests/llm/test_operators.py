@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 from hashlib import sha256
 
@@ -60,6 +62,8 @@ def test_jaccard_repeated_and_null_ids(spark, odd, empty):
     assert len(out) == 2 * len(want) + 1
     assert all((r.n_shingles, r.component_id) == want.get(r.doc_id, (1, None)) for r in out)
     assert joins.jaccard_groups(empty).count() == 0
+    clash = joins.one_of_each(odd.withColumn("gone_id", F.lit(1)).withColumn("GONE_ID_", F.lit(2)), 4, 85)
+    assert "gone_id" in clash.columns and {r.doc_id for r in clash.collect()} == {c for _, c in want.values()}
     kept = joins.one_of_each(odd, 4, 85)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {c for _, c in want.values()}
 
@@ -126,6 +130,34 @@ def test_licenses(odd, empty):
     assert licenses.digest(licenses.scan(empty)).count() == 0
 
 
+def plain_notices(text):
+    """Words and places of the base phrases, by the contract's definition."""
+    low = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    phrases = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
+    found = [(i, label) for p, label in phrases.items() for i in range(len(w)) if tuple(w[i : i + len(p)]) == p]
+    at = [i for i, _ in found]
+    return len(w), len(found), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found}))
+
+
+def test_licenses_equal_a_plain_scan(spark, odd):
+    for docs in (odd, spark.read.parquet(f"{FOLDER}/documents.parquet")):
+        texts = texts_of(docs)
+        for r in licenses.digest(licenses.scan(docs)).collect():
+            assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == plain_notices(texts[r.doc_id])
+            assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+
+
+def test_shards_are_those_of_the_highest_bid(spark, odd):
+    """Bids are computed again from Spark's hash of (key, shard, seed) alone, shard by shard."""
+    keys = [r.doc_id for r in odd.select("doc_id").collect()]
+    bids = spark.createDataFrame([(str(k), s) for k in keys for s in range(41)], "k string, s int").select("k", "s", F.xxhash64("k", "s", F.lit(0)).alias("h")).collect()
+    score = {(r.k, r.s): -1 / math.log((((r.h % 2**64) >> 11) + 0.5) / 2**53) for r in bids}
+    for r in sharding.shard_rows(odd).collect():
+        best = lambda n, k=str(r.doc_id): max(range(n), key=lambda s: (score[k, s], -s))
+        assert (r.shard, r.grown_shard) == (best(40), best(41))
+
+
 def test_sharding(odd, empty):
     rows = sharding.shard_rows(odd.union(odd)).collect()
     texts = texts_of(odd)
@@ -196,6 +228,9 @@ def test_toxicity(spark, odd, empty):
     wrong = np.mean([r.score >= 0.5 for r in out if r.toxic == 0])
     assert caught > 0.75 and wrong < 0.02
     assert all(0 <= r.score <= 1 for r in toxicity.score(odd, model, out_col="score").select("score").collect())
+    small, few = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet")
+    told = toxicity.score(small, toxicity.train(small.where(~held), few), out_col="s").join(few, "doc_id").groupBy("toxic").agg(F.avg("s").alias("s"), F.count_distinct("s").alias("n")).collect()
+    assert {r.toxic: r.s > 0.5 for r in told} == {0: False, 1: True} and max(r.n for r in told) > 1
     none = toxicity.train(odd, labels.limit(0))
     assert max(r.score for r in toxicity.score(odd, none).select("score").collect()) < 0.5 and toxicity.score(empty, none).count() == 0
 
