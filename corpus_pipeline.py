@@ -30,24 +30,33 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that are not toxic, as learned from the labels of documents that are still there."""
+    """Keep documents that are not toxic, as learned from the labels of documents that are still there.
+
+    Null and empty texts hold no n-gram and score as the intercept does; repeated rows score alike.
+    """
     small_batches(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model, out_col="stage_score").where(F.col("stage_score") < TOXIC).select(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each group of five-word shingle sets with a similarity of 0.8 or more."""
+    """Keep the document of the smallest id of each group of five-word shingle sets with a similarity of 0.8 or more.
+
+    Null, blank and unlike texts stay, as do rows without an id; rows that repeat a kept id all stay.
+    """
     return jaccard.one_of_each(docs, size=5, percent=80)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that are drawn when sources, languages and topics are raked to flattened shares."""
+    """Keep the documents that are drawn when sources, languages and topics are raked to flattened shares.
+
+    Null values are a value of their own; documents of cells whose rate is above one come in whole copies.
+    """
     return mixing.sampled(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document, and whether they decode to its text."""
+    """The ids of each document, and whether they decode to its text. A null text counts as empty; repeated rows are encoded row by row."""
     small_batches(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), path)
@@ -57,7 +66,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("toxicity", clean), ("ngram_jaccard", distinct), ("mixing", mixed), ("byte_bpe", tokens)]
 
-#: Trained models and subword merges are beyond SQL; tests/llm/test_pipeline.py holds every stage against a brute-force version.
+#: Trained models and subword merges are beyond SQL. tests/llm/test_pipeline.py holds the near-duplicate and token stages against brute-force
+#: versions, the two classifiers' stages against their models applied text by text, and mixing against its copies counted document by document.
 ORACLE_SQL = None
 
 
