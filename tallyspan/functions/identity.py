@@ -41,15 +41,14 @@ def _digit(value: Column, at: int) -> Column:
 
 def synthetic_mod10(value: Column) -> Column:
     """SYNTHETIC-dddd whose first three digits add up to the last modulo ten."""
-    fits = value.rlike(r"^SYNTHETIC-[0-9]{4}$")
+    fits = value.rlike(r"\ASYNTHETIC-[0-9]{4}\z")
     return F.when(fits & ((_digit(value, 11) + _digit(value, 12) + _digit(value, 13)) % 10 == _digit(value, 14)), "valid").otherwise("invalid")
 
 
 def us_ssn_allocation(value: Column) -> Column:
-    """Nine digits, hyphens ignored, whose area, group and serial can be allocated."""
-    d = F.replace(value, F.lit("-"), F.lit(""))
-    area, group, serial = F.substring(d, 1, 3), F.substring(d, 4, 2), F.substring(d, 6, 4)
-    fits = d.rlike("^[0-9]{9}$") & ~area.isin("000", "666") & (area < "900") & (group != "00") & (serial != "0000")
+    """Nine ASCII digits and nothing else, whose area, group and serial can be allocated."""
+    area, group, serial = F.substring(value, 1, 3), F.substring(value, 4, 2), F.substring(value, 6, 4)
+    fits = value.rlike(r"\A[0-9]{9}\z") & ~area.isin("000", "666") & (area < "900") & (group != "00") & (serial != "0000")
     return F.when(fits, "valid").otherwise("invalid")
 
 

@@ -330,12 +330,19 @@ def _values(spark: SparkSession, d: str) -> DataFrame:
     return o.select(k.alias("case_id"), F.concat(pad(k * 7919 % 1000, 3), F.lit("-"), pad(c % 100, 2), F.lit("-"), pad(k % 10000, 4)).alias("ssn"), F.concat(F.lit("SYNTHETIC-"), pad(k % 10000, 4)).alias("mod10"))
 
 
-@query(f"""SELECT case_id, ssn, mod10, CASE WHEN substr(ssn, 1, 3) NOT IN ('000', '666') AND substr(ssn, 1, 1) <> '9' AND substr(ssn, 5, 2) <> '00' AND substr(ssn, 8, 4) <> '0000' THEN 'valid' ELSE 'invalid' END AS ssn_state,
+def _ssn_state(value: str) -> str:
+    return f"""CASE WHEN regexp_full_match({value}, '[0-9]{{9}}') AND substr({value}, 1, 3) NOT IN ('000', '666') AND substr({value}, 1, 1) <> '9'
+  AND substr({value}, 4, 2) <> '00' AND substr({value}, 6, 4) <> '0000' THEN 'valid' ELSE 'invalid' END"""
+
+
+@query(f"""SELECT case_id, ssn, digits, mod10, {_ssn_state("ssn")} AS ssn_state, {_ssn_state("digits")} AS digits_state,
   CASE WHEN (substr(mod10, 11, 1)::INT + substr(mod10, 12, 1)::INT + substr(mod10, 13, 1)::INT) % 10 = substr(mod10, 14, 1)::INT THEN 'valid' ELSE 'invalid' END AS mod10_state, 'unavailable' AS unknown_state
-FROM (SELECT o_orderkey AS case_id, {_SSN} AS ssn, {_MOD} AS mod10 FROM orders)""")
+FROM (SELECT o_orderkey AS case_id, {_SSN} AS ssn, replace({_SSN}, '-', '') AS digits, {_MOD} AS mod10 FROM orders)""")
 def validator_observations(spark: SparkSession, d: str) -> DataFrame:
+    """A number written with hyphens is invalid; its digits alone may be valid."""
     see = lambda v, n, c: identity.observe(F.lit(v), F.lit(n), F.col(c))
-    return _values(spark, d).select("*", see("us-ssn-allocation", 1, "ssn").alias("ssn_state"), see("synthetic-mod10", 1, "mod10").alias("mod10_state"), see("synthetic-mod10", 2, "mod10").alias("unknown_state"))
+    rows = _values(spark, d).select("case_id", "ssn", F.regexp_replace("ssn", "-", "").alias("digits"), "mod10")
+    return rows.select("*", see("us-ssn-allocation", 1, "ssn").alias("ssn_state"), see("us-ssn-allocation", 1, "digits").alias("digits_state"), see("synthetic-mod10", 1, "mod10").alias("mod10_state"), see("synthetic-mod10", 2, "mod10").alias("unknown_state"))
 
 
 @query(f"SELECT case_id, ssn, substr(ssn, 1, 10) || CAST((substr(ssn, 11, 1)::INT + 1) % 10 AS VARCHAR) AS mutated FROM (SELECT o_orderkey AS case_id, {_SSN} AS ssn FROM orders)")

@@ -43,7 +43,8 @@ def test_identity(spark):
 
     want = hashlib.sha256(b"\0\0\0\6case-a\0\0\0\x08authored").hexdigest()[:24]
     assert one(spark, identity.variant_id(F.lit("case-a"), F.lit("authored"))) == ("authored-" + want,)
-    states = one(spark, *(identity.us_ssn_allocation(F.lit(v)) for v in ("123-45-6789", "000-45-6789", "900-45-6789", "123-00-6789", "123-45-0000", "x")))
-    assert states == ("valid",) + ("invalid",) * 5
+    states = one(spark, *(identity.us_ssn_allocation(F.lit(v)) for v in ("123456789", "123-45-6789", "000456789", "900456789", "123006789", "123450000", "123456789\n", "x")))
+    assert states == ("valid",) + ("invalid",) * 7
+    assert one(spark, *(identity.synthetic_mod10(F.lit(v)) for v in ("SYNTHETIC-1236", "SYNTHETIC-1235", "SYNTHETIC-1236\n"))) == ("valid", "invalid", "invalid")
     assert one(spark, identity.invalidate_final_digit(F.lit("ab19x")), identity.invalidate_final_digit(F.lit("none"))) == ("ab10x", "none")
     assert one(spark, *identity.framed(F.lit("é {{candidate}}!"), F.lit("v")), identity.framed(F.lit("none"), F.lit("v"))[0]) == ("é v!", 3, None)
