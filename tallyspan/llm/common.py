@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 FILTER_BITS = 1 << 23
 #: A key is hot that holds more than this part of a table's rows, so at most as many keys are; and the fewest rows of a hot key.
 HOT_PART, HOT_ROWS = 1000, 256
+#: Rows that one task may join: a table with no more is joined as it is, as no key can hold more.
+TASK_ROWS = 1 << 18
 #: Rows of an Arrow batch of texts, so that neither the JVM nor Python holds many texts at once.
 ARROW_ROWS = 1000
 
@@ -68,14 +70,18 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def salted(many: DataFrame, one: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def salted(many: DataFrame, one: DataFrame, on: str, how: str = "inner", task_rows: int | None = None) -> DataFrame:
     """many join one on a key that is unique in ``one``, though a few keys may hold a large part of ``many``.
 
     Keys with more than one in HOT_PART of the rows are hot. There are fewer than HOT_PART of them, so their list is broadcast. Their rows are dealt
     over so many salts that each has about that part, and their row of ``one`` is repeated once a salt. ``many`` is read
-    several times, so it should be a table. Null keys join nothing.
+    several times, so it should be a table. Null keys join nothing. A table of at most ``task_rows`` rows (TASK_ROWS if not given) is
+    joined without salts.
     """
-    most = max(HOT_ROWS, many.count() // HOT_PART)
+    rows = many.count()
+    if rows <= (TASK_ROWS if task_rows is None else min(task_rows, TASK_ROWS)):
+        return many.join(one, on, how)
+    most = max(HOT_ROWS, rows // HOT_PART)
     hot = many.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("salt_rows")).where(F.col("salt_rows") > most)
     hot = hot.select(on, F.ceil(F.col("salt_rows") / most).cast("int").alias("salts")).hint("broadcast")
     left = many.join(hot, on, "left").withColumn("salt", F.pmod(F.xxhash64(*many.columns), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")

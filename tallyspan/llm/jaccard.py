@@ -33,6 +33,8 @@ from .shingles import PartEnum, blocks, fingerprint, halved, most_apart, shingle
 HELD = 1 << 19
 #: Rows of an Arrow batch whose texts stand as Python strings at once.
 ROWS = 512
+#: Pairs of texts that one task may join.
+TEXT_ROWS = 1 << 15
 #: Members of a lead that one block aims at.
 BLOCK = 2048
 #: Bytes of sketches that are compared at once.
@@ -134,8 +136,8 @@ def _verify(size: int, percent: int):
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, folder: str) -> DataFrame:
     """The pairs (a, b) of ids whose whole texts are similar. ``pairs`` is a table of distinct pairs."""
     texts = keep_likely(docs, "id", pairs.select(F.col("a").alias("x")).union(pairs.select("b"))).dropDuplicates(["id"])
-    both = cut(salted(pairs, texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"), folder)
-    both = salted(both, texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = cut(salted(pairs, texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b", task_rows=TEXT_ROWS), folder)
+    both = salted(both, texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a", task_rows=TEXT_ROWS)
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, percent), "a long, b long")
 
 

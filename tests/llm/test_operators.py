@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from tallyspan.llm import bpe, jaccard as joins, langid, licenses, media, mixing, neardup, queries, sharding, token_counts, toxicity
+from tallyspan.llm import bpe, common, jaccard as joins, langid, licenses, media, mixing, neardup, queries, sharding, token_counts, toxicity
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, label string"
@@ -68,6 +68,14 @@ def test_jaccard_repeated_and_null_ids(spark, odd, empty):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {c for _, c in want.values()}
 
 
+def test_jaccard_with_salts_and_small_blocks(odd, monkeypatch):
+    for name, value in (("TASK_ROWS", 0), ("HOT_ROWS", 1), ("HOT_PART", 4)):
+        monkeypatch.setattr(common, name, value)
+    monkeypatch.setattr(joins, "BLOCK", 2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in joins.jaccard_groups(odd, 4, 85).collect()}
+    assert got == jaccard(texts_of(odd).items(), 4, 85)
+
+
 def test_bpe_and_counts(odd, empty):
     enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(queries.RANKS), special_tokens={})
     out = bpe.decode(bpe.encode(odd, queries.RANKS), queries.RANKS).withColumn("list", bpe.ids_of(F.col("ids")))
