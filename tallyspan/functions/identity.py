@@ -14,6 +14,9 @@ SHAPES = {
     "timestamp": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{3})?Z$",
 }
 
+#: The largest integer that a double holds exactly with all before it, and the most decimal places.
+MOST_SAFE, MOST_SCALE = 2**53 - 1, 12
+
 
 def preimage(*fields: Column) -> Column:
     """Binary: each field as its byte length in four bytes, the highest first, and its bytes."""
@@ -21,9 +24,37 @@ def preimage(*fields: Column) -> Column:
     return F.concat(*map(one, fields))
 
 
-def variant_id(case_id: Column, slot: Column) -> Column:
-    """The slot and 24 hex digits of the hash of (case_id, slot)."""
-    return F.concat(slot, F.lit("-"), F.substring(F.sha2(preimage(case_id, slot), 256), 1, 24))
+def variant_id(case_id: Column, slot: Column, domain: str | None = None) -> Column:
+    """The slot and 24 hex digits of the hash of (case_id, slot), with the tag of the ids' domain before them if one is given."""
+    tag = [] if domain is None else [F.lit(domain)]
+    return F.concat(slot, F.lit("-"), F.substring(F.sha2(preimage(*tag, case_id, slot), 256), 1, 24))
+
+
+def variant_seed(rule: Column, domain: str, generator: Column, version: Column, case_seed: Column, case_id: Column, slot: Column) -> Column:
+    """A variant's seed: the hash of its derivation, or under the rule ``legacy-case-seed`` its case's own."""
+    digest = F.sha2(preimage(F.lit(domain), generator, version.cast("string"), case_seed, case_id, slot), 256)
+    return F.when(rule == "legacy-case-seed", case_seed).when(rule == "pii-seed-v1", digest)
+
+
+def patterned(seed: Column, pattern: Column) -> Column:
+    """The pattern with each D replaced by a digit and each A by a letter, drawn from the hash of the seed and the count of such marks before."""
+    held = F.filter(F.split(pattern, ""), lambda c: c != "")
+
+    def drawn(c: Column, i: Column) -> Column:
+        before = F.size(F.filter(F.slice(held, 1, i), lambda x: x.isin("A", "D")))
+        number = F.conv(F.substring(F.sha2(F.concat(seed, F.lit("/"), before), 256), 1, 8), 16, 10).cast("long")
+        letter = F.char(number % 26 + F.ascii(F.lit("A")))
+        return F.when(c == "D", (number % 10).cast("string")).when(c == "A", letter).otherwise(c)
+
+    return F.array_join(F.transform(held, drawn), "")
+
+
+def scaled_decimal(mantissa: Column, scale: Column) -> Column:
+    """(mantissa, scale) without zeros at the end of the fraction; null beyond the safe integers or nine places."""
+    digits = mantissa.cast("string")
+    zeros = F.when(mantissa == 0, scale).otherwise(F.least(scale, F.length(digits) - F.length(F.rtrim(digits, F.lit("0")))))
+    kept = F.struct(F.when(mantissa == 0, 0).otherwise(F.substring(digits, F.lit(1), F.length(digits) - zeros).cast("long")).cast("long").alias("mantissa"), (scale - zeros).cast("int").alias("scale"))
+    return F.when((mantissa >= 0) & (mantissa <= MOST_SAFE) & scale.between(0, MOST_SCALE), kept)
 
 
 def family_scope(family: Column) -> Column:

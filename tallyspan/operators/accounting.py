@@ -83,10 +83,10 @@ def case_standings(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("scanner_id", "case_id", *sorted(STRATA)).agg(*worst)
 
 
-def buckets(cases: DataFrame) -> DataFrame:
+def buckets(cases: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Each case's bucket in every metric: numerator, other, unresolved, not-measured or not-applicable.
 
-    A case of another method is not in the context metric at all.
+    A case of another method is not in the context metric at all. ``keep`` names further columns of ``cases``.
     """
 
     def bucket(name: str) -> Column:
@@ -96,16 +96,16 @@ def buckets(cases: DataFrame) -> DataFrame:
         return found if name == "ends_told_apart" else F.coalesce(found, F.lit("not-applicable"))
 
     items = [F.struct(F.lit(metric).alias("metric"), bucket(name).alias("bucket")) for name, metric in STANDINGS.items()]
-    rows = cases.select("scanner_id", "case_id", *STRATA, F.explode(F.array(*items)).alias("i"))
-    return rows.select("scanner_id", "case_id", *STRATA, "i.metric", "i.bucket").where("bucket is not null")
+    rows = cases.select("scanner_id", "case_id", *STRATA, *keep, F.explode(F.array(*items)).alias("i"))
+    return rows.select("scanner_id", "case_id", *STRATA, *keep, "i.metric", "i.bucket").where("bucket is not null")
 
 
-def tallies(bucketed: DataFrame) -> DataFrame:
-    """Counts for each scanner, metric and stratum: overall, and by language, jurisdiction and method."""
-    once = bucketed.groupBy("scanner_id", "metric", *STRATA, "bucket").agg(F.count("*").alias("n"))
+def tallies(bucketed: DataFrame, keys: tuple[str, ...] = ("scanner_id", "metric"), strata: tuple[str, ...] = STRATA) -> DataFrame:
+    """Counts for each of ``keys`` and stratum: overall, and by each of ``strata``, which are language, jurisdiction and method."""
+    once = bucketed.groupBy(*keys, *strata, "bucket").agg(F.count("*").alias("n"))
     total = lambda name, *of: F.sum(F.when(F.col("bucket").isin(*of), F.col("n")).otherwise(0)).alias(name)
-    sets = [[F.col("scanner_id"), F.col("metric")], *([F.col("scanner_id"), F.col("metric"), F.col(s)] for s in STRATA)]
-    out = once.groupingSets(sets, "scanner_id", "metric", *STRATA).agg(
+    sets = [list(map(F.col, of)) for of in (keys, *((*keys, s) for s in strata))]
+    out = once.groupingSets(sets, *keys, *strata).agg(
         total("eligible", "numerator", "other", "unresolved", "not-measured"),
         total("measured", "numerator", "other"),
         total("numerator", "numerator"),
@@ -113,12 +113,12 @@ def tallies(bucketed: DataFrame) -> DataFrame:
         total("not_measured", "not-measured"),
         total("not_applicable", "not-applicable"),
         F.sum("n").alias("total"),
-        *[F.grouping(s).alias("without_" + s) for s in STRATA],
+        *[F.grouping(s).alias("without_" + s) for s in strata],
     )
     kind = F.lit("overall")
-    for s in STRATA:
+    for s in strata:
         kind = F.when(F.col("without_" + s) == 0, s).otherwise(kind)
-    return out.withColumn("stratum", kind).withColumn("value", F.coalesce(*STRATA)).drop(*STRATA, *["without_" + s for s in STRATA])
+    return out.withColumn("stratum", kind).withColumn("value", F.coalesce(*strata)).drop(*strata, *["without_" + s for s in strata])
 
 
 def published(counts: DataFrame) -> DataFrame:

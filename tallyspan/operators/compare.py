@@ -63,3 +63,13 @@ def trials(rows: DataFrame, key: str, value: str) -> DataFrame:
     mid = rows.groupBy(key).agg(F.count(value).alias("n"), F.median(value).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"))
     spread = rows.join(mid.select(key, "median"), key).groupBy(key).agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
     return mid.join(spread, key)
+
+
+def steepest(cells: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """(key, slope): the largest slope of ln y over ln x between neighbours in order of x; null with fewer than two cells.
+
+    cells has one row for each key and x, both sides above zero; cells without a value are passed over pair by pair.
+    """
+    order = W.partitionBy(key).orderBy(x)
+    rise = F.log(F.col(y) / F.lag(y).over(order)) / F.log(F.col(x) / F.lag(x).over(order))
+    return cells.withColumn("slope", rise).groupBy(key).agg(F.max("slope").alias("slope"))

@@ -66,3 +66,20 @@ def collisions(cases: DataFrame) -> DataFrame:
     """(case_id, target, competing): families that compete with the target, without it."""
     others = F.array_sort(F.array_remove(F.array(*map(F.lit, FAMILIES)), F.col("family")))
     return cases.select("case_id", F.col("family").alias("target"), F.array_join(others, ",").alias("competing"))
+
+
+def held_against_validator(cases: DataFrame) -> DataFrame:
+    """cases with observed, reason, strategy and review, for the methods type-validation and reference-differential.
+
+    Reads method, value, type_expectation, validator and version. A validator must agree with what is expected, else the case is refused; a
+    reference that disagrees is recorded and never replaces the expectation. What is unavailable leaves the variant to review.
+    """
+    state = identity.observe(F.col("validator"), F.col("version"), F.col("value"))
+    named, reference = F.col("validator").isNotNull(), F.col("method") == "reference-differential"
+    rows = cases.where(F.col("method").isin("type-validation", "reference-differential")).withColumn("observed", F.when(named, state))
+    gone = F.coalesce(F.col("observed") == "unavailable", F.lit(False))
+    differs = F.coalesce(F.col("type_expectation").isin("valid", "invalid") & ~gone & (F.col("observed") != F.col("type_expectation")), F.lit(False))
+    reason = F.when(~named, F.when(reference, "missing-reference").otherwise("missing-validator")).when(differs & ~reference, "validator-expectation-mismatch")
+    review = F.when(gone, F.when(reference, "reference-unavailable").otherwise("validator-unavailable")).when(differs & reference, "reference-disagrees")
+    strategy = F.when(F.col("reason").isNull(), F.when(gone, "review-required").otherwise("authored"))
+    return rows.withColumn("reason", reason).withColumn("review", review).withColumn("strategy", strategy)

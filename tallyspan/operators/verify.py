@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..functions import identity
 
 KEYS = ["scanner_id", "variant_id", "occurrence_id"]
 #: Type states that an authored expectation can lead to.
@@ -77,3 +80,100 @@ def unresolved(tables: dict[str, DataFrame], references: list[tuple[str, str, st
     for rows in found[1:]:
         out = out.union(rows)
     return out
+
+
+def capability_conflict() -> Column:
+    """Whether an outcome says what its scanner's declared capabilities rule out.
+
+    Reads cap_ranges, cap_family, cap_jurisdiction, cap_sensitivity (``unsupported`` or more) and cap_action, with the four states.
+    """
+    no = lambda c: F.col("cap_" + c) == "unsupported"
+    action = F.col("action_state")
+    return F.coalesce(
+        (no("ranges") & (F.col("range_state") != "not-applicable"))
+        | (no("family") & (F.col("type_state") != "not-measured"))
+        | (no("jurisdiction") & (F.col("type_state") == "wrong-jurisdiction"))
+        | (no("sensitivity") & (F.col("sensitivity_state") != "not-measured"))
+        | (action.isin("no-action-reported", "reported") & (F.col("cap_action") == "unavailable"))
+        | ((action == "output-verified") & (F.col("cap_action") != "sanitized-output")),
+        F.lit(False),
+    )
+
+
+#: The most replays of a scanner.
+MOST_REPLAYS = 1024
+
+
+def observation_defects(scanners: DataFrame, findings: DataFrame) -> DataFrame:
+    """(scanner_id, variant_id, code), each once: scanner states, orders and findings that no observation may have.
+
+    scanners: (scanner_id, status, replays, agreed, cap_ranges, cap_family, cap_jurisdiction, cap_sensitivity), few by contract. A complete scanner agrees with
+    its replays and has ranges, an unstable one disagrees, and one that isn't complete has no inputs. The findings of an
+    input stand in ascending order by emission, nulls first; each is held against the one before it. Equal emissions stand in any order.
+    """
+    status, no = F.col("status"), lambda c: F.coalesce(F.col("cap_" + c) == "unsupported", F.lit(False))
+    fits = F.col("replays").between(1, MOST_REPLAYS) & F.when(status == "complete", F.col("agreed") & ~no("ranges")).when(status == "unstable", ~F.col("agreed")).otherwise(True)
+    held = findings.select("scanner_id", F.lit(True).alias("held")).distinct()
+    states = scanners.join(held, "scanner_id", "left").where(~F.coalesce(fits, F.lit(False)) | (F.col("held") & (status != "complete")))
+    states = states.select("scanner_id", F.lit(None).cast("long").alias("variant_id"), F.lit("status-inconsistent").alias("code"))
+
+    key = F.struct("f_start", "f_end", "f_family", "f_jurisdiction", "f_sensitive", "f_action")
+    rows = findings.withColumn("key", key).withColumn("before", F.lag("key").over(W.partitionBy("scanner_id", "variant_id").orderBy("emission", "key")))
+    rows = rows.join(F.broadcast(scanners.select("scanner_id", *[no(c).alias("no_" + c) for c in ("family", "jurisdiction", "sensitivity")])), "scanner_id")
+    said = (F.col("no_family") & F.col("f_family").isNotNull()) | (F.col("no_jurisdiction") & F.col("f_jurisdiction").isNotNull()) | (F.col("no_sensitivity") & F.col("f_sensitive").isNotNull())
+    codes = F.array(
+        F.when(F.col("before") > F.col("key"), "non-canonical-order"),
+        F.when(F.coalesce((F.col("f_start") < 0) | (F.col("f_start") >= F.col("f_end")), F.lit(True)), "range-invalid"),
+        F.when(said, "capability-contradiction"),
+    )
+    rows = rows.select("scanner_id", "variant_id", F.explode(F.array_compact(codes)).alias("code"))
+    return states.union(rows.distinct())
+
+
+def expectation_defects(expectations: DataFrame) -> DataFrame:
+    """The expectations with a column ``code``, one row for each defect of an expectation.
+
+    Reads exp_start, exp_end, text_negative, type_expectation, sensitivity, family (scoped, see ``identity``) and jurisdiction. What isn't located
+    says nothing, unless it is about the whole text; then it must be negative and have no range.
+    """
+    kind, mood, start, end, whole = (F.col(c) for c in ("type_expectation", "sensitivity", "exp_start", "exp_end", "text_negative"))
+    bad_whole = whole & (start.isNotNull() | (kind == "valid") | (mood == "sensitive") | ((kind != "invalid") & (mood != "non-sensitive")))
+    bad_open = start.isNull() & ~whole & ((kind != "not-established") | ~mood.isin("not-established", "context-dependent"))
+    codes = F.array(
+        F.when(bad_whole | bad_open, "range-not-established-invalid"),
+        F.when(start.isNotNull() & F.coalesce((start < 0) | (start >= end), F.lit(True)), "range-invalid"),
+        F.when(~identity.scope_agrees(F.col("family"), F.col("jurisdiction")), "family-scope-mismatch"),
+    )
+    return expectations.withColumn("code", F.explode(F.array_compact(codes)))
+
+
+def counts_consistent() -> Column:
+    """Whether a metric's counts add up: eligible and not applicable to the total, measured, unresolved and not measured to eligible."""
+    parts = [F.col(c) for c in ("eligible", "not_applicable", "total", "measured", "unresolved", "not_measured", "numerator")]
+    safe = F.greatest(*parts) <= identity.MOST_SAFE
+    whole = F.col("eligible") + F.col("not_applicable") == F.col("total")
+    inner = F.col("measured") + F.col("unresolved") + F.col("not_measured") == F.col("eligible")
+    return safe & whole & inner & (F.col("numerator") <= F.col("measured"))
+
+
+#: The failures that each state of a scanner can name.
+FAILURES = {
+    "unsupported": ("unsupported",),
+    "unavailable": ("unavailable",),
+    "unstable": ("replay-disagreement",),
+    "error": ("execution-error", "timeout", "output-limit-exceeded", "malformed-output", "cancelled", "resource-limit-exceeded"),
+}
+
+
+def failure_allowed(status: Column, failure: Column) -> Column:
+    """Whether a scanner in this state can have failed so; a complete one has no failure."""
+    out = F.lit(False)
+    for state, codes in FAILURES.items():
+        out = F.when(status == state, failure.isin(*codes)).otherwise(out)
+    return F.coalesce(out, F.lit(False))
+
+
+def first_failures(failures: DataFrame, at: str = "variant_id") -> DataFrame:
+    """(scanner_id, at, code): each scanner's failure at its least input; of several there the least code."""
+    least = failures.groupBy("scanner_id").agg(F.min(F.struct(at, "code")).alias("f"))
+    return least.select("scanner_id", "f." + at, "f.code")
