@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 #: Shapes of identifiers.
 SHAPES = {
-    "slug": r"^[a-z0-9]+(-[a-z0-9]+)*$",
-    "family": r"^[a-z]+:(global|[a-z]{2}):[a-z0-9]+(-[a-z0-9]+)*$",
-    "language": r"^[a-z]{2,3}$",
-    "digest": r"^[0-9a-f]{64}$",
-    "timestamp": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{3})?Z$",
+    "slug": r"\A[a-z0-9]+(-[a-z0-9]+)*\z",
+    "family": r"\A[a-z]+:(global|[a-z]{2}):[a-z0-9]+(-[a-z0-9]+)*\z",
+    "language": r"\A[a-z]{2,3}\z",
+    "digest": r"\A[0-9a-f]{64}\z",
+    "timestamp": r"\A\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{3})?Z\z",
 }
 
 #: The largest integer that a double holds exactly with all before it, and the most decimal places.
@@ -50,7 +50,7 @@ def patterned(seed: Column, pattern: Column) -> Column:
 
 
 def scaled_decimal(mantissa: Column, scale: Column) -> Column:
-    """(mantissa, scale) without zeros at the end of the fraction; null beyond the safe integers or nine places."""
+    """(mantissa, scale) without zeros at the end of the fraction; null beyond the safe integers or MOST_SCALE places."""
     digits = mantissa.cast("string")
     zeros = F.when(mantissa == 0, scale).otherwise(F.least(scale, F.length(digits) - F.length(F.rtrim(digits, F.lit("0")))))
     kept = F.struct(F.when(mantissa == 0, 0).otherwise(F.substring(digits, F.lit(1), F.length(digits) - zeros).cast("long")).cast("long").alias("mantissa"), (scale - zeros).cast("int").alias("scale"))

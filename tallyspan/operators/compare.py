@@ -58,11 +58,35 @@ def islands(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
     return grouped.groupBy(key, "island").agg(F.min(start).alias("s"), F.max(end).alias("e"), F.count("*").alias("n")).drop("island")
 
 
+#: How finely a key's values are cut before their middle is looked for.
+STEPS = 64
+
+
+def medians(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, median) of the values that aren't null, exact: the mean of the two in the middle.
+
+    Values are counted, and cut at approximate quantiles; only the step or two that hold the middle are sorted, so no task sees a whole key.
+    """
+    held = rows.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("x"))
+    cuts = held.groupBy(key).agg(F.percentile_approx("x", [i / STEPS for i in range(1, STEPS)]).alias("cuts"), F.count("x").alias("n"))
+    cells = held.groupBy(key, "x").agg(F.count("*").alias("m")).join(cuts, key)
+    cells = cells.withColumn("step", F.size(F.filter("cuts", lambda c: c < F.col("x")))).drop("cuts")
+    sums = cells.groupBy(key, "step").agg(F.sum("m").alias("held"), F.first("n").alias("n"))
+    sums = sums.withColumn("upto", F.sum("held").over(W.partitionBy(key).orderBy("step").rowsBetween(W.unboundedPreceding, 0)))
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
+    middle = sums.where((F.col("upto") >= low) & (F.col("upto") - F.col("held") < high)).select(key, "step", (F.col("upto") - F.col("held")).alias("before"))
+    ranked = cells.join(middle, [key, "step"])
+    rank = F.col("before") + F.sum("m").over(W.partitionBy(key, "step").orderBy("x").rowsBetween(W.unboundedPreceding, 0))
+    at = lambda r: F.min(F.when(F.col("rank") >= r, F.col("x")))
+    return ranked.withColumn("rank", rank).groupBy(key).agg(F.first("n").alias("n"), ((at(low) + at(high)) / 2).alias("median"))
+
+
 def trials(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, n, median, mad, least, most), the median absolute deviation taken in a second pass."""
-    mid = rows.groupBy(key).agg(F.count(value).alias("n"), F.median(value).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"))
-    spread = rows.join(mid.select(key, "median"), key).groupBy(key).agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
-    return mid.join(spread, key)
+    """(key, n, median, mad, least, most) of the keys that have a value, the median absolute deviation taken in a second pass."""
+    mid = medians(rows, key, value)
+    away = rows.join(mid.select(key, "median"), key).select(key, F.abs(F.col(value) - F.col("median")).alias("away"))
+    ends = rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.min(value).alias("least"), F.max(value).alias("most"))
+    return mid.join(medians(away, key, "away").select(key, F.col("median").alias("mad")), key).join(ends, key)
 
 
 def steepest(cells: DataFrame, key: str, x: str, y: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity, ranges
@@ -83,3 +86,59 @@ def held_against_validator(cases: DataFrame) -> DataFrame:
     review = F.when(gone, F.when(reference, "reference-unavailable").otherwise("validator-unavailable")).when(differs & reference, "reference-disagrees")
     strategy = F.when(F.col("reason").isNull(), F.when(gone, "review-required").otherwise("authored"))
     return rows.withColumn("reason", reason).withColumn("review", review).withColumn("strategy", strategy)
+
+
+#: Each method's version, slots, derivation, variants of a case (null: one for each frame given), what a validator does in it, the
+#: metric that only it feeds, and whether its rows tell of a scanner's behaviour on real input.
+METHODS = [
+    ("type-validation", 2, "validated", "authored", 1, "confirms", None, True),
+    ("context-discrimination", 2, "frame", "context-frames", 3, "none", "context-discrimination-rate", True),
+    ("pii-benign", 3, "benign-class", "authored", 1, "checks-authored-expectations", "benign-suppression-rate", True),
+    ("jurisdiction-collision", 3, "collision", "authored", 1, "checks-authored-expectations", "jurisdiction-collision-rate", True),
+    ("mutation", 1, "mutated", "operator", 1, "none", None, True),
+    ("reference-differential", 1, "reference", "authored", 1, "observed-not-truth", None, True),
+    ("schema-only", 1, "authored", "authored", 1, "none", None, False),
+]
+#: The most variants and refusals of one batch.
+BATCH_UNITS = 1024
+
+
+def methods(spark: SparkSession) -> DataFrame:
+    """The seven methods, one row each."""
+    return spark.createDataFrame(METHODS, "method string, version int, slots string, derivation string, variants int, validator string, only_metric string, runtime_evidence boolean")
+
+
+def run_defects(results: DataFrame, most_cases: int, most_of_method: int, most_variants: int) -> DataFrame:
+    """(subject, code): limits of a run that its results (case_id, method, variants; 0 for a refusal) exceed, and cases that stand twice."""
+    by_method = results.groupBy("method").agg(F.count("*").alias("cases"), F.sum("variants").alias("variants"))
+    whole = by_method.agg(F.sum("cases").alias("cases"), F.sum("variants").alias("variants"))
+    over = [F.when(F.col("cases") > most_cases, "limit-cases"), F.when(F.col("variants") > most_variants, "limit-total-variants")]
+    out = whole.select(F.lit("run").alias("subject"), F.explode(F.array_compact(F.array(*over))).alias("code"))
+    out = out.union(by_method.where(F.col("variants") > most_of_method).select("method", F.lit("limit-variants-per-method")))
+    return out.union(results.groupBy("case_id").count().where("count > 1").select(F.col("case_id").cast("string"), F.lit("duplicate-case")))
+
+
+def batches(results: DataFrame, blocks: int, most_units: int = BATCH_UNITS) -> DataFrame:
+    """(case_id, block, batch, units): cases in order of id, packed into batches of at most ``most_units``, block by block.
+
+    A case weighs its variants, a refusal one; a case heavier than a batch stands alone. Blocks are hashed cases, packed independently, so
+    tasks needn't wait for each other; a task holds one running number however large its blocks are.
+    """
+    units = F.when(F.col("variants") > 0, F.col("variants")).otherwise(1).cast("long")
+    rows = results.select("case_id", F.pmod(F.xxhash64("case_id"), F.lit(blocks)).cast("int").alias("block"), units.alias("units"))
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, batch, held = None, 0, 0
+        for frame in frames:
+            numbers = []
+            for b, u in zip(frame["block"], frame["units"]):
+                if b != block:
+                    block, batch, held = b, 0, 0
+                elif held + u > most_units:
+                    batch, held = batch + 1, 0
+                held += u
+                numbers.append(batch)
+            yield frame.assign(batch=numbers)[["case_id", "block", "batch", "units"]]
+
+    kept = rows.schema["case_id"].dataType.simpleString()
+    return rows.repartition("block").sortWithinPartitions("block", "case_id").mapInPandas(pack, f"case_id {kept}, block int, batch long, units long")

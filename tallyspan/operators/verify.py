@@ -177,3 +177,25 @@ def first_failures(failures: DataFrame, at: str = "variant_id") -> DataFrame:
     """(scanner_id, at, code): each scanner's failure at its least input; of several there the least code."""
     least = failures.groupBy("scanner_id").agg(F.min(F.struct(at, "code")).alias("f"))
     return least.select("scanner_id", "f." + at, "f.code")
+
+
+#: The ranges of a measurement's mechanics.
+REPLAYS, PLACES = (2, 1024), (1, 12)
+
+
+def mechanics_valid(least_n: Column, replays: Column, z: Column, z_scale: Column, places: Column) -> Column:
+    """Whether a measurement's mechanics are within their ranges, z written without zeros at its end; null counts as not."""
+    neat = identity.scaled_decimal(z, z_scale)["scale"] == z_scale
+    return F.coalesce((least_n >= 1) & replays.between(*REPLAYS) & (z > 0) & neat & places.between(*PLACES), F.lit(False))
+
+
+def custodian_cells(counts: DataFrame, labels: DataFrame, observed: int) -> DataFrame:
+    """(scanner_id, metric, stratum, label, numerator, measured, code) of the metrics that a custodian's labels (metric, label) publish.
+
+    The code names a label of the wrong shape, one that stands for several metrics, or counts beyond the roster; null for a sound cell.
+    """
+    rows = counts.join(labels, "metric")
+    shared = labels.groupBy("label").agg((F.count("*") > 1).alias("shared"))
+    code = F.when((F.col("numerator") > F.col("measured")) | (F.col("measured") > observed), "roster-violation")
+    code = F.when(~F.col("label").rlike(identity.SHAPES["slug"]) | F.col("shared"), "label-invalid").otherwise(code)
+    return rows.join(shared, "label").select("scanner_id", "metric", F.lit("overall").alias("stratum"), "label", "numerator", "measured", code.alias("code"))
