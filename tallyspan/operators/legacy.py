@@ -38,7 +38,7 @@ def counts(rows: DataFrame) -> DataFrame:
     """(scanner_id, switches, metric, COUNTS, refused) for every setting of the switches.
 
     rows: KEYS, variant_id, occurrence_id, method, context_class, jurisdiction, type_expectation, sensitivity, type_state, sensitivity_state,
-    range_state. Each is read once: cases are folded to what every setting needs, then counted by the one switch that a metric heeds.
+    range_state. A metric without a case to count has zeros. Each row is read once: cases are folded to what every setting needs, then counted by the one switch that a metric heeds.
     """
     every, valid = F.lit(True), F.col("type_expectation") == "valid"
     kind, mood = F.col("type_state"), F.col("sensitivity_state")
@@ -79,11 +79,11 @@ def counts(rows: DataFrame) -> DataFrame:
     told += [("measurable-share", 0, False, share(F.col("type"))), ("measurable-share", 0, False, F.when(F.col("open_mood"), "unresolved").otherwise(share(F.col("mood"))))]
 
     one = lambda m, bit, on, b: F.struct(F.lit(m).alias("metric"), F.lit(bit).alias("bit"), F.lit(on).alias("on"), b.alias("bucket"))
-    stood = cases.select("scanner_id", F.explode(F.array(*[one(*t) for t in told])).alias("x")).select("scanner_id", "x.*").where("bucket is not null")
+    stood = cases.select("scanner_id", F.explode(F.array(*[one(*t) for t in told])).alias("x")).select("scanner_id", "x.*")
     n = lambda *names: F.count_if(F.col("bucket").isin(*names))
     tallied = stood.groupBy("scanner_id", "metric", "bit", "on").agg(
         n("numerator", "other", "unresolved", "not-measured").alias("eligible"), n("numerator", "other").alias("measured"), n("numerator").alias("numerator"),
-        n("unresolved").alias("unresolved"), n("not-measured").alias("not_measured"), n("not-applicable").alias("not_applicable"), F.count("*").alias("total"),
+        n("unresolved").alias("unresolved"), n("not-measured").alias("not_measured"), n("not-applicable").alias("not_applicable"), F.count("bucket").alias("total"),
     )
     mixed = cases.groupBy("scanner_id").agg(F.coalesce(F.bool_or((F.col("method") == "pii-benign") & (F.col("n") > 1)), F.lit(False)).alias("mixed"))
     settings = tallied.withColumn("switches", F.explode(F.array(*map(F.lit, EVERY_SETTING))))
