@@ -3,7 +3,7 @@
 A shard's score for a key is -weight / ln(u), where u in (0, 1) is a hash of the key and the shard; the key goes to the shard
 of the largest score. A new shard therefore only takes keys into itself, and a weight change moves only what it must.
 Slots number a shard's rows from 0 without gaps: rows are numbered within (shard, bucket), buckets being hashes of the
-key, and each bucket begins where the counts of the buckets before it end. So no task sorts a whole shard, and no text is
+key and the text's checksum, so rows that repeat a key with other texts spread out, and each bucket begins where the counts of the buckets before it end. So no task sorts a whole shard, and no text is
 shuffled.
 
 Defined results: null keys hash as one fixed key; null texts have no bytes; rows that repeat a key go to one shard and get
@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Buckets that a shard's rows are numbered in; shards * BUCKETS counts are broadcast.
-BUCKETS = 64
+#: Buckets that a shard's rows are numbered in, at least, and the rows that a bucket holds on average, at most: buckets grow with the table.
+BUCKETS, BUCKET_ROWS = 64, 1_000_000
 
 
 def rendezvous(key: Column, weights: Sequence[float], seed: int = 0) -> Column:
@@ -34,17 +34,21 @@ def rendezvous(key: Column, weights: Sequence[float], seed: int = 0) -> Column:
 
 
 def shard_rows(docs: DataFrame, shards: int = 40, weights: Sequence[float] | None = None, fixed: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, size, text_crc32, law, shard, slot, grown_shard); grown_shard is the shard if there were one more of weight 1."""
+    """(id_col, size, text_crc32, law, shard, slot, grown_shard); grown_shard is the shard if there were one more of weight 1.
+
+    Rows are counted first, to choose the number of buckets; the counts that are broadcast are one for about BUCKET_ROWS rows.
+    """
     weights = list(weights or [1.0] * shards)
+    buckets = max(BUCKETS, -(-docs.count() // (len(weights) * BUCKET_ROWS)))
     text, key = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("string")
-    bucket = F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(BUCKETS)).cast("int")
+    crc = F.crc32(text.cast("binary"))
     placed = docs.select(
         F.col(id_col),
         (F.octet_length(text) + F.lit(fixed)).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
+        crc.alias("text_crc32"),
         rendezvous(key, weights).alias("shard"),
         rendezvous(key, [*weights, 1.0]).alias("grown_shard"),
-        bucket.alias("bucket"),
+        F.pmod(F.xxhash64(key, crc, F.lit("slot")), F.lit(buckets)).cast("int").alias("bucket"),
     )
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
