@@ -21,6 +21,22 @@ EVIDENCE_CLASSES = {
     "placeholder": ("pii-benign", ["placeholder"]),
     "context-negative": ("pii-benign", ["context-negative"]),
 }
+#: The family of each kind of evidence; a date of birth takes the scope of its jurisdiction.
+KINDS = {
+    "date-of-birth/global/labeled-field": "pii:global:date-of-birth",
+    "uk-nino/uk/structured": "pii:gb:national-insurance-number",
+    "email/global/basic": "pii:global:email",
+    "phone/global/basic": "pii:global:phone",
+    "payment-card/global/basic": "pii:global:payment-card",
+    "iban/global/basic": "pii:global:iban",
+    "us-ssn/us/structured": "pii:us:ssn",
+    "medical-record-number/us/labeled-field": "pii:us:medical-record-number",
+    "health-plan-member-id/us/member-field": "pii:us:health-plan-member-id",
+    "health-claim-identifier/us/claim-field": "pii:us:health-claim-identifier",
+    "prescription-order-identifier/us/order-field": "pii:us:prescription-order-identifier",
+}
+#: The scope of each jurisdiction of evidence.
+SCOPES = {"global": "global", "us": "us", "uk": "gb"}
 #: The longest first line of a command in bytes, a profile's shape, and the last millisecond of the year 9999.
 LONGEST_COMMAND, PROFILE, LAST_MILLI = 128, "[a-z0-9][a-z0-9-]{0,39}", 253402300799999
 _DAY = 86_400_000
@@ -106,3 +122,13 @@ def accounting_classes(evidence: Column) -> Column:
     """The benign classes that an evidence class may stand in, empty where it is no benign evidence; null for an unknown one."""
     pairs = [(F.lit(name), F.array(*map(F.lit, classes)).cast("array<string>")) for name, (_, classes) in EVIDENCE_CLASSES.items()]
     return F.try_element_at(F.create_map(*[x for pair in pairs for x in pair]), evidence)
+
+
+def kind_family(kind: Column, jurisdiction: Column) -> Column:
+    """(family, code) of a kind of evidence: kind-unmapped for an unknown one, jurisdiction-unmapped for a birth date of an unknown place."""
+    table = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    scope = F.try_element_at(table(SCOPES), jurisdiction)
+    born = kind == "date-of-birth/global/labeled-field"
+    family = F.when(born, F.concat(F.lit("pii:"), scope, F.lit(":date-of-birth"))).otherwise(F.try_element_at(table(KINDS), kind))
+    code = F.when(family.isNull(), F.when(born, "jurisdiction-unmapped").otherwise("kind-unmapped"))
+    return F.struct(family.alias("family"), code.alias("code"))

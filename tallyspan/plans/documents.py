@@ -327,3 +327,17 @@ def replayed_verdicts(spark: SparkSession, d: str) -> DataFrame:
     original = p.every().where("scanner_id in (0, 3) and variant_id % 3 = 0")
     said = original.select(*KEYS, F.when(F.col("variant_id") % 2 == 0, "removed").otherwise("residual-present").alias("verdict"))
     return p.every().where("scanner_id < 2").join(said, KEYS, "left").select(*KEYS, "verdict")
+
+
+_KINDS = ["date-of-birth/global/labeled-field", "us-ssn/us/structured", "uk-nino/uk/structured", "email/global/basic", "iban/global", "iban/global/basic"]
+_PLACES = ["global", "us", "uk", "fr"]
+
+
+@query(f"""SELECT kind, place, count(*) AS n, CASE WHEN kind LIKE 'date-%' THEN CASE place WHEN 'uk' THEN 'pii:gb:date-of-birth' WHEN 'fr' THEN NULL ELSE 'pii:' || place || ':date-of-birth' END WHEN kind LIKE 'us-ssn%' THEN 'pii:us:ssn'
+  WHEN kind LIKE 'uk-nino%' THEN 'pii:gb:national-insurance-number' WHEN kind = 'email/global/basic' THEN 'pii:global:email' WHEN kind = 'iban/global/basic' THEN 'pii:global:iban' END AS family,
+  CASE WHEN kind = 'iban/global' THEN 'kind-unmapped' WHEN kind LIKE 'date-%' AND place = 'fr' THEN 'jurisdiction-unmapped' END AS code
+FROM (SELECT {_KINDS!r}[1 + o_orderkey % {len(_KINDS)}] AS kind, {_PLACES!r}[1 + o_custkey % {len(_PLACES)}] AS place FROM orders) GROUP BY ALL""")
+def evidence_families(spark: SparkSession, d: str) -> DataFrame:
+    one = lambda names, key: F.element_at(F.array(*map(F.lit, names)), (F.col(key) % len(names) + 1).cast("int"))
+    rows = _orders(spark, d).groupBy(one(_KINDS, "o_orderkey").alias("kind"), one(_PLACES, "o_custkey").alias("place")).agg(F.count("*").alias("n"))
+    return rows.withColumn("x", records.kind_family(F.col("kind"), F.col("place"))).select("kind", "place", "n", "x.family", "x.code")
