@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, licenses, media, mixing, neardup, sharding, token_counts, toxicity
+from . import bpe, jaccard, langid, licenses, line_dedup, media, mixing, neardup, sharding, spelling, token_counts, toxicity, whitening
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -97,8 +97,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2(F.col("lines.kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deviation is null where the exact sum is beyond a long; the operator has all its digits."""
+    rows = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    rows = rows.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")))
+    shown = [(F.col("pos") + 1).alias("component"), "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), "col.whitened", "col.explained", "identity_error"]
+    return rows.select("vec_id", *shown)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_ngram_jaccard_join, op3_language_id, op4_embedding_near_dedup, op5_sharding, op6_mixing, op6_mixing_copies, op7_byte_bpe, op8_media_columns, op9_license_scans, op10_token_counts]
+    found = [op1_toxicity, op2_ngram_jaccard_join, op3_language_id, op4_embedding_near_dedup, op5_sharding, op6_mixing, op6_mixing_copies, op7_byte_bpe, op8_media_columns, op9_license_scans, op10_token_counts, op11_line_dedup, op12_spelling_variants, op13_embedding_whitening]
     return {f.__name__: f for f in found}
 
 
@@ -132,5 +149,16 @@ FROM v LEFT JOIN n ON vec_id = n.a LEFT JOIN m ON vec_id = m.a"""
 )
 
 
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+LINES_SQL = f"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+k AS (SELECT *, translate(trim(line, {_BLANK}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+held AS (SELECT key, min(doc_id) AS keeper FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+m AS (SELECT k.*, keeper IS NOT NULL AND keeper <> doc_id AS gone FROM k LEFT JOIN held USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": JACCARD_SQL, "op4_embedding_near_dedup": EMBEDDING_SQL, "op6_mixing": mixing.oracle(), "op6_mixing_copies": mixing.copies_oracle()}
+    return {"op11_line_dedup": LINES_SQL, "op2_ngram_jaccard_join": JACCARD_SQL, "op4_embedding_near_dedup": EMBEDDING_SQL, "op6_mixing": mixing.oracle(), "op6_mixing_copies": mixing.copies_oracle()}
