@@ -25,10 +25,13 @@ def relations(base: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, kind.alias("relation"))
 
 
-def changed_fields(base: DataFrame, other: DataFrame, fields: list[str]) -> DataFrame:
-    """(field, base, other) of the fields that differ between two one-row tables."""
-    long = lambda df, name: df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias(name)) for f in fields])).alias("x")).select("x.*")
-    return long(base, "base").join(long(other, "other"), "field", "full").where(~F.col("base").eqNullSafe(F.col("other")))
+def changed_fields(base: DataFrame, other: DataFrame, fields: list[str], key: str) -> DataFrame:
+    """(key, field, base, other) of the fields in which the rows of a key differ; a key that one side lacks has null there."""
+    side = lambda df, name: df.select(key, F.struct(*[F.col(f).cast("string").alias(f) for f in fields]).alias(name))
+    rows = side(base, "a").join(side(other, "b"), key, "full")
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"a.{f}").alias("base"), F.col(f"b.{f}").alias("other")) for f in fields])
+    changed = F.filter(pairs, lambda x: ~x["base"].eqNullSafe(x["other"]))
+    return rows.select(key, F.explode(changed).alias("x")).select(key, "x.*")
 
 
 def _input(findings: DataFrame, name: str) -> DataFrame:

@@ -40,12 +40,11 @@ def refusal(max_text_bytes: int = MAX_TEXT_BYTES) -> Column:
     check = F.when(failed.isNotNull(), F.when(see(failed) == "unavailable", "validator-check-unavailable").otherwise("validator-check-mismatch"))
     evidence = F.col("evidence_method").isNotNull()
     rivals = F.array_distinct(F.array_compact(F.coalesce("competing", F.array().cast("array<string>"))))
-    benign = F.when(~F.col("sensitivity").eqNullSafe("non-sensitive"), "sensitivity-role").when(
+    benign = F.when(~F.col("sensitivity").eqNullSafe("non-sensitive"), "not-non-sensitive").when(
         evidence & ~F.coalesce(F.array_contains("evidence_classes", F.col("benign_class")), F.lit(False)), "evidence-role-mismatch"
     )
     collision = (
-        F.when(F.size(rivals) == 0, "competing-set-empty")
-        .when(F.array_contains(rivals, F.col("family")) | (F.size(rivals) > MAX_COMPETING), "invalid-collision")
+        F.when((F.size(rivals) == 0) | F.array_contains(rivals, F.col("family")) | (F.size(rivals) > MAX_COMPETING), "invalid-collision")
         .when(F.col("cross_family") & (F.coalesce(F.size("checks"), F.lit(0)) < 1 + F.size(rivals)), "missing-evidence-checks")
     )
     return (

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ranges
+from ..functions import capabilities, ranges
 
 KEYS = ("scanner_id", "variant_id", "occurrence_id")
 
@@ -101,30 +101,39 @@ def found_by_scanner(expectations: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def assess(expectations: DataFrame, scanners: DataFrame, findings: DataFrame) -> DataFrame:
-    """One outcome for every scanner and occurrence."""
-    measured = F.col("status") == "complete"
-    unsupported = (F.col("cap_family") == "unsupported") | (F.col("unsupported_family") == F.col("family"))
+    """One outcome for every scanner and occurrence.
+
+    scanners: (scanner_id, status, cap_ranges, cap_family, cap_jurisdiction, cap_sensitivity, cap_action, families, jurisdictions), the last two maps
+    from a name to its state. One that isn't complete or reports no ranges measured nothing, and its findings aren't read. No
+    candidate of an occurrence about the whole text is an answer only where the scanner supports the family and the jurisdiction.
+    """
+    measured = capabilities.measures()
     live = findings.join(F.broadcast(scanners.where(measured).select("scanner_id")), "scanner_id", "left_semi")
 
     every = found_by_scanner(expectations, live).crossJoin(F.broadcast(scanners))
     mine = F.filter("found", lambda x: x["scanner_id"] == F.col("scanner_id"))
-    every = every.select("e.*", *scanners.columns, F.try_element_at(mine, F.lit(1)).alias("x"))
+    of_family, of_place = capabilities.expected_states(F.col("e.family"), F.col("e.jurisdiction"))
+    kept = [c for c in scanners.columns if c not in ("families", "jurisdictions")]
+    every = every.select("e.*", *kept, F.try_element_at(mine, F.lit(1)).alias("x"), of_family.alias("family_state"), of_place.alias("place_state"))
     x = F.col("x")
     every = every.select("*", F.coalesce(x["n"], F.lit(0)).alias("n"), x["p"].alias("p"), F.coalesce(x["lacks"], F.lit(False)).alias("lacks"), x["flag"].alias("flag"))
 
     p, n, whole, ranged = F.col("p"), F.col("n"), F.col("text_negative"), F.col("exp_start").isNotNull()
     nothing = F.lit(None).cast("string")
-    gaps = F.col("lacks") | (F.col("cap_family") != "supported") | (F.col("cap_sensitivity") != "supported")
+    states = F.col("family_state"), F.col("place_state")
+    gaps, unsupported = F.col("lacks") | ~capabilities.classifies(*states), capabilities.rules_out_type(*states)
     kind, mood = type_state(n, p, unsupported), sensitivity_state(n, F.when(whole, F.when(F.col("flag") == 0, True).when(F.col("flag") == 2, False)).otherwise(p["f_sensitive"]))
     span = F.when(n > 0, ranges.relation(F.col("exp_start"), F.col("exp_end"), p["f_start"], p["f_end"])).otherwise("miss")
-    act = F.when(~whole & ranged & (n > 0), p["f_action"])
+    judged = measured & ~whole & ranged & (F.col("cap_action") != "unavailable")
+    act = F.when(judged & (n > 0), p["f_action"])
     return every.select(
         *expectations.columns,
-        *scanners.columns,
+        *kept,
+        *states,
         F.when(~measured | (whole & (kind == "invalid-correct") & gaps), "not-measured").otherwise(kind).alias("type_state"),
         F.when(~measured | (whole & (mood == "correct") & (F.col("sensitivity") == "non-sensitive") & F.col("lacks")), "not-measured").otherwise(mood).alias("sensitivity_state"),
         F.when(~measured | whole, "not-applicable").when(~ranged, "unresolved").otherwise(span).alias("range_state"),
-        F.when(~measured | whole | ~ranged, "not-measured").when(act.isNotNull(), "reported").otherwise("no-action-reported").alias("action_state"),
+        F.when(~judged, "not-measured").when(act.isNotNull(), "reported").otherwise("no-action-reported").alias("action_state"),
         F.when(act.isNotNull(), act).otherwise(nothing).alias("action"),
         n.alias("finding_count"),
         F.coalesce(x["families"], F.lit("")).alias("families"),

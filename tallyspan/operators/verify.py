@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions import identity
+from ..functions import capabilities, identity
 
 KEYS = ["scanner_id", "variant_id", "occurrence_id"]
 #: Type states that an authored expectation can lead to.
@@ -17,6 +17,15 @@ REACHABLE = {
 }
 
 
+#: The same for sensitivity.
+REACHABLE_MOODS = {
+    "not-established": ("unresolved", "not-measured"),
+    "context-dependent": ("unresolved", "not-measured"),
+    "sensitive": ("correct", "miss", "not-measured"),
+    "non-sensitive": ("correct", "false-positive", "not-measured"),
+}
+
+
 def is_unmeasured() -> Column:
     return (F.col("type_state") == "not-measured") & (F.col("sensitivity_state") == "not-measured") & (F.col("range_state") == "not-applicable") & (F.col("action_state") == "not-measured")
 
@@ -31,12 +40,20 @@ def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def lattice(outcomes: DataFrame) -> DataFrame:
-    """Outcomes that their expectation, or their scanner's state, cannot lead to, each with the first code that applies."""
-    possible = F.lit(False)
-    for expected, states in REACHABLE.items():
-        possible = possible | ((F.col("type_expectation") == expected) & F.col("type_state").isin(*states))
-    code = F.when((F.col("status") != "complete") & ~is_unmeasured(), "measured-by-incomplete-scanner").when(~possible, "unreachable-type")
-    code = F.coalesce(code, F.when((F.col("range_state") == "miss") & (F.col("finding_count") > 0), "range-contradiction"))
+    """Outcomes that their expectation, or their scanner, cannot lead to, each with the first rule that it breaks as ``code``.
+
+    Reads what ``matching.assess`` gives. A range is observed against a located occurrence only, and then it is never unresolved.
+    """
+    located, unmeasured, span = F.col("exp_start").isNotNull(), F.col("type_state") == "not-measured", F.col("range_state")
+    reachable = lambda axis, authored, table: F.coalesce(*[F.when(F.col(authored) == e, F.col(axis).isin(*s)) for e, s in table.items()], F.lit(False))
+    code = (
+        F.when(F.when(located, span == "unresolved").otherwise(~span.isin("unresolved", "not-applicable")), "range-contradiction")
+        .when(~reachable("type_state", "type_expectation", REACHABLE), "unreachable-type")
+        .when(~reachable("sensitivity_state", "sensitivity", REACHABLE_MOODS), "unreachable-sensitivity")
+        .when((F.col("status") != "complete") & ~is_unmeasured(), "measured-by-incomplete-scanner")
+        .when(capabilities.rules_out_type(F.col("family_state"), F.col("place_state")) & ~unmeasured, "measured-unsupported-type")
+        .when(capability_conflict(), "capability-contradiction")
+    )
     return outcomes.withColumn("code", code).where("code is not null")
 
 

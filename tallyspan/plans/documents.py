@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import records
+from ..functions import identity, records
 from ..operators import bindings, compare, generate, legacy, normalize, verify
 from ..sources import documents
 from . import sql
@@ -43,6 +43,15 @@ def job_digests(spark: SparkSession, d: str) -> DataFrame:
     return _orders(spark, d).select("o_orderkey", job.alias("job"), records.dotted_seed(seed).alias("seed"))
 
 
+_PREIMAGE = " || ".join(_FIELD.format(f) for f in ("'case-' || o_orderkey", "'authored'"))
+
+
+@query(f"SELECT o_orderkey, 'authored-' || substr(sha256({_PREIMAGE}), 1, 24) AS variant_id, hex({_PREIMAGE}) AS preimage FROM orders")
+def variant_ids(spark: SparkSession, d: str) -> DataFrame:
+    k = F.concat(F.lit("case-"), F.col("o_orderkey"))
+    return _orders(spark, d).select("o_orderkey", identity.variant_id(k, F.lit("authored")).alias("variant_id"), F.hex(identity.preimage(k, F.lit("authored"))).alias("preimage"))
+
+
 @query("""SELECT o_orderkey, CASE WHEN ms BETWEEN 0 AND 253402300799999 THEN strftime(make_timestamp(ms * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') ELSE '1970-01-01T00:00:00.000Z' END AS stamp,
   CASE WHEN ms BETWEEN 0 AND 253402300799999 THEN ms ELSE 0 END AS millis, CAST(NULL AS BIGINT) AS none
 FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN -1 WHEN o_orderkey % 17 = 0 THEN 253402300800000 ELSE CAST(o_orderkey AS BIGINT) * 86399123 END AS ms FROM orders)""")
@@ -93,13 +102,12 @@ def input_binding_defects(spark: SparkSession, d: str) -> DataFrame:
     return bindings.input_defects(p.scanners, inputs, variants)
 
 
-@query(sql.ask("""SELECT scanner_id, CASE WHEN b.scanner_id IS NULL THEN 'unknown-scanner' ELSE 'configuration-binding-mismatch' END AS code
-FROM (SELECT scanner_id, status, cap_family FROM scanners WHERE scanner_id <> 2) a FULL JOIN (SELECT scanner_id, CASE scanner_id WHEN 1 THEN 'unstable' ELSE status END AS status, cap_family FROM scanners WHERE scanner_id <> 3) b USING (scanner_id)
-WHERE a.status IS DISTINCT FROM b.status OR a.cap_family IS DISTINCT FROM b.cap_family""", ()))
+@query(sql.ask("""SELECT scanner_id, CASE WHEN e.status IS NULL THEN 'unknown-scanner' ELSE 'configuration-binding-mismatch' END AS code FROM later l FULL JOIN earlier e USING (scanner_id)
+WHERE (l.status, l.cap_family, l.cap_sensitivity, l.version) IS DISTINCT FROM (e.status, e.cap_family, e.cap_sensitivity, e.version)""", ()))
 def scanner_binding_defects(spark: SparkSession, d: str) -> DataFrame:
-    s = Of(spark, d).scanners
-    planned = s.where("scanner_id <> 3").withColumn("status", F.when(F.col("scanner_id") == 1, "unstable").otherwise(F.col("status")))
-    return bindings.scanner_defects(s.where("scanner_id <> 2"), planned, ["status", "cap_family", "cap_sensitivity", "unsupported_family"])
+    """A run's scanners against those of the plan that an earlier run followed."""
+    p = Of(spark, d)
+    return bindings.scanner_defects(p.later, p.earlier, ["status", "cap_family", "cap_sensitivity", "version"])
 
 
 @query(sql.ask("""SELECT 'languages' AS path, 'scope-violation' AS code WHERE EXISTS (SELECT 1 FROM cases WHERE language NOT IN ('en', 'ko'))
@@ -116,10 +124,10 @@ def plan_manifest(spark: SparkSession, d: str) -> DataFrame:
     return row.select(*[F.array_join(c, ",").alias(c) for c in row.columns])
 
 
-@query(sql.ask("SELECT scanner_id AS base_id, scanner_id AS other_id, 'by-id-intersection' AS pairing FROM scanners WHERE scanner_id BETWEEN 1 AND 2", ()))
+@query(sql.ask("SELECT e.scanner_id AS base_id, l.scanner_id AS other_id, 'by-id-intersection' AS pairing FROM earlier e JOIN later l USING (scanner_id)", ()))
 def scanner_pairs(spark: SparkSession, d: str) -> DataFrame:
-    s = Of(spark, d).scanners
-    return bindings.pairing(s.where("scanner_id < 3"), s.where("scanner_id > 0"))
+    p = Of(spark, d)
+    return bindings.pairing(p.earlier, p.later)
 
 
 _RUN = "SELECT 'internal' AS kind, false AS legacy, count(DISTINCT method) AS protocol, 'public' AS run_class, count(*) AS population, min(case_id) AS mechanics FROM cases"

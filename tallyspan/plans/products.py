@@ -119,7 +119,7 @@ _TOLD = "CASE WHEN scanner_id IN (0, 3) AND status = 'complete' AND NOT text_neg
 def verified_actions(spark: SparkSession, d: str) -> DataFrame:
     """Scanners 0 and 3 declare sanitized outputs; verdicts exist for scanners 0, 1 and 3."""
     p = Of(spark, d)
-    rows = p.outcomes().withColumn("cap_action", F.when(F.col("scanner_id").isin(0, 3), "sanitized-output").otherwise("reported"))
+    rows = p.outcomes()
     told = p.every().where("scanner_id in (0, 1, 3) and variant_id % 3 = 0")
     verdict = F.when(F.col("variant_id") % 2 == 0, "removed").otherwise("residual-present")
     return projection.with_verdicts(rows, told.withColumn("verdict", verdict)).select(*KEYS, "action_state", "action", "verdict")

@@ -232,11 +232,30 @@ def duplicate_rows(spark: SparkSession, d: str) -> DataFrame:
     return verify.duplicates(rows.union(rows.where("case_id % 19 = 0")), KEYS)
 
 
-@query(sql.ask(f"SELECT {', '.join(KEYS)}, 'unreachable-type' AS code FROM outcomes WHERE case_id % 23 = 0 AND type_expectation <> 'valid' AND status = 'complete'", sql.ASSESSED))
+#: Outcomes with faults in four axes, as SQL that Spark and DuckDB read alike.
+_FAULTS = {
+    "type_state": "CASE WHEN case_id % 23 = 0 THEN 'wrong-family' ELSE type_state END",
+    "sensitivity_state": "CASE WHEN case_id % 31 = 0 THEN 'false-positive' ELSE sensitivity_state END",
+    "range_state": "CASE WHEN case_id % 29 = 0 THEN 'unresolved' ELSE range_state END",
+    "action_state": "CASE WHEN case_id % 37 = 0 THEN 'reported' ELSE action_state END",
+}
+_LATTICE = """CASE WHEN CASE WHEN exp_start IS NOT NULL THEN range_state = 'unresolved' ELSE range_state NOT IN ('unresolved', 'not-applicable') END THEN 'range-contradiction'
+  WHEN type_state NOT IN ('not-measured', 'unresolved') AND type_expectation = 'not-established' OR type_state = 'unresolved' AND type_expectation <> 'not-established' THEN 'unreachable-type'
+  WHEN type_state IN ('correct', 'miss', 'wrong-family', 'wrong-jurisdiction') AND type_expectation <> 'valid' THEN 'unreachable-type'
+  WHEN type_state IN ('invalid-correct', 'invalid-accepted') AND type_expectation <> 'invalid' THEN 'unreachable-type'
+  WHEN sensitivity_state = 'unresolved' AND sensitivity IN ('sensitive', 'non-sensitive') OR sensitivity_state IN ('correct', 'miss', 'false-positive') AND sensitivity = 'not-established'
+    OR sensitivity_state = 'miss' AND sensitivity <> 'sensitive' OR sensitivity_state = 'false-positive' AND sensitivity <> 'non-sensitive' THEN 'unreachable-sensitivity'
+  WHEN status <> 'complete' AND (type_state <> 'not-measured' OR sensitivity_state <> 'not-measured' OR range_state <> 'not-applicable' OR action_state <> 'not-measured') THEN 'measured-by-incomplete-scanner'
+  WHEN (cap_family = 'unsupported' OR family_state = 'unsupported' OR place_state = 'unsupported') AND type_state <> 'not-measured' THEN 'measured-unsupported-type'
+  WHEN cap_ranges = 'unsupported' AND range_state <> 'not-applicable' OR cap_sensitivity = 'unsupported' AND sensitivity_state <> 'not-measured'
+    OR cap_jurisdiction = 'unsupported' AND type_state = 'wrong-jurisdiction' OR action_state IN ('reported', 'no-action-reported') AND cap_action = 'unavailable' THEN 'capability-contradiction' END"""
+_BROKEN = ("broken", "SELECT * REPLACE (" + ", ".join(f"{e} AS {c}" for c, e in _FAULTS.items()) + ") FROM outcomes")
+
+
+@query(sql.ask(f"SELECT * FROM (SELECT {', '.join(KEYS)}, {_LATTICE} AS code FROM broken) WHERE code IS NOT NULL", (*sql.ASSESSED, _BROKEN)))
 def lattice_violations(spark: SparkSession, d: str) -> DataFrame:
-    rows = Of(spark, d).outcomes()
-    broken = rows.withColumn("type_state", F.when((F.col("case_id") % 23 == 0) & (F.col("status") == "complete"), "wrong-family").otherwise(F.col("type_state")))
-    return verify.lattice(broken).where("code = 'unreachable-type'").select(*KEYS, "code")
+    broken = Of(spark, d).outcomes().withColumns({c: F.expr(e) for c, e in _FAULTS.items()})
+    return verify.lattice(broken).select(*KEYS, "code")
 
 
 @query(sql.ask("SELECT DISTINCT scanner_id, variant_id FROM findings WHERE case_id % 29 = 0", ()))
@@ -268,10 +287,14 @@ def compare_metrics(spark: SparkSession, d: str) -> DataFrame:
     return compare.relations(m.where("scanner_id = 0"), m.where("scanner_id = 3"), ["metric"])
 
 
-@query(sql.ask("SELECT 'cap_sensitivity' AS field, 'supported' AS base, 'undeclared' AS other", ()))
+_FIELDS = ["status", "cap_family", "cap_sensitivity", "version"]
+
+
+@query(sql.ask(" UNION ALL ".join(f"SELECT scanner_id, '{f}' AS field, a.{f} AS base, b.{f} AS other FROM earlier a FULL JOIN later b USING (scanner_id) WHERE a.{f} IS DISTINCT FROM b.{f}" for f in _FIELDS), ()))
 def compare_identity_changes(spark: SparkSession, d: str) -> DataFrame:
-    s = Of(spark, d).scanners
-    return compare.changed_fields(s.where("scanner_id = 0"), s.where("scanner_id = 1"), ["status", "cap_family", "cap_sensitivity", "unsupported_family"])
+    """What the scanners of two runs declare differently."""
+    p = Of(spark, d)
+    return compare.changed_fields(p.earlier, p.later, _FIELDS, "scanner_id")
 
 
 @query(sql.ask("SELECT scanner_id, count(*) AS inputs, count(*) FILTER (scanner_id = 3 AND variant_id % 7 = 0) AS differing FROM (SELECT DISTINCT scanner_id, variant_id FROM findings) GROUP BY ALL", ()))
@@ -362,16 +385,10 @@ def sha_ids(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("slot-"), k % 3).alias("slot"), k.alias("case_id"), F.sha2(F.concat(F.lit("case-"), k), 256).alias("digest"))
 
 
-@query()
-def variant_ids(spark: SparkSession, d: str) -> DataFrame:
-    k = F.concat(F.lit("case-"), F.col("o_orderkey"))
-    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", identity.variant_id(k, F.lit("authored")).alias("variant_id"), F.hex(identity.preimage(k, F.lit("authored"))).alias("preimage"))
-
-
 #: Bytes that a text may have in the generation queries.
 _LIMIT = 4096
-_GEN = """SELECT case_id, method, CASE WHEN case_id % 31 = 0 THEN 'text-too-large' WHEN exp_start IS NULL THEN 'range-invalid' WHEN method = 'jurisdiction-collision' AND case_id % 2 = 0 THEN 'competing-set-empty'
-  WHEN method = 'pii-benign' AND sensitivity <> 'non-sensitive' THEN 'sensitivity-role' END AS reason FROM expectations WHERE occurrence_id = 0 AND variant_id % 10 = 0"""
+_GEN = """SELECT case_id, method, CASE WHEN case_id % 31 = 0 THEN 'text-too-large' WHEN exp_start IS NULL THEN 'range-invalid' WHEN method = 'jurisdiction-collision' AND case_id % 2 = 0 THEN 'invalid-collision'
+  WHEN method = 'pii-benign' AND sensitivity <> 'non-sensitive' THEN 'not-non-sensitive' END AS reason FROM expectations WHERE occurrence_id = 0 AND variant_id % 10 = 0"""
 
 
 def _authored(spark: SparkSession, d: str) -> DataFrame:
@@ -404,27 +421,11 @@ def collision_cases(spark: SparkSession, d: str) -> DataFrame:
     return generate.collisions(Of(spark, d).cases.where("method = 'jurisdiction-collision'"))
 
 
-@query("""SELECT doc_id, CAST(strlen(left(text, cp)) AS BIGINT) AS start, CAST(strlen(left(text, cp)) + strlen(token) AS BIGINT) AS end_, token
-FROM (SELECT doc_id, text, token, strpos(text, token) - 1 AS cp FROM (SELECT doc_id, text, regexp_extract(text, '[0-9]{3,}') AS token FROM documents) WHERE token <> '')""")
-def byte_ranges_documents(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", F.regexp_extract("text", "[0-9]{3,}", 0).alias("token")).where("token <> ''")
-    start = ranges.byte_of_point(F.col("text"), F.instr("text", F.col("token")) - 1)
-    return rows.select("doc_id", start.alias("start"), (start + F.octet_length("token")).alias("end_"), "token")
-
-
-@query("""SELECT doc_id, CASE WHEN s > e THEN 'inverted' WHEN s = e THEN 'empty' WHEN e > strlen(text) THEN 'out-of-bounds' END AS defect
-FROM (SELECT doc_id, text, doc_id % 50 AS s, doc_id % 37 + 10 AS e FROM documents) WHERE s >= e OR e > strlen(text)""")
-def range_validation(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.read.parquet(f"{d}/documents.parquet")
-    defect = ranges.range_error(F.col("text"), F.col("doc_id") % 50, F.col("doc_id") % 37 + 10)
-    return rows.select("doc_id", defect.alias("defect")).where("defect is not null and defect <> 'not-a-boundary'")
-
-
 @query("""SELECT doc_id, CAST(strlen(array_to_string(parts[1:i], '')) + strlen(array_to_string(runs[1:i - 1], '')) AS BIGINT) AS start,
   CAST(strlen(array_to_string(parts[1:i], '')) + strlen(array_to_string(runs[1:i], '')) AS BIGINT) AS end_, runs[i] AS token
 FROM (SELECT *, unnest(range(1, len(runs) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]{3,}') AS runs, regexp_split_to_array(text, '[0-9]{3,}') AS parts FROM documents))""")
-def byte_ranges_every_run(spark: SparkSession, d: str) -> DataFrame:
-    """Every digit run of each text; ``byte_ranges_documents`` has the first, as its SQL says."""
+def byte_ranges_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every digit run of each text."""
     rows = spark.read.parquet(f"{d}/documents.parquet")
     return ranges.every_match(rows.select("doc_id", "text"), "text", "[0-9]{3,}").select("doc_id", "start", "end_", "token")
 
@@ -434,8 +435,7 @@ _AT = "(CASE WHEN {0} < strlen(text) THEN ('0x' || substr(hex(encode(text)), CAS
 
 @query(f"""SELECT doc_id, CASE WHEN s > e THEN 'inverted' WHEN s = e THEN 'empty' WHEN e > strlen(text) THEN 'out-of-bounds' WHEN {_AT.format("s")} OR {_AT.format("e")} THEN 'not-a-boundary' END AS defect
 FROM (SELECT doc_id, text, doc_id % 50 AS s, doc_id % 37 + 10 AS e FROM documents) WHERE defect IS NOT NULL""")
-def range_defects(spark: SparkSession, d: str) -> DataFrame:
-    """Every defect; ``range_validation`` lacks not-a-boundary, which its SQL doesn't know."""
+def range_validation(spark: SparkSession, d: str) -> DataFrame:
     defect = ranges.range_error(F.col("text"), F.col("doc_id") % 50, F.col("doc_id") % 37 + 10)
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", defect.alias("defect")).where("defect is not null")
 
@@ -468,16 +468,10 @@ def population_composition_side_by_side(spark: SparkSession, d: str) -> DataFram
     return Of(spark, d).cases.groupBy("language", "method").agg(F.count("*").alias("cases"), F.count("jurisdiction").alias("placed"))
 
 
-@query(sql.ask("SELECT c.case_id, 'finding-without-variant' AS code FROM cases c WHERE NOT EXISTS (SELECT 1 FROM findings f WHERE f.case_id = c.case_id)", ()))
-def reference_integrity(spark: SparkSession, d: str) -> DataFrame:
-    p = Of(spark, d)
-    return p.cases.join(p.findings.select("case_id"), "case_id", "left_anti").select("case_id", F.lit("finding-without-variant").alias("code"))
-
-
 @query("""SELECT l_orderkey AS case_id, CAST(l_linenumber AS BIGINT) AS emission, 'finding-without-variant' AS code FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey)
 UNION ALL SELECT o_orderkey, NULL, 'case-without-finding' FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)""")
-def reference_defects(spark: SparkSession, d: str) -> DataFrame:
-    """Raw findings without a variant, and cases without a finding; ``reference_integrity`` gives the latter the former's name, as its SQL does."""
+def reference_integrity(spark: SparkSession, d: str) -> DataFrame:
+    """Raw findings without a variant, and cases without a finding."""
     p = Of(spark, d)
     raw = p.lineitem.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").cast("long").alias("emission"))
     dangling = raw.join(p.variants.select("case_id"), "case_id", "left_anti").select("case_id", "emission", F.lit("finding-without-variant").alias("code"))

@@ -5,7 +5,13 @@ from __future__ import annotations
 from ..operators.accounting import COUNTS_EVENTS, METRICS, STANDINGS
 from ..sources.population import sql_with
 
-MATRIX = ("mat", "SELECT * FROM expectations CROSS JOIN scanners")
+MATRIX = (
+    "mat",
+    """SELECT e.*, s.*, coalesce(f.state, CASE s.cap_family WHEN 'unsupported' THEN 'unsupported' ELSE 'undeclared' END) AS family_state,
+  CASE WHEN e.jurisdiction IS NOT NULL THEN coalesce(j.state, CASE s.cap_jurisdiction WHEN 'unsupported' THEN 'unsupported' ELSE 'undeclared' END) END AS place_state
+FROM expectations e CROSS JOIN scanners s LEFT JOIN families f ON f.scanner_id = s.scanner_id AND f.family = e.family
+LEFT JOIN jurisdictions j ON j.scanner_id = s.scanner_id AND j.jurisdiction = e.jurisdiction""",
+)
 PAIRS = (
     "pairs",
     """SELECT m.*, f.f_start, f.f_end, f.f_family, f.f_jurisdiction, f.f_sensitive, f.f_action, f.emission,
@@ -55,7 +61,7 @@ FROM mat m LEFT JOIN (SELECT scanner_id, variant_id, occurrence_id, count(*) FIL
 STATES = (
     "states",
     """SELECT *,
-  CASE WHEN cap_family = 'unsupported' OR unsupported_family = family THEN 'not-measured'
+  CASE WHEN cap_family = 'unsupported' OR family_state = 'unsupported' OR place_state = 'unsupported' THEN 'not-measured'
     WHEN type_expectation = 'not-established' THEN 'unresolved'
     WHEN type_expectation = 'invalid' THEN CASE WHEN n > 0 THEN 'invalid-accepted' ELSE 'invalid-correct' END
     WHEN n = 0 THEN 'miss' WHEN f_family IS NULL THEN 'not-measured'
@@ -71,11 +77,11 @@ FROM (SELECT * FROM located UNION ALL BY NAME SELECT * FROM negative)""",
 OUTCOMES = (
     "outcomes",
     """SELECT * EXCLUDE (t, s),
-  CASE WHEN status <> 'complete' THEN 'not-measured' WHEN text_negative AND t = 'invalid-correct' AND (lacks OR cap_family <> 'supported' OR cap_sensitivity <> 'supported') THEN 'not-measured' ELSE t END AS type_state,
+  CASE WHEN status <> 'complete' THEN 'not-measured' WHEN text_negative AND t = 'invalid-correct' AND (lacks OR cap_family <> 'supported' OR family_state <> 'supported' OR place_state <> 'supported') THEN 'not-measured' ELSE t END AS type_state,
   CASE WHEN status <> 'complete' THEN 'not-measured' WHEN text_negative AND s = 'correct' AND sensitivity = 'non-sensitive' AND lacks THEN 'not-measured' ELSE s END AS sensitivity_state,
   CASE WHEN status <> 'complete' OR text_negative THEN 'not-applicable' WHEN exp_start IS NULL THEN 'unresolved' WHEN n = 0 THEN 'miss' ELSE relation END AS range_state,
-  CASE WHEN status <> 'complete' OR text_negative OR exp_start IS NULL THEN 'not-measured' WHEN f_action IS NOT NULL THEN 'reported' ELSE 'no-action-reported' END AS action_state,
-  CASE WHEN NOT text_negative AND exp_start IS NOT NULL THEN f_action END AS action, n AS finding_count
+  CASE WHEN status <> 'complete' OR text_negative OR exp_start IS NULL OR cap_action = 'unavailable' THEN 'not-measured' WHEN f_action IS NOT NULL THEN 'reported' ELSE 'no-action-reported' END AS action_state,
+  CASE WHEN status = 'complete' AND NOT text_negative AND exp_start IS NOT NULL AND cap_action <> 'unavailable' THEN f_action END AS action, n AS finding_count
 FROM states""",
 )
 _VALID, _METHOD = "type_expectation = 'valid'", "method = '{}'"

@@ -8,6 +8,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Scanners: (id, status, then what they declare of ranges, families, jurisdictions, sensitivity and actions).
+SCANNERS = [
+    (0, "complete", "supported", "supported", "supported", "supported", "sanitized-output"),
+    (1, "complete", "supported", "supported", "supported", "undeclared", "reported"),
+    (2, "complete", "supported", "supported", "undeclared", "supported", "unavailable"),
+    (3, "unstable", "supported", "supported", "supported", "supported", "sanitized-output"),
+]
+#: What they declare of one family or jurisdiction; what isn't named is undeclared.
+DECLARED = {
+    "family": [(s, f, "unsupported" if (s, f) == (2, "card") else "supported") for s in range(4) for f in ("card", "email", "phone", "ssn") if (s, f) != (2, "ssn")],
+    "jurisdiction": [(s, j, "unsupported" if (s, j) == (2, "GB") else "supported") for s in range(4) for j in ("GB", "US")],
+}
+_CAPS = "cap_ranges, cap_family, cap_jurisdiction, cap_sensitivity, cap_action"
+_rows = lambda rows: ", ".join(map(str, rows))
+
+
+def _maps(kind: str) -> str:
+    """The map of each scanner, as Spark SQL."""
+    of = lambda s: ", ".join(f"'{name}', '{state}'" for i, name, state in DECLARED[kind] if i == s)
+    return "CASE id " + " ".join(f"WHEN {s[0]} THEN map({of(s[0])})" for s in SCANNERS) + " END"
+
+
 TABLES = {
     "cases": """SELECT o_orderkey AS case_id, o_custkey AS c,
   CASE o_orderkey % 7 WHEN 0 THEN 'type-validation' WHEN 1 THEN 'context-discrimination' WHEN 2 THEN 'pii-benign'
@@ -30,10 +52,16 @@ FROM variants JOIN (VALUES (0), (1)) AS o(oi) ON o.oi = 0 OR case_id % 3 = 0""",
     WHEN method = 'context-discrimination' THEN CASE vi % 3 WHEN 0 THEN 'sensitive' WHEN 1 THEN 'not-established' ELSE 'non-sensitive' END
     WHEN c % 4 = 3 THEN 'non-sensitive' ELSE 'sensitive' END AS sensitivity
 FROM spans""",
-    "scanners": """SELECT CAST(id AS BIGINT) AS scanner_id, status, cap_family, cap_sensitivity, unsupported_family FROM (VALUES
-  (0, 'complete', 'supported', 'supported', 'none'), (1, 'complete', 'supported', 'undeclared', 'none'),
-  (2, 'complete', 'supported', 'supported', 'card'), (3, 'unstable', 'supported', 'supported', 'none')
-) AS s(id, status, cap_family, cap_sensitivity, unsupported_family)""",
+    "scanners": f"SELECT CAST(id AS BIGINT) AS scanner_id, status, {_CAPS} FROM (VALUES {_rows(SCANNERS)}) AS s(id, status, {_CAPS})",
+    "families": f"SELECT * FROM (VALUES {_rows(DECLARED['family'])}) AS f(scanner_id, family, state)",
+    "jurisdictions": f"SELECT * FROM (VALUES {_rows(DECLARED['jurisdiction'])}) AS j(scanner_id, jurisdiction, state)",
+    "declarations": """SELECT CAST(s_suppkey AS BIGINT) AS scanner_id, CASE WHEN s_nationkey % 5 = 4 THEN 'unstable' ELSE 'complete' END AS status,
+  CASE WHEN s_acctbal < 0 THEN 'undeclared' ELSE 'supported' END AS cap_family, CASE s_nationkey % 3 WHEN 0 THEN 'undeclared' ELSE 'supported' END AS cap_sensitivity,
+  concat('v', s_nationkey) AS version FROM supplier""",
+    "earlier": "SELECT * FROM declarations WHERE scanner_id % 13 <> 0",
+    "later": """SELECT scanner_id, CASE WHEN scanner_id % 5 = 0 THEN 'unstable' ELSE status END AS status, cap_family,
+  CASE WHEN scanner_id % 17 = 0 THEN 'unsupported' ELSE cap_sensitivity END AS cap_sensitivity, CASE WHEN scanner_id % 11 = 0 THEN version || '.1' ELSE version END AS version
+FROM declarations WHERE scanner_id % 7 <> 0""",
     "findings": """SELECT CAST(l_linenumber % 4 AS BIGINT) AS scanner_id, v.variant_id, v.case_id, CAST(l_linenumber AS BIGINT) AS emission,
   greatest(CAST(0 AS BIGINT), (v.case_id * 7 + v.vi * 5) % 40 + CASE l_partkey % 6 WHEN 1 THEN -3 WHEN 2 THEN 2 WHEN 4 THEN 60 WHEN 5 THEN 1 ELSE 0 END) AS f_start,
   (v.case_id * 7 + v.vi * 5) % 40 + CASE l_partkey % 6 WHEN 1 THEN 9 + v.c % 9 WHEN 2 THEN 10 WHEN 4 THEN 66 WHEN 5 THEN 4 ELSE 6 + v.c % 9 END AS f_end,
@@ -51,6 +79,9 @@ IN_SPARK = TABLES | {
         ("spans", "case_id % 3 = 0 THEN array(0, 1) ELSE array(0)", "o AS oi"),
     )
 }
+IN_SPARK["scanners"] = TABLES["scanners"].replace(" FROM", f", {_maps('family')} AS families, {_maps('jurisdiction')} AS jurisdictions FROM", 1)
+#: The scanners of two runs, which come of another table than the rest.
+RUNS = {"declarations", "earlier", "later"}
 BASE = ("orders", "lineitem", "documents", "events", "part", "labels", "customer", "pages", "conversations", "benchmark")
 
 
@@ -62,6 +93,7 @@ def sql_with(query: str, *more: tuple[str, str]) -> str:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the population."""
-    inputs = [f"{name} AS (SELECT * FROM parquet.`{sf_dir}/{name}.parquet`)" for name in ("orders", "lineitem")]
-    parts = [f"{name} AS ({body})" for name, body in IN_SPARK.items()]
+    own = RUNS if table in RUNS else {name for name in TABLES if name not in RUNS}
+    inputs = [f"{name} AS (SELECT * FROM parquet.`{sf_dir}/{name}.parquet`)" for name in (("supplier",) if own is RUNS else ("orders", "lineitem"))]
+    parts = [f"{name} AS ({body})" for name, body in IN_SPARK.items() if name in own]
     return spark.sql("WITH " + ",\n".join([*inputs, *parts]) + f"\nSELECT * FROM {table}")

@@ -19,8 +19,8 @@ CASES = [
     (dict(family="pii:global:ssn"), "family-scope-mismatch"),
     (dict(evidence_method="mutation"), "evidence-role-mismatch"),
     (HIT, None),
-    (HIT | dict(competing=[]), "competing-set-empty"),
-    (HIT | dict(competing=None), "competing-set-empty"),
+    (HIT | dict(competing=[]), "invalid-collision"),
+    (HIT | dict(competing=None), "invalid-collision"),
     (HIT | dict(competing=["pii:us:card", "pii:us:ssn"]), "invalid-collision"),
     (HIT | dict(competing=[f"pii:us:f{i}" for i in range(33)]), "invalid-collision"),
     (HIT | dict(competing=[f"pii:us:f{i % 32}" for i in range(40)]), None),
@@ -28,7 +28,7 @@ CASES = [
     (HIT | dict(checks=[("synthetic-mod10", 1, "valid")]), None),
     (HIT | dict(checks=[("synthetic-mod10", 1, "valid"), ("synthetic-mod10", 1, "invalid")]), "validator-check-mismatch"),
     (BENIGN, None),
-    (BENIGN | dict(sensitivity="sensitive"), "sensitivity-role"),
+    (BENIGN | dict(sensitivity="sensitive"), "not-non-sensitive"),
     (BENIGN | dict(evidence_method="pii-benign", benign_class="reserved", evidence_classes=["placeholder"]), "evidence-role-mismatch"),
     (BENIGN | dict(evidence_method="pii-benign", benign_class="placeholder", evidence_classes=["placeholder"]), None),
     (BENIGN | dict(checks=[("synthetic-mod10", 2, "valid")]), "validator-check-unavailable"),

@@ -15,7 +15,7 @@ def test_every_match_has_its_bytes(spark):
 
 
 def test_range_defects_equal_brute_force(spark):
-    got = {r.doc_id: r.defect for r in entry.queries()["range_defects"](spark, FOLDER).collect()}
+    got = {r.doc_id: r.defect for r in entry.queries()["range_validation"](spark, FOLDER).collect()}
     want = {}
     for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect():
         raw, s, e = r.text.encode(), r.doc_id % 50, r.doc_id % 37 + 10

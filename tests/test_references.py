@@ -9,7 +9,7 @@ def test_a_dangling_finding_is_found(spark, tmp_path):
     gone = lines.select("l_orderkey").first()[0]
     orders.where(f"o_orderkey <> {gone}").write.parquet(str(tmp_path / "orders.parquet"))
     lines.write.parquet(str(tmp_path / "lineitem.parquet"))
-    out = entry.queries()["reference_defects"](spark, str(tmp_path)).collect()
+    out = entry.queries()["reference_integrity"](spark, str(tmp_path)).collect()
     bad = [r for r in out if r.code == "finding-without-variant"]
     assert {r.case_id for r in bad} == {gone} and len(bad) == lines.where(f"l_orderkey = {gone}").count()
     silent = {r.o_orderkey for r in orders.collect()} - {r.l_orderkey for r in lines.collect()}
