@@ -1,6 +1,6 @@
 """Matching expectations with findings, and the four axes of each outcome.
 
-expectations and findings meet once, on the variant; the primary finding of an occurrence is one aggregate, ``min`` of a
+expectations and findings meet once, on the variant, and where only ranges count also on a bin of positions (see ``intervals``); the primary finding of an occurrence is one aggregate, ``min`` of a
 struct in order of preference, so no window sorts whole groups. Scanners without a finding are added after that from the
 scanner table, which is small. Duplicated findings are kept and counted.
 """
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import capabilities, ranges
+from . import intervals
 
 KEYS = ("scanner_id", "variant_id", "occurrence_id")
 
@@ -20,11 +21,17 @@ def matrix(expectations: DataFrame, scanners: DataFrame) -> DataFrame:
     return expectations.crossJoin(F.broadcast(scanners))
 
 
-def candidates(matrix_: DataFrame, findings: DataFrame, how: str = "inner") -> DataFrame:
-    """Pairs of a located occurrence and a finding of the same scanner and variant whose ranges overlap."""
-    f = findings.drop("case_id")
-    on = (matrix_.scanner_id == f.scanner_id) & (matrix_.variant_id == f.variant_id) & ranges.overlaps(F.col("exp_start"), F.col("exp_end"), F.col("f_start"), F.col("f_end"))
-    return matrix_.join(f, on, how).drop(f.scanner_id).drop(f.variant_id)
+EXPECTED, REPORTED = ("exp_start", "exp_end"), ("f_start", "f_end")
+
+
+def candidates(expectations: DataFrame, findings: DataFrame) -> DataFrame:
+    """Pairs of a located occurrence and a finding of its variant whose ranges overlap, for each scanner that has findings."""
+    return intervals.overlapping(expectations, findings.drop("case_id"), "variant_id", EXPECTED, REPORTED).drop("bin")
+
+
+def of_complete(findings: DataFrame, scanners: DataFrame) -> DataFrame:
+    """The findings of scanners that measured something."""
+    return findings.join(F.broadcast(scanners.where(capabilities.measures()).select("scanner_id")), "scanner_id", "left_semi")
 
 
 def preference() -> Column:
@@ -70,47 +77,47 @@ def sensitivity_state(n: Column, flag: Column) -> Column:
     return F.when(cap == "unsupported", "not-measured").when(wanted.isin("not-established", "context-dependent"), "unresolved").otherwise(judged)
 
 
-def found_by_scanner(expectations: DataFrame, findings: DataFrame) -> DataFrame:
+def found_by_scanner(expectations: DataFrame, findings: DataFrame, observed: bool = True) -> DataFrame:
     """(variant_id, occurrence_id, e, found): each occurrence and what each scanner reported of it.
 
-    Occurrences meet findings once, on the variant. A located occurrence takes the findings whose ranges overlap it; one about the whole text
-    takes those of its family, and of its jurisdiction if it has one. Both folds below need no further shuffle, as
-    rows lie together by variant already. ``found`` holds at most one entry for each scanner.
+    Occurrences meet findings once, on the variant, as one about the whole text reads all of them; a variant has few by contract. A located
+    occurrence takes the findings whose ranges overlap it; one about the whole text takes those of its family, and of its jurisdiction if
+    it has one. Both folds below need no further shuffle, as rows lie together by variant already. ``found`` holds at most
+    one entry for each scanner; the names in it are left out unless ``observed``.
     """
-    f = findings.select(F.col("variant_id").alias("f_variant"), "scanner_id", "f_start", "f_end", "f_family", "f_jurisdiction", "f_sensitive", "f_action")
+    f = findings.select(F.col("variant_id").alias("f_variant"), "scanner_id", *REPORTED, "f_family", "f_jurisdiction", "f_sensitive", "f_action")
     rows = expectations.join(f, F.col("variant_id") == F.col("f_variant"), "left")
     whole, juris = F.col("text_negative"), F.col("jurisdiction")
     same, here = F.col("f_family") == F.col("family"), F.col("f_start").isNotNull()
     scoped = here & same & (juris.isNull() | (F.col("f_jurisdiction") == juris))
-    located = ranges.overlaps(F.col("exp_start"), F.col("exp_end"), F.col("f_start"), F.col("f_end"))
+    located = ranges.overlaps(*map(F.col, (*EXPECTED, *REPORTED)))
     rows = rows.withColumn("hit", F.coalesce(F.when(whole, scoped).otherwise(located), F.lit(False)))
     lacks = whole & here & (F.col("f_family").isNull() | (same & juris.isNotNull() & F.col("f_jurisdiction").isNull()))
     flag = F.when(F.col("f_sensitive"), 0).when(F.col("f_sensitive").isNull(), 1).otherwise(2)
     names = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(F.col("hit"), F.col(c)))), ",").alias(c)
+    told = [names("f_family"), names("f_jurisdiction")] if observed else []
     once = rows.groupBy("variant_id", "occurrence_id", "scanner_id").agg(
         F.first(F.struct(*expectations.columns)).alias("e"),
         F.count_if("hit").alias("n"),
         F.min(F.when(F.col("hit") & ~whole, preference())).alias("p"),
         F.bool_or(F.coalesce(lacks, F.lit(False))).alias("lacks"),
         F.min(F.when(F.col("hit") & whole, flag)).alias("flag"),
-        names("f_family"),
-        names("f_jurisdiction"),
+        *told,
     )
-    entry = F.struct("scanner_id", "n", "p", "lacks", "flag", F.col("f_family").alias("families"), F.col("f_jurisdiction").alias("jurisdictions"))
-    return once.groupBy("variant_id", "occurrence_id").agg(F.first("e").alias("e"), F.collect_list(entry).alias("found"))
+    said = [F.col("f_family").alias("families"), F.col("f_jurisdiction").alias("jurisdictions")] if observed else []
+    return once.groupBy("variant_id", "occurrence_id").agg(F.first("e").alias("e"), F.collect_list(F.struct("scanner_id", "n", "p", "lacks", "flag", *said)).alias("found"))
 
 
-def assess(expectations: DataFrame, scanners: DataFrame, findings: DataFrame) -> DataFrame:
+def assess(expectations: DataFrame, scanners: DataFrame, findings: DataFrame, observed: bool = True) -> DataFrame:
     """One outcome for every scanner and occurrence.
 
     scanners: (scanner_id, status, cap_ranges, cap_family, cap_jurisdiction, cap_sensitivity, cap_action, families, jurisdictions), the last two maps
     from a name to its state. One that isn't complete or reports no ranges measured nothing, and its findings aren't read. No
     candidate of an occurrence about the whole text is an answer only where the scanner supports the family and the jurisdiction.
+    What the candidates named (families, jurisdictions) is left out unless ``observed``.
     """
     measured = capabilities.measures()
-    live = findings.join(F.broadcast(scanners.where(measured).select("scanner_id")), "scanner_id", "left_semi")
-
-    every = found_by_scanner(expectations, live).crossJoin(F.broadcast(scanners))
+    every = found_by_scanner(expectations, of_complete(findings, scanners), observed).crossJoin(F.broadcast(scanners))
     mine = F.filter("found", lambda x: x["scanner_id"] == F.col("scanner_id"))
     of_family, of_place = capabilities.expected_states(F.col("e.family"), F.col("e.jurisdiction"))
     kept = [c for c in scanners.columns if c not in ("families", "jurisdictions")]
@@ -136,8 +143,7 @@ def assess(expectations: DataFrame, scanners: DataFrame, findings: DataFrame) ->
         F.when(~judged, "not-measured").when(act.isNotNull(), "reported").otherwise("no-action-reported").alias("action_state"),
         F.when(act.isNotNull(), act).otherwise(nothing).alias("action"),
         n.alias("finding_count"),
-        F.coalesce(x["families"], F.lit("")).alias("families"),
-        F.coalesce(x["jurisdictions"], F.lit("")).alias("jurisdictions"),
+        *([F.coalesce(x[c], F.lit("")).alias(c) for c in ("families", "jurisdictions")] if observed else []),
     )
 
 
@@ -147,20 +153,28 @@ def gated(outcomes: DataFrame, held: DataFrame) -> DataFrame:
     return outcomes.join(marks, "variant_id", "left").withColumn("type_state", F.when(F.col("held"), "not-measured").otherwise(F.col("type_state"))).drop("held")
 
 
+FINDING = ("scanner_id", "variant_id", "emission", "f_start", "f_end")
+
+
 def reported(expectations: DataFrame, findings: DataFrame) -> DataFrame:
-    """Each finding with the closest occurrence that it overlaps; ties go to the lowest occurrence."""
-    e = expectations.where("exp_start is not null").select("variant_id", "occurrence_id", "exp_start", "exp_end")
-    on = (findings.variant_id == e.variant_id) & ranges.overlaps(F.col("exp_start"), F.col("exp_end"), F.col("f_start"), F.col("f_end"))
-    rank, tight = ranges.closeness(F.col("exp_start"), F.col("exp_end"), F.col("f_start"), F.col("f_end"))
-    rows = findings.join(e, on, "left").drop(e.variant_id)
-    best = F.min(F.when(F.col("exp_start").isNotNull(), F.struct(rank.alias("rank"), tight.alias("tight"), F.col("occurrence_id"))))
-    return rows.groupBy("scanner_id", "variant_id", "emission", "f_start", "f_end").agg(best.alias("best"))
+    """Each finding that overlaps an occurrence, with the closest; ties go to the lowest occurrence."""
+    e = expectations.where("exp_start is not null").select("variant_id", "occurrence_id", *EXPECTED)
+    rank, tight = ranges.closeness(*map(F.col, (*EXPECTED, *REPORTED)))
+    best = F.min(F.struct(rank.alias("rank"), tight.alias("tight"), F.col("occurrence_id"))).alias("best")
+    return candidates(e, findings.select(*FINDING)).groupBy(*FINDING).agg(best)
+
+
+def unmatched(expectations: DataFrame, findings: DataFrame) -> DataFrame:
+    """The findings that overlap no occurrence of their variant."""
+    e = expectations.where("exp_start is not null").select("variant_id", *EXPECTED)
+    return findings.join(candidates(e, findings.select(*FINDING)).select(*FINDING).distinct(), list(FINDING), "left_anti")
 
 
 def first_overlap(expectations: DataFrame, findings: DataFrame, scanners: DataFrame) -> DataFrame:
     """The older rule: the first finding in order of emission that overlaps decides, without regard to capabilities."""
     every = matrix(expectations.where("exp_start is not null"), scanners.where("status = 'complete'"))
-    first = candidates(every, findings).groupBy(*KEYS).agg(F.min(F.struct("emission", "f_start", "f_end", "f_family", "f_jurisdiction", "f_sensitive")).alias("p"))
+    met = candidates(expectations.where("exp_start is not null").select("variant_id", "occurrence_id", *EXPECTED), findings)
+    first = met.groupBy(*KEYS).agg(F.min(F.struct("emission", "f_start", "f_end", "f_family", "f_jurisdiction", "f_sensitive")).alias("p"))
     rows = every.join(first, list(KEYS), "left")
     p = F.col("p")
     same = p["f_family"] == F.col("family")

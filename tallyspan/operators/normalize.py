@@ -4,34 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from ..functions import ranges
+from . import translate
 
 INPUT = ["scanner_id", "variant_id"]
 
 
-def mapped(native: DataFrame, vocabulary: DataFrame, scanners: DataFrame, unit: str, most: int) -> DataFrame:
+def mapped(native: DataFrame, texts: DataFrame, vocabulary: DataFrame, scanners: DataFrame, unit: str, most: int) -> DataFrame:
     """native with verdict, family, jurisdiction, f_start and f_end in bytes, code of the finding, and failure of its whole input.
 
-    native: INPUT, position, label, text, start, end_ in ``unit`` (bytes, utf16 or points). vocabulary: (scanner_id, label, verdict, family,
-    jurisdiction) with the verdict skip or finding; scanners: (scanner_id, families, jurisdictions) that they declare. Both are bounded by what
-    scanners declare, not by the findings, and joined as Spark sees fit. An input fails as a whole: with more findings than ``most``, then for a
-    label that the vocabulary lacks, then for its first finding of an undeclared scope or without a range. Skipped findings need no range.
+    native: INPUT, position, label, start, end_ in ``unit`` (bytes, utf16 or points); texts: (variant_id, text). vocabulary: (scanner_id, label, verdict,
+    family, jurisdiction) with the verdict skip or finding; scanners: (scanner_id, families, jurisdictions) that they declare. Both are bounded by
+    what scanners declare, not by the findings, and joined as Spark sees fit. An input fails as a whole: with more findings than ``most``, then
+    for a label that the vocabulary lacks, then for its first finding of an undeclared scope or without a range. Skipped
+    findings need no range. Inputs are judged by one fold; those with more than ``most`` findings are not translated, so the
+    findings of a text that meet it are bounded.
     """
     known = native.join(vocabulary, ["scanner_id", "label"], "left").join(scanners, "scanner_id", "left")
-    translate = {"points": ranges.byte_of_point, "utf16": ranges.byte_of_utf16}.get(unit, lambda text, at: at.cast("long"))
-    rows = known.withColumn("f_start", translate(F.col("text"), F.col("start"))).withColumn("f_end", translate(F.col("text"), F.col("end_")))
+    sizes = native.groupBy(*INPUT).agg((F.count("*") > most).alias("crowded"))
+    known = known.join(sizes, INPUT).withColumn("start", F.when(~F.col("crowded"), F.col("start")))
+    rows = translate.to_bytes(known, texts, "variant_id", unit)
     undeclared = lambda c: F.col(c).isNotNull() & ~F.coalesce(F.array_contains(F.col({"family": "families", "jurisdiction": "jurisdictions"}[c]), F.col(c)), F.lit(False))
-    wrong = F.col("f_start").isNull() | F.col("f_end").isNull() | ranges.range_error(F.col("text"), F.col("f_start"), F.col("f_end")).isNotNull()
-    finding = F.when(undeclared("family") | undeclared("jurisdiction"), "undeclared").when(wrong, "invalid-range")
+    finding = F.when(undeclared("family") | undeclared("jurisdiction"), "undeclared").when(~F.col("fits"), "invalid-range")
     code = F.when(F.col("verdict").isNull(), "unmapped-label").when(F.col("verdict") == "finding", finding)
-    whole = W.partitionBy(*INPUT)
-    rows = rows.withColumn("code", code)
-    later = F.col("code").isin("undeclared", "invalid-range")
-    first = F.min_by("code", F.when(later, F.col("position"))).over(whole)
-    failure = F.when(F.count("*").over(whole) > most, "output-limit").when(F.bool_or(F.col("code") == "unmapped-label").over(whole), "unmapped-label").otherwise(first)
-    return rows.withColumn("failure", failure).drop("families", "jurisdictions")
+    rows = rows.withColumn("code", code).drop("families", "jurisdictions", "fits")
+    first = F.min_by("code", F.when(F.col("code").isin("undeclared", "invalid-range"), F.col("position")))
+    failure = F.when(F.bool_or("crowded"), "output-limit").when(F.bool_or(F.col("code") == "unmapped-label"), "unmapped-label").otherwise(first)
+    judged = rows.groupBy(*INPUT).agg(failure.alias("failure"))
+    return rows.drop("crowded").join(judged, INPUT)
 
 
 def findings(rows: DataFrame) -> DataFrame:

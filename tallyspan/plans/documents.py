@@ -175,31 +175,53 @@ _DECLARED = [(0, ["email", "phone"], ["US"]), (1, ["email", "phone"], ["US"])]
 _LABEL = "CASE WHEN (doc_id + i) % 23 = 0 THEN 'ghost' WHEN (doc_id + i) % 19 = 0 THEN 'mail' WHEN (doc_id + i) % 3 = 0 THEN 'noise' WHEN doc_id % 2 = 1 THEN 'tel' ELSE 'mail' END"
 _WORD_SQL = ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in w) + ")" for w in _WORDS)
 _NATIVE = f"SELECT doc_id % 2 AS scanner_id, doc_id AS variant_id, i AS position, {_LABEL} AS label, text, doc_id % 60 + i * 3 AS s, doc_id % 60 + i * 3 + 1 + doc_id % 5 AS e FROM documents, (SELECT unnest(range(4)) AS i) WHERE i < 3 OR doc_id % 29 = 0"
-_CODED = f"""SELECT n.*, w.verdict, w.family, w.jurisdiction, s <= length(text) AND e <= length(text) AS fits, CASE WHEN verdict IS NULL THEN 'unmapped-label' WHEN verdict = 'finding' THEN
-  CASE WHEN family NOT IN ('email', 'phone') OR coalesce(w.jurisdiction <> 'US', FALSE) THEN 'undeclared' WHEN text IS NULL OR NOT (s <= length(text) AND e <= length(text)) THEN 'invalid-range' END END AS code
-FROM native n LEFT JOIN (VALUES {_WORD_SQL}) w(scanner_id, label, verdict, family, jurisdiction) USING (scanner_id, label)"""
-_JUDGED = """SELECT *, CASE WHEN count(*) OVER i > 3 THEN 'output-limit' WHEN bool_or(code = 'unmapped-label') OVER i THEN 'unmapped-label' ELSE arg_min(code, position) FILTER (code IN ('undeclared', 'invalid-range')) OVER i END AS failure
+#: For each unit the byte offset of an offset, null where there is none.
+_WIDE = "length(regexp_replace(left(text, CAST(k AS BIGINT)), '[\\x{0}-\\x{FFFF}]', '', 'g'))"
+_BYTE_OF = {
+    "points": "CASE WHEN @ <= length(text) THEN strlen(substr(text, 1, @)) END",
+    "bytes": "CASE WHEN @ <= strlen(text) THEN @ END",
+    "utf16": f"strlen(left(text, CAST(list_filter(range(0, least(@, length(text)) + 1), lambda k: k + {_WIDE} = @)[1] AS BIGINT)))",
+}
+
+
+def _normalized(unit: str) -> str:
+    spans = f"SELECT *, CAST({_BYTE_OF[unit].replace('@', 's')} AS BIGINT) AS f_start, CAST({_BYTE_OF[unit].replace('@', 'e')} AS BIGINT) AS f_end FROM ({_NATIVE})"
+    inside = lambda at: "(CASE WHEN {0} < strlen(text) THEN ('0x' || substr(hex(encode(text)), 2 * {0} + 1, 2))::INT & 192 ELSE 0 END) <> 128".format(at)
+    coded = f"""SELECT n.*, w.verdict, w.family, w.jurisdiction, CASE WHEN verdict IS NULL THEN 'unmapped-label' WHEN verdict = 'finding' THEN
+  CASE WHEN family NOT IN ('email', 'phone') OR coalesce(w.jurisdiction <> 'US', FALSE) THEN 'undeclared' WHEN NOT coalesce(f_start < f_end AND {inside("f_start")} AND {inside("f_end")}, FALSE) THEN 'invalid-range' END END AS code
+FROM ({spans}) n LEFT JOIN (VALUES {_WORD_SQL}) w(scanner_id, label, verdict, family, jurisdiction) USING (scanner_id, label)"""
+    judged = """SELECT *, CASE WHEN count(*) OVER i > 3 THEN 'output-limit' WHEN bool_or(code = 'unmapped-label') OVER i THEN 'unmapped-label' ELSE arg_min(code, position) FILTER (code IN ('undeclared', 'invalid-range')) OVER i END AS failure
 FROM coded WINDOW i AS (PARTITION BY scanner_id, variant_id)"""
-_NORMALIZED = f"WITH native AS ({_NATIVE}), coded AS ({_CODED}), judged AS ({_JUDGED}) "
+    return f"WITH coded AS ({coded}), judged AS ({judged}) "
 
 
-def _mapped(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet").withColumn("i", F.explode(F.when(F.col("doc_id") % 29 == 0, F.sequence(F.lit(0), F.lit(3))).otherwise(F.sequence(F.lit(0), F.lit(2)))))
+def _mapped(spark: SparkSession, d: str, unit: str) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    last = F.when(F.col("doc_id") % 29 == 0, 3).otherwise(2)
+    rows = docs.select("doc_id", F.explode(F.sequence(F.lit(0), last)).alias("i"))
     start = F.col("doc_id") % 60 + F.col("i") * 3
-    native = docs.select((F.col("doc_id") % 2).alias("scanner_id"), F.col("doc_id").alias("variant_id"), F.col("i").cast("long").alias("position"), F.expr(_LABEL).alias("label"), "text", start.alias("start"), (start + 1 + F.col("doc_id") % 5).alias("end_"))
+    native = rows.select((F.col("doc_id") % 2).alias("scanner_id"), F.col("doc_id").alias("variant_id"), F.col("i").cast("long").alias("position"), F.expr(_LABEL).alias("label"), start.alias("start"), (start + 1 + F.col("doc_id") % 5).alias("end_"))
     words = spark.createDataFrame(_WORDS, "scanner_id long, label string, verdict string, family string, jurisdiction string")
-    return normalize.mapped(native, words, spark.createDataFrame(_DECLARED, "scanner_id long, families array<string>, jurisdictions array<string>"), "points", 3)
+    declared = spark.createDataFrame(_DECLARED, "scanner_id long, families array<string>, jurisdictions array<string>")
+    return normalize.mapped(native, docs.select(F.col("doc_id").alias("variant_id"), "text"), words, declared, unit, 3)
 
 
-@query(_NORMALIZED + "SELECT scanner_id, variant_id, position, CAST(strlen(substr(text, 1, s)) AS BIGINT) AS f_start, CAST(strlen(substr(text, 1, e)) AS BIGINT) AS f_end, family, jurisdiction FROM judged WHERE failure IS NULL AND verdict = 'finding'")
-def normalized_findings(spark: SparkSession, d: str) -> DataFrame:
-    """Labels that skip, that no vocabulary has and that go beyond what is declared; offsets in code points, some beyond the text."""
-    return normalize.findings(_mapped(spark, d))
+def _normalized_findings(unit: str, name: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return normalize.findings(_mapped(spark, d, unit))
 
+    run.__name__ = name
+    run.__doc__ = f"Labels that skip, that no vocabulary has and that go beyond what is declared; offsets in {unit}, some beyond the text."
+    query(_normalized(unit) + "SELECT scanner_id, variant_id, position, f_start, f_end, family, jurisdiction FROM judged WHERE failure IS NULL AND verdict = 'finding'")(run)
 
-@query(_NORMALIZED + "SELECT scanner_id, variant_id, min(failure) AS failure, count(*) FILTER (failure IS NULL AND verdict = 'finding') AS findings, count(*) FILTER (failure IS NULL AND verdict = 'skip') AS skipped FROM judged GROUP BY ALL")
+
+for _unit, _name in (("points", "normalized_findings"), ("utf16", "normalized_findings_utf16"), ("bytes", "normalized_findings_bytes")):
+    _normalized_findings(_unit, _name)
+
+
+@query(_normalized("points") + "SELECT scanner_id, variant_id, min(failure) AS failure, count(*) FILTER (failure IS NULL AND verdict = 'finding') AS findings, count(*) FILTER (failure IS NULL AND verdict = 'skip') AS skipped FROM judged GROUP BY ALL")
 def normalized_inputs(spark: SparkSession, d: str) -> DataFrame:
-    return normalize.summary(_mapped(spark, d))
+    return normalize.summary(_mapped(spark, d, "points"))
 
 
 def _results(p: Of) -> DataFrame:

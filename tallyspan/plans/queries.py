@@ -39,8 +39,8 @@ class Of:
     def every(self) -> DataFrame:
         return matching.matrix(self.expectations, self.scanners)
 
-    def outcomes(self) -> DataFrame:
-        return matching.assess(self.expectations, self.scanners, self.findings)
+    def outcomes(self, observed: bool = False) -> DataFrame:
+        return matching.assess(self.expectations, self.scanners, self.findings, observed)
 
     def cases_folded(self) -> DataFrame:
         return accounting.case_standings(self.outcomes())
@@ -59,7 +59,7 @@ _AXES, _METRIC = ", ".join(AXES), ", ".join(METRIC)
 @query(sql.ask("SELECT scanner_id, variant_id, occurrence_id, f_start, f_end, relation, count(*) AS n FROM pairs GROUP BY ALL", (sql.MATRIX, sql.PAIRS)))
 def overlap_candidates(spark: SparkSession, d: str) -> DataFrame:
     p = Of(spark, d)
-    rows = matching.candidates(p.every(), p.findings)
+    rows = matching.candidates(p.expectations, p.findings)
     kind = ranges.relation(*(F.col(c) for c in ("exp_start", "exp_end", "f_start", "f_end")))
     return rows.groupBy("scanner_id", "variant_id", "occurrence_id", "f_start", "f_end", kind.alias("relation")).agg(F.count("*").alias("n"))
 
@@ -72,13 +72,13 @@ def relation_histogram(spark: SparkSession, d: str) -> DataFrame:
 @query(sql.ask("SELECT scanner_id, variant_id, occurrence_id, f_start, f_end, f_family, f_jurisdiction, f_sensitive, f_action FROM ranked WHERE rn = 1", (sql.MATRIX, sql.PAIRS, sql.RANKED)))
 def primary_finding(spark: SparkSession, d: str) -> DataFrame:
     p = Of(spark, d)
-    rows = matching.primaries(matching.candidates(p.every().where("status = 'complete'"), p.findings))
+    rows = matching.primaries(matching.candidates(p.expectations, matching.of_complete(p.findings, p.scanners)))
     return rows.select("scanner_id", "variant_id", "occurrence_id", *["p." + c for c in ("f_start", "f_end", "f_family", "f_jurisdiction", "f_sensitive", "f_action")])
 
 
 @query(sql.ask(f"SELECT {_AXES}, action, finding_count, families, jurisdictions FROM outcomes", sql.ASSESSED))
 def outcome_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return Of(spark, d).outcomes().select(*AXES, "action", "finding_count", *[F.when(F.col("status") == "complete", F.col(c)).otherwise("").alias(c) for c in ("families", "jurisdictions")])
+    return Of(spark, d).outcomes(observed=True).select(*AXES, "action", "finding_count", *[F.when(F.col("status") == "complete", F.col(c)).otherwise("").alias(c) for c in ("families", "jurisdictions")])
 
 
 def _histogram(axis: str) -> None:
@@ -96,7 +96,7 @@ for _axis in STATES:
 @query(sql.ask("SELECT scanner_id, variant_id, occurrence_id, n, families, jurisdictions FROM seen", (sql.MATRIX, sql.PAIRS, sql.RANKED, sql.SEEN)))
 def observed_summary(spark: SparkSession, d: str) -> DataFrame:
     p = Of(spark, d)
-    return matching.primaries(matching.candidates(p.every().where("status = 'complete'"), p.findings)).drop("p")
+    return matching.primaries(matching.candidates(p.expectations, matching.of_complete(p.findings, p.scanners))).drop("p")
 
 
 _REPORTED = """SELECT f.scanner_id, f.variant_id, f.emission, f.f_start, f.f_end, e.occurrence_id,
@@ -110,15 +110,13 @@ _BEST = ("best", f"SELECT * FROM ({_REPORTED}) QUALIFY row_number() OVER (PARTIT
 @query(sql.ask("SELECT scanner_id, variant_id, emission, f_start, f_end, occurrence_id FROM best WHERE occurrence_id IS NOT NULL", (_BEST,)))
 def reported_spans(spark: SparkSession, d: str) -> DataFrame:
     p = Of(spark, d)
-    return matching.reported(p.expectations, p.findings).where("best is not null").select("scanner_id", "variant_id", "emission", "f_start", "f_end", F.col("best.occurrence_id").alias("occurrence_id"))
+    return matching.reported(p.expectations, p.findings).select("scanner_id", "variant_id", "emission", "f_start", "f_end", F.col("best.occurrence_id").alias("occurrence_id"))
 
 
 @query(sql.ask("SELECT scanner_id, variant_id, emission, f_start, f_end FROM findings f WHERE NOT EXISTS (SELECT 1 FROM expectations e WHERE e.variant_id = f.variant_id AND exp_start < f_end AND f_start < exp_end)", ()))
 def unmatched_findings(spark: SparkSession, d: str) -> DataFrame:
     p = Of(spark, d)
-    e, f = p.expectations.where("exp_start is not null"), p.findings
-    on = (e.variant_id == f.variant_id) & ranges.overlaps(F.col("exp_start"), F.col("exp_end"), F.col("f_start"), F.col("f_end"))
-    return f.join(e, on, "left_anti").select("scanner_id", "variant_id", "emission", "f_start", "f_end")
+    return matching.unmatched(p.expectations, p.findings).select("scanner_id", "variant_id", "emission", "f_start", "f_end")
 
 
 @query(sql.ask(f"SELECT {_AXES} FROM outcomes WHERE text_negative", sql.ASSESSED))

@@ -112,11 +112,12 @@ def test_rows_of_a_protected_run_are_not_published(spark):
 
 def test_offsets_in_utf16_units_become_bytes(spark):
     text = "a\U0001f600é"
-    native = [(0, 1, 0, "w", text, 1, 3), (0, 2, 0, "w", text, 1, 2), (0, 3, 0, "w", text, 3, 4), (0, 4, 0, "w", None, 0, 1)]
-    native = spark.createDataFrame(native, "scanner_id long, variant_id long, position long, label string, text string, start long, end_ long")
+    native = [(0, 1, 0, "w", 1, 3), (0, 2, 0, "w", 1, 2), (0, 3, 0, "w", 3, 4), (0, 4, 0, "w", 0, 1)]
+    native = spark.createDataFrame(native, "scanner_id long, variant_id long, position long, label string, start long, end_ long")
+    texts = spark.createDataFrame([(1, text), (2, text), (3, text), (4, None)], "variant_id long, text string")
     words = spark.createDataFrame([(0, "w", "finding", None, None)], "scanner_id long, label string, verdict string, family string, jurisdiction string")
     scanners = spark.createDataFrame([(0, [], [])], "scanner_id long, families array<string>, jurisdictions array<string>")
-    rows = normalize.mapped(native, words, scanners, "utf16", 10)
+    rows = normalize.mapped(native, texts, words, scanners, "utf16", 10)
     assert sorted((r["variant_id"], r["f_start"], r["f_end"]) for r in normalize.findings(rows).collect()) == [(1, 1, 5), (3, 5, 7)]
     assert {r["variant_id"]: r["failure"] for r in normalize.summary(rows).collect()} == {1: None, 2: "invalid-range", 3: None, 4: "invalid-range"}
 
