@@ -45,13 +45,6 @@ def stability(first: DataFrame, again: DataFrame) -> DataFrame:
     return rows.groupBy("scanner_id").agg(F.count("*").alias("inputs"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differing"))
 
 
-def equality(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(differing, compared): rows that only one of two tables has, and rows of the first, as multisets."""
-    both = a.withColumn("side", F.lit(1)).unionByName(b.withColumn("side", F.lit(-1)))
-    rows = both.groupBy(*a.columns).agg(F.sum("side").alias("net"), F.count_if(F.col("side") == 1).alias("n"))
-    return rows.agg(F.sum(F.abs("net")).alias("differing"), F.sum("n").alias("compared"))
-
-
 def islands(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """(key, s, e, n): ranges that touch or overlap, merged."""
     order = W.partitionBy(key).orderBy(start, end)

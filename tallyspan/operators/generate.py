@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity, ranges
+from . import batching
 
 #: Frames of this engine's own sample plan.
 FRAMES = [("frame-0", "Employee number: {{candidate}}.", "sensitive"), ("frame-1", "Größe {{candidate}} cm", "neutral"), ("frame-2", "sample {{candidate}}", "non-sensitive")]
@@ -117,27 +115,10 @@ def run_defects(results: DataFrame, most_cases: int, most_of_method: int, most_v
     return out.union(results.groupBy("case_id").count().where("count > 1").select(F.col("case_id").cast("string"), F.lit("duplicate-case")))
 
 
-def batches(results: DataFrame, blocks: int, most_units: int = BATCH_UNITS) -> DataFrame:
-    """(case_id, block, batch, units): cases in order of id, packed into batches of at most ``most_units``, block by block.
+def batches(results: DataFrame, most_units: int = BATCH_UNITS) -> DataFrame:
+    """(case_id, units, batch): the run's cases in order of id, packed into batches of at most ``most_units`` (see ``batching``).
 
-    A case weighs its variants, a refusal one; a case heavier than a batch stands alone. Blocks are hashed cases, packed independently, so
-    tasks needn't wait for each other; a task holds one running number however large its blocks are.
+    A case weighs its variants, a refusal one; a case heavier than a batch stands alone.
     """
-    units = F.when(F.col("variants") > 0, F.col("variants")).otherwise(1).cast("long")
-    rows = results.select("case_id", F.pmod(F.xxhash64("case_id"), F.lit(blocks)).cast("int").alias("block"), units.alias("units"))
-
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, batch, held = None, 0, 0
-        for frame in frames:
-            numbers = []
-            for b, u in zip(frame["block"], frame["units"]):
-                if b != block:
-                    block, batch, held = b, 0, 0
-                elif held + u > most_units:
-                    batch, held = batch + 1, 0
-                held += u
-                numbers.append(batch)
-            yield frame.assign(batch=numbers)[["case_id", "block", "batch", "units"]]
-
-    kept = rows.schema["case_id"].dataType.simpleString()
-    return rows.repartition("block").sortWithinPartitions("block", "case_id").mapInPandas(pack, f"case_id {kept}, block int, batch long, units long")
+    units = F.when(F.col("variants") > 0, F.col("variants")).otherwise(1)
+    return batching.packed(results, "case_id", units, most_units)

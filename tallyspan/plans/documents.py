@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity, records
-from ..operators import bindings, compare, generate, legacy, normalize, verify
-from ..sources import documents
+from ..operators import bindings, compare, generate, legacy, matching, normalize, verify
+from ..sources import documents, staging
 from . import sql
 from .products import _FIELD
-from .queries import KEYS, Of, query
+from .queries import AXES, KEYS, Of, query
 
 def _orders(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/orders.parquet")
@@ -33,6 +33,30 @@ def semantic_digests(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("digest", records.semantic_digest("canonical", "document", F.col("canonical")))
 
 
+#: A table's digest as ``staging.digest`` gives it.
+_CELLS = " || ".join(_FIELD.format(f"coalesce('=' || CAST({c} AS VARCHAR), '~')") for c in sorted(AXES))
+_SUMS = " || ',' || ".join(f"CAST(sum(CAST('0x' || substr(h, {i * staging.LIMB + 1}, {staging.LIMB}) AS BIGINT)) AS VARCHAR)" for i in range(staging.LIMBS))
+
+
+def _digest_sql(run: str, rows: str) -> str:
+    return f"SELECT '{run}' AS run, count(*) AS rows, sha256(CAST(count(*) AS VARCHAR) || ',' || {_SUMS}) AS digest FROM (SELECT sha256({_CELLS}) AS h FROM ({rows}))"
+
+
+_CHANGED = "CASE WHEN case_id % 997 = 1 AND scanner_id = 0 THEN 'not-measured' ELSE type_state END"
+
+
+@query(sql.ask(_digest_sql("first", "SELECT * FROM outcomes") + " UNION ALL " + _digest_sql("replayed", "SELECT * FROM outcomes") + " UNION ALL " + _digest_sql("changed", f"SELECT * REPLACE ({_CHANGED} AS type_state) FROM outcomes"), sql.ASSESSED))
+def replay_equality(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of an assessment, of one rebuilt from observations that were published and read back, and of one with planted changes."""
+    p = Of(spark, d)
+    path = staging.place(spark, "observations")
+    staging.publish(p.findings, path)
+    again = matching.assess(p.expectations, p.scanners, spark.read.parquet(path)).select(*AXES)
+    told = lambda run, rows: staging.digest(rows).select(F.lit(run).alias("run"), "rows", "digest")
+    first = p.outcomes().select(*AXES)
+    return told("first", first).union(told("replayed", again)).union(told("changed", first.withColumn("type_state", F.expr(_CHANGED))))
+
+
 _JOB = " || ".join(_FIELD.format(f) for f in ("'jobs'", "CAST(o_custkey AS VARCHAR)", "o_orderstatus", "'1'"))
 
 
@@ -239,9 +263,16 @@ def generation_run_defects(spark: SparkSession, d: str) -> DataFrame:
     return generate.run_defects(_results(Of(spark, d)), most_cases=100, most_of_method=250, most_variants=1_000_000_000)
 
 
-@query()
+@query(sql.ask("""SELECT s.case_id, s.units, b.batch FROM sums s JOIN begins b ON s.rn >= b.rn AND s.rn < b.nxt""", (
+    _RESULTS,
+    ("weights", "SELECT DISTINCT case_id, CAST(greatest(variants, 1) AS BIGINT) AS units FROM results"),
+    ("sums", "SELECT case_id, units, row_number() OVER o AS rn, CAST(sum(units) OVER o AS BIGINT) AS total FROM weights WINDOW o AS (ORDER BY case_id)"),
+    ("links", "SELECT a.rn, coalesce(b.rn, (SELECT max(rn) + 1 FROM sums)) AS nxt FROM sums a ASOF LEFT JOIN (SELECT rn, total FROM sums) b ON a.total - a.units + 64 < b.total"),
+    ("begins", "SELECT CAST(1 AS BIGINT) AS rn, (SELECT nxt FROM links WHERE rn = 1) AS nxt, CAST(0 AS BIGINT) AS batch UNION ALL SELECT l.rn, l.nxt, b.batch + 1 FROM begins b JOIN links l ON l.rn = b.nxt"),
+)).replace("WITH cases", "WITH RECURSIVE cases", 1))
 def generation_batches(spark: SparkSession, d: str) -> DataFrame:
-    return generate.batches(_results(Of(spark, d)).dropDuplicates(["case_id"]), blocks=8, most_units=64)
+    """The whole run in batches of 64 variants and refusals."""
+    return generate.batches(_results(Of(spark, d)).dropDuplicates(["case_id"]), most_units=64)
 
 
 @query(sql.ask("""SELECT method, version, count(*) AS cases, runtime_evidence FROM cases JOIN (VALUES ('type-validation', 2, TRUE), ('context-discrimination', 2, TRUE), ('pii-benign', 3, TRUE), ('jurisdiction-collision', 3, TRUE),
@@ -271,17 +302,21 @@ def budget_envelope(spark: SparkSession, d: str) -> DataFrame:
     return compare.trials(rows, "k", "cost").select("k", F.round("median", 3).alias("median"), F.round("most", 3).alias("ceiling"))
 
 
-_LINE = "'{\"id\":\"' || lpad(CAST(turn + CASE WHEN conv_id % 9 = 0 AND turn = 2 THEN -1 ELSE 0 END AS VARCHAR), 6, '0') || '\"}'"
+#: A conversation turn as a line, plain SQL that Spark and DuckDB read alike: some repeat the id before them, some are broken.
+_ID = "concat(lpad(CAST(conv_id AS STRING), 10, '0'), '-', lpad(CAST(turn - CASE WHEN conv_id % 9 = 0 AND turn = 2 THEN 1 ELSE 0 END AS STRING), 6, '0'))"
+_LINE = f"CASE WHEN conv_id % 31 = 0 AND turn = 1 THEN concat('{{broken ', CAST(conv_id AS STRING)) ELSE concat('{{\"id\":\"', {_ID}, '\"}}') END"
 
 
-@query(f"""SELECT conv_id, turn, sha256(line) AS line_sha256, CASE WHEN before >= line THEN 'id-order-invalid' END AS code
-FROM (SELECT conv_id, turn, {_LINE} AS line, max({_LINE}) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 PRECEDING) AS before FROM conversations)""")
+@query(f"""SELECT file_no, sha256(line) AS line_sha256, CASE WHEN id IS NULL THEN 'record-invalid' WHEN before >= id THEN 'id-order-invalid' END AS code
+FROM (SELECT *, last_value(id IGNORE NULLS) OVER (PARTITION BY file_no ORDER BY conv_id, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM (SELECT conv_id, turn, CAST(conv_id % 4 AS BIGINT) AS file_no, {_LINE} AS line, CASE WHEN conv_id % 31 = 0 AND turn = 1 THEN NULL ELSE {_ID} END AS id FROM conversations))""")
 def hashed_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Each conversation as a file of one record a turn, some with a repeated id."""
-    at: Column = F.col("turn") + F.when(F.expr("conv_id % 9 = 0 and turn = 2"), -1).otherwise(0)
-    line = F.concat(F.lit('{"id":"'), F.lpad(at.cast("string"), 6, "0"), F.lit('"}'))
-    lines = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", line.alias("value"))
-    return documents.hashed_lines(lines, "conv_id", ["turn"], "value", "id string").select("conv_id", "turn", "line_sha256", "code")
+    """Conversations as four JSON Lines files of one record a turn, written to the shared folder and read back split by split."""
+    folder = staging.place(spark, "lines")
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select((F.col("conv_id") % 4).alias("file_no"), "conv_id", "turn", F.expr(_LINE).alias("value"))
+    rows.repartition("file_no").sortWithinPartitions("file_no", "conv_id", "turn").select("value", "file_no").write.partitionBy("file_no").text(folder)
+    lines = documents.json_lines(spark, f"{folder}/*/*.txt", "id string")
+    return lines.select(F.regexp_extract("file", "file_no=([0-9]+)", 1).cast("long").alias("file_no"), "line_sha256", "code")
 
 
 _LROWS = ("lrows", "SELECT *, type_expectation = 'valid' AS v, row_number() OVER (PARTITION BY scanner_id, case_id ORDER BY variant_id, occurrence_id) = 1 AS lead FROM outcomes WHERE exp_start IS NOT NULL")

@@ -302,13 +302,6 @@ def replay_stability(spark: SparkSession, d: str) -> DataFrame:
     return compare.stability(f, again)
 
 
-@query(sql.ask("SELECT CAST(0 AS BIGINT) AS differing, count(*) AS compared FROM outcomes", sql.ASSESSED))
-def replay_equality(spark: SparkSession, d: str) -> DataFrame:
-    p = Of(spark, d)
-    again = matching.assess(p.expectations, p.scanners, p.findings.repartition(7, "emission"))
-    return compare.equality(p.outcomes().select(*AXES), again.select(*AXES))
-
-
 _LEGACY = (
     "legacy",
     """SELECT m.scanner_id, m.variant_id, m.occurrence_id, m.case_id, m.method, CASE WHEN r.emission IS NULL THEN 'miss' WHEN r.f_family IS NULL OR r.f_family <> m.family THEN 'wrong-family'

@@ -1,13 +1,13 @@
 import hashlib
 import json
+import random
 import statistics
-from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyspan.functions import records
-from tallyspan.operators import bindings, compare, generate, legacy, normalize
+from tallyspan.operators import bindings, compare, legacy, normalize
 from tallyspan.sources import documents
 
 
@@ -63,23 +63,6 @@ def test_medians_are_exact_also_for_few_many_and_equal_values(spark):
     assert compare.medians(df.where("false"), "k", "v").count() == 0
 
 
-def test_batches_are_packed_greedily_block_by_block(spark):
-    sizes = [(i, "m", [0, 1, 3, 40, 9][i % 5]) for i in range(300)]
-    rows = generate.batches(spark.createDataFrame(sizes, "case_id long, method string, variants int"), blocks=3, most_units=32).collect()
-    assert sorted(r["case_id"] for r in rows) == list(range(300))
-    blocks = defaultdict(list)
-    for r in sorted(rows, key=lambda r: r["case_id"]):
-        blocks[r["block"]].append(r)
-    for held in blocks.values():
-        batch, filled, fresh = 0, 0, True
-        for r in held:
-            units = max(1, sizes[r["case_id"]][2])
-            if not fresh and filled + units > 32:
-                batch, filled = batch + 1, 0
-            filled, fresh = filled + units, False
-            assert (r["batch"], r["units"]) == (batch, units)
-
-
 def test_json_lines_and_rosters_are_read_from_files(spark, tmp_path):
     lines = ['{"id":"a"}', '{"id":"b","more":1}', "", '{"id":"b"}', '{"id":"a"}', "{broken", '{"id":"c"}']
     (tmp_path / "x.jsonl").write_text("\n".join(lines) + "\n")
@@ -94,6 +77,34 @@ def test_json_lines_and_rosters_are_read_from_files(spark, tmp_path):
     assert [tuple(r) for r in classes.select("case_id", "control_class").collect()] == [("c2", "decoy")]
 
 
+@pytest.mark.parametrize("size", ["16", "100", "1m"])
+def test_order_of_lines_across_splits(spark, tmp_path, size):
+    r = random.Random(2)
+    want = {}
+    for name in ("x", "y"):
+        ids = sorted(r.sample(range(10**6), 80))
+        for k in (7, 30, 31, 55):
+            ids[k] = ids[k - 1] - r.choice([0, 3])
+        lines = [r.choice(["", "{bad", '{"other":1}']) if r.random() < 0.1 else json.dumps({"id": f"{i:08}", "pad": "é" * r.randrange(9)}, ensure_ascii=False) for i in ids]
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines) + "\n")
+        before, codes = None, []
+        for line in lines:
+            here = json.loads(line).get("id") if line and line != "{bad" else None
+            codes.append("record-invalid" if here is None else "id-order-invalid" if before is not None and before >= here else None)
+            before = here or before
+        want[name] = list(zip(lines, codes))
+    key = "spark.sql.files.maxPartitionBytes"
+    try:
+        spark.conf.set(key, size)
+        rows = documents.json_lines(spark, str(tmp_path / "*.jsonl"), "id string").collect()
+    finally:
+        spark.conf.unset(key)
+    for name, lines in want.items():
+        own = sorted((r for r in rows if r["file"].endswith(f"{name}.jsonl")), key=lambda r: (r["block"], r["line_at"]))
+        assert [(r["value"], r["code"]) for r in own] == lines
+    assert len({(r["file"], r["block"]) for r in rows}) > (2 if size == "1m" else 20) or size == "1m"
+
+
 def test_pairing_by_id_of_single_scanners_and_of_none(spark):
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "scanner_id long")
     pairs = lambda a, b: sorted(tuple(r) for r in bindings.pairing(a, b).collect())
