@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity
-from ..operators import accounting, compare, generate, projection, verify
+from ..operators import accounting, attribution, compare, generate, projection, verify
 from . import sql
 from .queries import _SSN, _VIEW, AXES, KEYS, METRIC, Of, _ssn_state, _values, query
 
@@ -262,3 +262,27 @@ def unresolved_references(spark: SparkSession, d: str) -> DataFrame:
         "nations": read("nation").where("n_nationkey % 5 <> 0").select(F.col("n_nationkey").alias("id")),
     }
     return verify.unresolved(tables, [("orders", "customer", "customers"), ("suppliers", "nation", "nations"), ("customers", "nations", "nations")])
+
+
+_FIRST = ("firsts", """SELECT scanner_id, variant_id, occurrence_id, f_start, f_end, f_family, f_jurisdiction, f_sensitive FROM pairs
+QUALIFY row_number() OVER (PARTITION BY scanner_id, variant_id, occurrence_id ORDER BY emission, f_start, f_end, f_family NULLS FIRST, f_jurisdiction NULLS FIRST, f_sensitive NULLS FIRST) = 1""")
+_READ = ("readings", """SELECT o.scanner_id, o.case_id, o.variant_id, o.occurrence_id, s.bits, o.type_state, o.sensitivity_state, o.range_state, o.family, o.jurisdiction, o.sensitivity, o.cap_sensitivity, o.exp_start, o.exp_end,
+  o.cap_family = 'unsupported' OR o.family_state = 'unsupported' OR coalesce(o.place_state = 'unsupported', FALSE) AS ruled_out, b.f_start IS NOT NULL AS seen,
+  CASE WHEN s.bits & 1 = 1 THEN a.f_start ELSE b.f_start END AS fs, CASE WHEN s.bits & 1 = 1 THEN a.f_end ELSE b.f_end END AS fe, CASE WHEN s.bits & 1 = 1 THEN a.f_family ELSE b.f_family END AS ff,
+  CASE WHEN s.bits & 1 = 1 THEN a.f_jurisdiction ELSE b.f_jurisdiction END AS fj, CASE WHEN s.bits & 1 = 1 THEN a.f_sensitive ELSE b.f_sensitive END AS fl
+FROM outcomes o CROSS JOIN (SELECT CAST(range AS INT) AS bits FROM range(16)) s LEFT JOIN (SELECT * FROM ranked WHERE rn = 1) a USING (scanner_id, variant_id, occurrence_id) LEFT JOIN firsts b USING (scanner_id, variant_id, occurrence_id)
+WHERE o.status = 'complete' AND o.exp_start IS NOT NULL AND o.type_expectation = 'valid' AND o.sensitivity IN ('sensitive', 'non-sensitive')""")
+_READ_AS = ("read_as", """SELECT *, CASE WHEN bits & 4 = 4 AND ruled_out THEN 'not-measured' WHEN NOT seen THEN 'miss' WHEN ff IS NULL THEN CASE WHEN bits & 2 = 2 THEN 'not-measured' ELSE 'wrong-family' END
+    WHEN ff <> family THEN CASE WHEN bits & 8 = 8 AND fj <> jurisdiction THEN 'wrong-jurisdiction' ELSE 'wrong-family' END
+    WHEN jurisdiction IS NOT NULL AND fj IS NULL THEN CASE WHEN bits & 2 = 2 THEN 'not-measured' ELSE 'wrong-jurisdiction' END WHEN fj <> jurisdiction THEN 'wrong-jurisdiction' ELSE 'correct' END AS t,
+  CASE WHEN bits & 4 = 4 AND cap_sensitivity = 'unsupported' THEN 'not-measured' WHEN seen AND fl IS NULL AND bits & 2 = 2 OR NOT seen AND bits & 4 = 4 AND cap_sensitivity <> 'supported' THEN 'not-measured'
+    WHEN (sensitivity = 'sensitive') = (seen AND coalesce(fl, FALSE)) THEN 'correct' WHEN seen AND coalesce(fl, FALSE) THEN 'false-positive' ELSE 'miss' END AS m,
+  CASE WHEN NOT seen THEN 'miss' WHEN fs = exp_start AND fe = exp_end THEN 'exact' WHEN fs <= exp_start AND fe >= exp_end THEN 'overbroad' ELSE 'partial' END AS r FROM readings""")
+
+
+@query(sql.ask("""SELECT scanner_id, switches, count(*) AS n, least.a AS case_id, least.b AS variant_id, least.c AS occurrence_id FROM (SELECT scanner_id, switches, min({'a': case_id, 'b': variant_id, 'c': occurrence_id}) OVER (PARTITION BY scanner_id, switches) AS least
+  FROM (SELECT scanner_id, case_id, variant_id, occurrence_id, arg_min(bits, bit_count(bits) * 16 + bits) FILTER (t = type_state AND m = sensitivity_state AND r = range_state) AS switches FROM read_as GROUP BY ALL)) GROUP BY ALL""", (*sql.ASSESSED, _FIRST, _READ, _READ_AS)))
+def difference_census(spark: SparkSession, d: str) -> DataFrame:
+    """What leads from the older reading of a finding to the present one: the order first, then the fewest other switches, with the least row of each."""
+    p = Of(spark, d)
+    return attribution.census(attribution.attributed(p.outcomes(), p.findings))
