@@ -85,3 +85,9 @@ def every_match(rows: DataFrame, text: str, pattern: str) -> DataFrame:
 
     pairs = F.filter(F.arrays_zip("parts", "runs"), lambda x: x["runs"].isNotNull())
     return found.withColumn("span", F.explode(F.aggregate(pairs, zero, step)["spans"])).select(*rows.columns, "span.start", "span.end_", "span.token")
+
+
+def range_error_bytes(raw: Column, start: Column, end: Column) -> Column:
+    """The first defect of a range in bytes that should be a text: not-utf8 before all others."""
+    text = F.try_validate_utf8(raw.cast("string"))
+    return F.when(text.isNull(), "not-utf8").otherwise(range_error(text, start, end))

@@ -102,3 +102,12 @@ def first_failures(snapshots: DataFrame, defects: list[DataFrame]) -> DataFrame:
     name = F.element_at(F.array(*map(F.lit, STAGES)), F.col("f.stage") + 1)
     rows = snapshots.select("snapshot").distinct().join(first, "snapshot", "left")
     return rows.select("snapshot", F.when(F.col("f").isNotNull(), name).alias("stage"), "f.least.code", "f.least.place", F.coalesce("f.n", F.lit(0)).cast("long").alias("defects"))
+
+
+def coverage(kinds: DataFrame, cases: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """(snapshot, kind, cases, fixtures) for every kind (snapshot, id), also those without cases; fixtures count for their case's kind."""
+    made = fixtures.groupBy("snapshot", F.col("case").alias("id")).agg(F.count("*").alias("made"))
+    held = cases.select("snapshot", "id", "kind").join(made, ["snapshot", "id"], "left")
+    tally = held.groupBy("snapshot", "kind").agg(F.count("*").alias("cases"), F.sum(F.coalesce("made", F.lit(0))).alias("fixtures"))
+    rows = kinds.select("snapshot", F.col("id").alias("kind")).join(tally, ["snapshot", "kind"], "left")
+    return rows.select("snapshot", "kind", F.coalesce("cases", F.lit(0)).cast("long").alias("cases"), F.coalesce("fixtures", F.lit(0)).cast("long").alias("fixtures"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import capabilities, identity
+from . import accounting
 
 KEYS = ["scanner_id", "variant_id", "occurrence_id"]
 #: Type states that an authored expectation can lead to.
@@ -216,3 +217,33 @@ def custodian_cells(counts: DataFrame, labels: DataFrame, observed: int) -> Data
     code = F.when((F.col("numerator") > F.col("measured")) | (F.col("measured") > observed), "roster-violation")
     code = F.when(~F.col("label").rlike(identity.SHAPES["slug"]) | F.col("shared"), "label-invalid").otherwise(code)
     return rows.join(shared, "label").select("scanner_id", "metric", F.lit("overall").alias("stratum"), "label", "numerator", "measured", code.alias("code"))
+
+
+RESULT = ["scanner_id", "metric", "stratum", "value"]
+#: What a metric's result publishes besides its counts.
+TOLD = ["n", "status", "value_state", "point", "bound"]
+
+
+def metric_defects(results: DataFrame) -> DataFrame:
+    """(RESULT, path, code) of results that contradict themselves: their counts, then their effective n, then the value that both give.
+
+    results: RESULT, the seven counts and TOLD. Only the first of the three is named, as each rests on the one before.
+    """
+    counts = results.select(*[c for c in results.columns if c not in TOLD], F.struct(*TOLD).alias("given"))
+    rows = accounting.published(counts)
+    given = F.col("given")
+    same = lambda *names: F.struct(*names).eqNullSafe(F.struct(*[given[c].alias(c) for c in names]))
+    path = F.when(~F.coalesce(counts_consistent(), F.lit(False)) | ~same("status"), "counts").when(~same("n"), "effectiveN").when(~same("value_state", "point", "bound"), "value")
+    code = F.when(path == "value", "metric-value-inconsistent").otherwise("metric-counts-inconsistent")
+    return rows.select(*RESULT, path.alias("path"), code.alias("code")).where("path is not null")
+
+
+def result_diff(stored: DataFrame, recomputed: DataFrame) -> DataFrame:
+    """(RESULT, code) where stored results differ from those recomputed from rows: absent, unknown, count-mismatch, else metric-value-inconsistent."""
+    numbers = [c for c in recomputed.columns if c not in (*RESULT, *TOLD)]
+    side = lambda df, name: df.select(*[F.col(c).alias(f"{name}_{c}") for c in RESULT], F.struct(*sorted(numbers)).alias(f"{name}_counts"), F.struct(*TOLD).alias(f"{name}_told"))
+    on = [F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")) for c in RESULT]
+    rows = side(stored, "a").join(side(recomputed, "b"), on, "full")
+    code = F.when(F.col("a_counts").isNull(), "result-missing").when(F.col("b_counts").isNull(), "unknown-result").when(F.col("a_counts") != F.col("b_counts"), "count-mismatch")
+    code = code.when(~F.col("a_told").eqNullSafe(F.col("b_told")), "metric-value-inconsistent")
+    return rows.select(*[F.coalesce(f"a_{c}", f"b_{c}").alias(c) for c in RESULT], code.alias("code")).where("code is not null")

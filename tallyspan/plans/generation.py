@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ranges
 from ..operators import variants
 from .products import _FIELD
-from .queries import query
+from .queries import SQL, query
 
 RULES = variants.Rules("generator", 2, "seeds")
 NUMBER = "[0-9]{3,}"
@@ -74,3 +74,13 @@ def assembled_variants(spark: SparkSession, d: str) -> DataFrame:
         }
     )
     return variants.assembled(cases, RULES).drop("text", "operator_version").withColumnRenamed("end", "end_")
+
+
+@query(f"""SELECT method, reason, CAST(grouping(method) + grouping(reason) AS BIGINT) AS level, count(DISTINCT case_id) AS cases, count(DISTINCT case_id) FILTER (slot IS NULL) AS refused, count(slot) AS variants
+FROM ({SQL["assembled_variants"]}) GROUP BY ROLLUP (method, reason)""")
+def generation_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Cases, refusals and variants by method and reason, by method, and in all; level counts what is added up."""
+    rows = assembled_variants(spark, d).groupBy("case_id", "method", "reason").agg(F.count("slot").alias("variants"))
+    tally = [F.count("*").alias("cases"), F.count_if(F.col("variants") == 0).alias("refused"), F.sum("variants").alias("variants")]
+    level = (F.grouping("method").cast("long") + F.grouping("reason").cast("long")).alias("level")
+    return rows.rollup("method", "reason").agg(level, *tally).select("method", "reason", "level", "cases", "refused", "variants")

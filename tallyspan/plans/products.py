@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import identity
+from ..functions import identity, ranges, records
 from ..operators import accounting, attribution, compare, generate, projection, verify
 from . import sql
 from .queries import _SSN, _VIEW, AXES, KEYS, METRIC, Of, _ssn_state, _values, query
@@ -286,3 +286,69 @@ def difference_census(spark: SparkSession, d: str) -> DataFrame:
     """What leads from the older reading of a finding to the present one: the order first, then the fewest other switches, with the least row of each."""
     p = Of(spark, d)
     return attribution.census(attribution.attributed(p.outcomes(), p.findings))
+
+
+_STALE = {
+    "numerator": "CASE WHEN metric = 'type-miss-rate' AND numerator < measured THEN numerator + 1 ELSE numerator END",
+    "status": "CASE WHEN metric = 'wrong-family-rate' AND scanner_id = 0 THEN 'unknown' ELSE status END",
+    "n": "CASE WHEN metric = 'measurable-share' AND scanner_id < 2 THEN n + 1 ELSE n END",
+    "point": "CASE WHEN metric = 'range-collateral-rate' THEN point + 1 ELSE point END",
+    "measured": "CASE WHEN metric = 'benign-suppression-rate' AND measured > 0 THEN measured - 1 ELSE measured END",
+}
+_STORED = ("stored", "SELECT * REPLACE (" + ", ".join(f"{e} AS {c}" for c, e in _STALE.items()) + ") FROM published")
+_AGAIN = ("again", sql.PUBLISHED[1].replace("FROM tallied", "FROM (SELECT * EXCLUDE (n, status, value_state, point, bound), struct_pack(n, status, value_state, point, bound) AS given FROM stored)"))
+_CHECKED = """SELECT scanner_id, metric, stratum, value, path, CASE path WHEN 'value' THEN 'metric-value-inconsistent' ELSE 'metric-counts-inconsistent' END AS code FROM (SELECT *, CASE
+  WHEN eligible + not_applicable <> total OR measured + unresolved + not_measured <> eligible OR numerator > measured OR status <> given.status THEN 'counts' WHEN n <> given.n THEN 'effectiveN'
+  WHEN value_state <> given.value_state OR point IS DISTINCT FROM given.point OR bound IS DISTINCT FROM given.bound THEN 'value' END AS path FROM again) WHERE path IS NOT NULL"""
+
+
+@query(sql.ask(_CHECKED, (*sql.ALL, _STORED, _AGAIN)))
+def metric_self_check(spark: SparkSession, d: str) -> DataFrame:
+    """Published results that contradict themselves, after changes to five of their columns."""
+    return verify.metric_defects(Of(spark, d).metrics().withColumns({c: F.expr(e) for c, e in _STALE.items()}))
+
+
+_NUMBERS = "eligible, measured, numerator, unresolved, not_measured, not_applicable, total"
+_BACK = """SELECT coalesce(a.scanner_id, b.scanner_id) AS scanner_id, coalesce(a.metric, b.metric) AS metric, coalesce(a.stratum, b.stratum) AS stratum, coalesce(a.value, b.value) AS value,
+  CASE WHEN a.metric IS NULL THEN 'result-missing' WHEN b.metric IS NULL THEN 'unknown-result' WHEN (a.eligible, a.measured, a.numerator, a.unresolved, a.not_measured, a.not_applicable, a.total) <> (b.eligible, b.measured, b.numerator, b.unresolved, b.not_measured, b.not_applicable, b.total) THEN 'count-mismatch'
+  WHEN (a.n, a.status, a.value_state, a.point, a.bound) IS DISTINCT FROM (b.n, b.status, b.value_state, b.point, b.bound) THEN 'metric-value-inconsistent' END AS code
+FROM (SELECT * REPLACE (CASE WHEN value = 'ko' THEN 'xx' ELSE value END AS value) FROM stored) a FULL JOIN published b ON a.scanner_id = b.scanner_id AND a.metric = b.metric AND a.stratum = b.stratum AND a.value IS NOT DISTINCT FROM b.value"""
+
+
+@query(sql.ask(f"SELECT * FROM ({_BACK}) WHERE code IS NOT NULL", (*sql.ALL, _STORED)))
+def metric_result_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Stored results, changed and with one stratum renamed, against those recomputed from rows."""
+    now = Of(spark, d).metrics()
+    stored = now.withColumns({c: F.expr(e) for c, e in _STALE.items()}).withColumn("value", F.when(F.col("value") == "ko", "xx").otherwise(F.col("value")))
+    return verify.result_diff(stored, now)
+
+
+_DECLARED = """'{"capFamily":"' || cap_family || '","capSensitivity":"' || cap_sensitivity || '","status":"' || status || '","version":"' || version || '"}'"""
+
+
+@query(sql.ask(f"SELECT scanner_id, sha256('canonical' || chr(10) || 'scanner' || chr(10) || {_DECLARED}) AS digest, l.digest IS NOT NULL AND l.digest <> sha256({_DECLARED}) AS changed FROM earlier e LEFT JOIN (SELECT scanner_id, sha256({_DECLARED}) AS digest FROM later) l USING (scanner_id)", ()))
+def scanner_digests(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of what each scanner of a run declares, and whether the later run declares something else."""
+    p, names = Of(spark, d), {"cap_family": "capFamily", "cap_sensitivity": "capSensitivity"}
+
+    def told(rows: DataFrame, name: str) -> DataFrame:
+        packed = rows.select("scanner_id", F.struct(*[F.col(c).alias(names.get(c, c)) for c in ("status", "cap_family", "cap_sensitivity", "version")]).alias("r"))
+        return packed.select("scanner_id", records.semantic_digest("canonical", "scanner", records.canonical(F.col("r"), packed.schema["r"].dataType)).alias(name))
+
+    rows = told(p.earlier, "digest").join(told(p.later, "then"), "scanner_id", "left")
+    return rows.select("scanner_id", "digest", (F.col("then").isNotNull() & (F.col("then") != F.col("digest"))).alias("changed"))
+
+
+_HEX = "hex(encode(text))"
+_TORN = f"('0x' || coalesce(nullif(substr({_HEX}, CAST(2 * k + 1 AS BIGINT), 2), ''), '00'))::INT & 192 = 128"
+
+
+@query(f"""SELECT doc_id, CASE WHEN torn THEN 'not-utf8' WHEN s > e THEN 'inverted' WHEN s = e THEN 'empty' WHEN e > k THEN 'out-of-bounds' WHEN s_in OR e_in THEN 'not-a-boundary' END AS defect FROM (SELECT *, {_TORN} AS torn,
+  s < k AND {_TORN.replace('k + 1', 's + 1')} AS s_in, e < k AND {_TORN.replace('k + 1', 'e + 1')} AS e_in FROM (SELECT doc_id, text, least(strlen(text), doc_id % 90 + 3) AS k, doc_id % 50 AS s, doc_id % 37 + 10 AS e FROM documents)) WHERE defect IS NOT NULL""")
+def raw_range_defects(spark: SparkSession, d: str) -> DataFrame:
+    """Ranges in the first bytes of each text; some texts are cut inside a character."""
+    raw = F.encode("text", "UTF-8")
+    size = F.least(F.octet_length(raw).cast("long"), F.col("doc_id") % 90 + 3)
+    rows = spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select("doc_id", F.substring(raw, F.lit(1), size.cast("int")).alias("raw"))
+    defect = ranges.range_error_bytes(F.col("raw"), F.col("doc_id") % 50, F.col("doc_id") % 37 + 10)
+    return rows.select("doc_id", defect.alias("defect")).where("defect is not null")

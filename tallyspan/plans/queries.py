@@ -478,7 +478,7 @@ def evidence_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_type, ts, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events),
 k AS (SELECT user_id, event_type, ts, event_id, rn, ts AS kept, TRUE AS keep FROM e WHERE rn = 1
-  UNION ALL SELECT e.user_id, e.event_type, e.ts, e.event_id, e.rn, CASE WHEN e.ts > k.kept + INTERVAL 1 DAY THEN e.ts ELSE k.kept END, e.ts > k.kept + INTERVAL 1 DAY FROM k JOIN e ON e.user_id = k.user_id AND e.event_type = k.event_type AND e.rn = k.rn + 1)
+  UNION ALL SELECT e.user_id, e.event_type, e.ts, e.event_id, e.rn, CASE WHEN e.ts >= k.kept + INTERVAL 1 DAY THEN e.ts ELSE k.kept END, e.ts >= k.kept + INTERVAL 1 DAY FROM k JOIN e ON e.user_id = k.user_id AND e.event_type = k.event_type AND e.rn = k.rn + 1)
 SELECT event_id, user_id, event_type FROM k WHERE keep""")
 def delivery_dedupe(spark: SparkSession, d: str) -> DataFrame:
     from ..streaming.dedupe import first_within

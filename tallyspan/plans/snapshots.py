@@ -94,3 +94,11 @@ def fixture_agreement(spark: SparkSession, d: str) -> DataFrame:
     """Fixtures that disagree with their case or rule, in whatever stage their snapshot fails."""
     rows = _defects(spark, d)[1][-1]
     return rows.withColumn("stage", F.lit("fixtures"))
+
+
+@query(_SQL + """SELECT k.snapshot, k.id AS kind, count(c.id) AS cases, CAST(coalesce(sum(f.made), 0) AS BIGINT) AS fixtures FROM kinds k LEFT JOIN cases c ON c.snapshot = k.snapshot AND c.kind = k.id
+LEFT JOIN (SELECT snapshot, case_id, count(*) AS made FROM fixtures GROUP BY ALL) f ON f.snapshot = c.snapshot AND f.case_id = c.id GROUP BY ALL""")
+def kind_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Cases and fixtures of each kind of each snapshot, with the kinds that have none."""
+    t = _tables(spark, d)
+    return snapshot.coverage(t["kinds"], t["cases"], t["fixtures"])
