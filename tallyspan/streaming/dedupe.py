@@ -2,19 +2,22 @@
 
 A duplicate doesn't refresh the timer, so the rule runs along each key's deliveries in order. A delivery that comes at least the time
 to live after the one before it is new whatever was kept, so keys are split there first. The batch form then streams sorted rows and
-carries one time; the streaming form keeps each key's kept times in state until the watermark has passed their time to live.
+carries one time; the streaming form lets rows wait in state until the watermark has passed them, and judges them in the same order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import pickle
+from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+
+#: Rows of a key that the streaming form holds before it puts them into state.
+HELD = 1000
 
 
 def _segments(rows: DataFrame, keys: list[str], ttl: int) -> DataFrame:
@@ -51,35 +54,62 @@ def first_within(rows: DataFrame, keys: list[str], time: str, order: str, ttl_se
     return parts.mapInArrow(walk, parts.schema).select(*keys, time, order)
 
 
-def stream_first_within(rows: DataFrame, keys: list[str], time: str, ttl: str) -> DataFrame:
-    """The streaming form; rows later than the watermark are dropped with the state.
-
-    Within a micro-batch a key's rows, which must fit a Python worker, are taken by time. A kept row can't be taken back, so a late row is also a duplicate of one that
-    was kept less than the time to live after it.
+class _FirstWithin(StatefulProcessor):
+    """Rows wait by millisecond until the watermark has passed them; then they are judged in order against the one time that is kept."""
+
+    def __init__(self, ttl: int, names: list[str], time: str, order: str):
+        self.ttl, self.names, self.time, self.order = ttl, names, time, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ms long", "rows binary")
+        self.kept = handle.getValueState("kept", "us long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        fresh: dict[int, list[tuple]] = {}
+        for n, row in enumerate(rows, 1):
+            fresh.setdefault(row["dd_us"] // 1000, []).append((row["dd_us"], row[self.order], tuple(row[c] for c in self.names)))
+            if n % HELD == 0:
+                self._wait(fresh)
+        self._wait(fresh)
+        return iter(())
+
+    def _wait(self, fresh: dict[int, list[tuple]]) -> None:
+        for ms, rows in fresh.items():
+            old = pickle.loads(self.waiting.getValue((ms,))[0]) if self.waiting.containsKey((ms,)) else []
+            if not old:
+                self.handle.registerTimer(ms + 1)
+            self.waiting.updateValue((ms,), (pickle.dumps(old + rows),))
+        fresh.clear()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs()
+        last = self.kept.get()[0] if self.kept.exists() else None
+        for ms in sorted(k[0] for k in self.waiting.keys() if k[0] < now):
+            for us, _, values in sorted(pickle.loads(self.waiting.getValue((ms,))[0]), key=lambda r: r[:2]):
+                if last is None or us - last >= self.ttl:
+                    last = us
+                    yield Row(**dict(zip(self.names, values)))
+            self.waiting.removeKey((ms,))
+        if last is not None and last + self.ttl <= now * 1000:
+            self.kept.clear()
+        elif last is not None:
+            self.kept.update((last,))
+            self.handle.registerTimer((last + self.ttl) // 1000 + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_first_within(rows: DataFrame, keys: list[str], time: str, order: str, ttl: str, lateness: str) -> DataFrame:
+    """The streaming form: the rows that ``first_within`` keeps, whatever micro-batches they come in, if none is later than ``lateness``.
+
+    A row is given out when the watermark, the latest time less ``lateness``, has passed it; so the last rows wait until others come. Rows later than that are
+    dropped before they reach the state, and so are rows without a time. A key's state is the rows that wait, by millisecond, and one time, which is forgotten when its
+    time to live has passed. Rows of a key stream through; HELD of them are in memory at once. The session gets the RocksDB state store, which timers need.
     """
-    us = rows.sparkSession.sql(f"SELECT unix_micros(timestamp_micros(0) + INTERVAL '{ttl}')").first()[0]
-    names = rows.columns
-
-    def walk(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = list(state.get[0]) if state.exists else []
-        batch = pd.concat(list(parts)).sort_values("dd_us", kind="stable")
-        new = []
-        for t in batch["dd_us"]:
-            near = kept[-1:] if kept and t >= kept[-1] else kept
-            new.append(all(abs(t - k) >= us for k in near))
-            if new[-1]:
-                kept = sorted([*kept, int(t)])
-        now = state.getCurrentWatermarkMs()
-        kept = [k for k in kept if k + us > now * 1000]
-        if kept:
-            state.update((kept,))
-            state.setTimeoutTimestamp(max(now + 1, (kept[-1] + us) // 1000 + 1))
-        elif state.exists:
-            state.remove()
-        yield batch[new][names]
-
-    marked = rows.withWatermark(time, ttl).withColumn("dd_us", F.unix_micros(F.col(time).cast("timestamp"))).where("dd_us is not null")
-    return marked.groupBy(*keys).applyInPandasWithState(walk, rows.schema, "kept array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    us = spark.sql(f"SELECT unix_micros(timestamp_micros(0) + INTERVAL '{ttl}')").first()[0]
+    marked = rows.withWatermark(time, lateness).withColumn("dd_us", F.unix_micros(F.col(time).cast("timestamp"))).where("dd_us is not null")
+    return marked.groupBy(*keys).transformWithState(_FirstWithin(us, rows.columns, time, order), rows.schema, "Append", "EventTime")

@@ -9,13 +9,3 @@ def test_a_duplicate_does_not_refresh_the_timer(spark):
     rows = [("a", T0 + timedelta(seconds=s), i) for i, s in enumerate((0, 6, 11, 15, 40))] + [("b", T0, 9)]
     df = spark.createDataFrame(rows, "k string, ts timestamp, id long")
     assert sorted(r.id for r in dedupe.first_within(df, ["k"], "ts", "id", 10).collect()) == [0, 2, 4, 9]
-
-
-def test_stream(spark, tmp_path):
-    rows = [("a", T0, 1), ("a", T0 + timedelta(seconds=1), 2), ("b", T0, 3)]
-    spark.createDataFrame(rows, "k string, ts timestamp, id long").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("k string, ts timestamp, id long").parquet(str(tmp_path / "in"))
-    q = dedupe.stream_first_within(stream, ["k"], "ts", "10 seconds").writeStream.format("memory").queryName("kept").start()
-    q.processAllAvailable()
-    q.stop()
-    assert spark.table("kept").count() == 2
