@@ -114,7 +114,7 @@ def violations(docs: DataFrame, fields: list[Field]) -> DataFrame:
     table = _table(spark, fields)
     nodes = docs.select("id", F.lit("").alias("path"), F.lit("").alias("pattern"), F.try_parse_json("document").alias("v")).where("v is not null")
     out = None
-    for level in range(depth(fields) + 1):
+    for _ in range(depth(fields) + 1):
         known = nodes.join(F.broadcast(table), "pattern", "left").withColumn("is", kind_of(F.col("v")))
         text, size = F.try_variant_get("v", "$", "string"), F.size(F.try_variant_get("v", "$", "array<variant>"))
         number = F.try_variant_get("v", "$", "bigint")
@@ -122,11 +122,7 @@ def violations(docs: DataFrame, fields: list[Field]) -> DataFrame:
         at = lambda code, test: F.when(F.coalesce(test, F.lit(False)), F.array(F.struct("path", F.lit(code).alias("code"))))
         missing = F.transform(F.array_except("wants", F.coalesce(held, F.array().cast("array<string>"))), lambda w: F.struct(F.concat("path", F.when(F.col("path") == "", "").otherwise("."), w).alias("path"), F.lit("schema-violation").alias("code")))
         order = _order(F.col("v"), F.col("key"), keys)
-        first = (
-            at("schema-violation", F.col("type").isNull() | (F.col("type") != F.col("is")))
-            if level
-            else at("schema-violation", F.col("type") != F.col("is"))
-        )
+        first = at("schema-violation", F.col("type").isNull() | (F.col("type") != F.col("is")))
         rest = F.concat(
             *[
                 F.coalesce(x, F.array().cast(VIOLATIONS))
