@@ -1,16 +1,20 @@
-"""Documents against a table of their fields: every violation with its path, level by level through the document.
+"""Documents against a table of their fields: every violation with its path.
 
-A document is a VARIANT. Each level's objects and arrays are exploded into their members, and a member goes on to the next level only if the
-table knows its path; so the work is one generator a level, without a shuffle, and as deep as the table. A member that the table doesn't
-know is named and not entered.
+Spark parses a document, which leaves out what isn't well-formed, and a task goes through it once, from the root down; a member is entered only if
+the table knows its path and it has the type named there. Documents are judged one by one, so there is no shuffle, and nothing is parsed again for a level.
 """
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import identity
 
@@ -72,36 +76,54 @@ FIELDS = {
         Field("populationCounts.occurrences", "integer", least=0, most=2**53 - 1),
     ],
 }
-VIOLATIONS = "array<struct<path:string,code:string>>"
 
 
-def depth(fields: list[Field]) -> int:
-    return max(f.path.replace("[]", ".[]").strip(".").count(".") + 1 if f.path else 0 for f in fields)
-
-
-def kind_of(v: Column) -> Column:
-    name = F.schema_of_variant(v)
-    plain = F.when(name == "STRING", "string").when(name == "BOOLEAN", "boolean").when(name.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "integer")
-    return plain.when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array").otherwise("other")
-
-
-def _table(spark: SparkSession, fields: list[Field]) -> DataFrame:
-    """(pattern, type, values, shape, least, most, key, wants): the table's rows, with the members that an object must have."""
-    parent = lambda p: p[:-2] if p.endswith("[]") else p.rpartition(".")[0] if "." in p else ""
-    wants = {f.path: [g.path.rpartition(".")[2] for g in fields if g.path and not g.path.endswith("[]") and g.required and parent(g.path) == f.path] for f in fields}
-    rows = [(f.path, f.type, list(f.values) if f.values else None, identity.SHAPES.get(f.shape or ""), f.least, f.most, f.key, wants[f.path]) for f in fields]
-    return spark.createDataFrame(rows, "pattern string, type string, values array<string>, shape string, least long, most long, key string, wants array<string>")
-
-
-def _order(v: Column, key: Column, keys: list[str]) -> Column:
-    """non-canonical-order or duplicate-identity of an array by one of a few members; members without it are passed over."""
-    ids = lambda k: F.array_compact(F.transform(F.variant_get(v, "$", "array<variant>"), lambda x: F.try_variant_get(x, f"$.{k}", "string")))
-    own = F.lit(None).cast("array<string>")
-    for k in keys:
-        own = F.when(key == k, ids(k)).otherwise(own)
-    pairs = F.arrays_zip(F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0))).alias("a"), F.slice(own, 2, F.size(own)).alias("b"))
-    some = lambda test: F.exists(pairs, test)
-    return F.when(some(lambda p: p["a"] > p["b"]), "non-canonical-order").when(some(lambda p: p["a"] == p["b"]), "duplicate-identity")
+class _Other(str):
+    """The text of a number that is no integer."""
+
+
+def _kind(v: object) -> str:
+    if isinstance(v, bool):
+        return "boolean"
+    if isinstance(v, int):
+        return "integer" if -(2**63) <= v < 2**63 else "other"
+    return {dict: "object", list: "array", str: "string"}.get(type(v), "other")
+
+
+def _order(items: list, key: str) -> str | None:
+    """non-canonical-order or duplicate-identity of an array by a member; elements without it are passed over."""
+    ids = [x[key] for x in items if isinstance(x, dict) and x.get(key) is not None]
+    ids = [str(x) if isinstance(x, str) else json.dumps(x, ensure_ascii=False, separators=(",", ":"), sort_keys=True) for x in ids]
+    pairs = list(zip(ids, ids[1:]))
+    return "non-canonical-order" if any(a > b for a, b in pairs) else "duplicate-identity" if any(a == b for a, b in pairs) else None
+
+
+def _checked(document: str, fields: dict[str, Field], wants: dict[str, list[str]], shapes: dict[str, re.Pattern]) -> Iterator[tuple[str, str]]:
+    """The violations (path, code) of one well-formed document."""
+    root, _ = json.JSONDecoder(parse_float=_Other).raw_decode(document.lstrip(" \t\r\n"))
+    nodes = [("", "", root)]
+    while nodes:
+        path, pattern, v = nodes.pop()
+        f, dot = fields.get(pattern), "." if path else ""
+        if f is None or f.type != _kind(v):
+            yield path, "schema-violation"
+        elif f.type == "object":
+            yield from ((f"{path}{dot}{w}", "schema-violation") for w in wants[pattern] if w not in v)
+            nodes += [(f"{path}{dot}{k}", f"{pattern}{dot}{k}", x) for k, x in v.items()]
+        else:
+            n = len(v) if f.type == "array" else v if f.type == "integer" else None
+            if f.values is not None and v not in f.values:
+                yield path, "schema-violation"
+            if f.shape and not shapes[f.shape].search(v):
+                yield path, "invalid-identifier"
+            if n is not None and (f.most is not None and n > f.most or f.type == "integer" and f.least is not None and n < f.least):
+                yield path, "limit-exceeded"
+            if f.type == "array":
+                if f.least is not None and n < f.least:
+                    yield path, "empty-collection"
+                if f.key and (code := _order(v, f.key)):
+                    yield path, code
+                nodes += [(f"{path}[{i}]", f"{pattern}[]", x) for i, x in enumerate(v)]
 
 
 def violations(docs: DataFrame, fields: list[Field]) -> DataFrame:
@@ -110,52 +132,32 @@ def violations(docs: DataFrame, fields: list[Field]) -> DataFrame:
     schema-violation for a member that the table doesn't know, a missing one, another type or value; invalid-identifier, limit-exceeded,
     empty-collection, non-canonical-order and duplicate-identity. A member of the wrong type is named once and not entered.
     """
-    spark, keys = docs.sparkSession, sorted({f.key for f in fields if f.key})
-    table = _table(spark, fields)
-    nodes = docs.select("id", F.lit("").alias("path"), F.lit("").alias("pattern"), F.try_parse_json("document").alias("v")).where("v is not null")
-    out = None
-    for _ in range(depth(fields) + 1):
-        known = nodes.join(F.broadcast(table), "pattern", "left").withColumn("is", kind_of(F.col("v")))
-        text, size = F.try_variant_get("v", "$", "string"), F.size(F.try_variant_get("v", "$", "array<variant>"))
-        number = F.try_variant_get("v", "$", "bigint")
-        held = F.json_object_keys(F.to_json("v"))
-        at = lambda code, test: F.when(F.coalesce(test, F.lit(False)), F.array(F.struct("path", F.lit(code).alias("code"))))
-        missing = F.transform(F.array_except("wants", F.coalesce(held, F.array().cast("array<string>"))), lambda w: F.struct(F.concat("path", F.when(F.col("path") == "", "").otherwise("."), w).alias("path"), F.lit("schema-violation").alias("code")))
-        order = _order(F.col("v"), F.col("key"), keys)
-        first = at("schema-violation", F.col("type").isNull() | (F.col("type") != F.col("is")))
-        rest = F.concat(
-            *[
-                F.coalesce(x, F.array().cast(VIOLATIONS))
-                for x in (
-                    F.when(F.col("type") == "object", missing),
-                    at("schema-violation", ~F.array_contains("values", text)),
-                    at("invalid-identifier", ~F.regexp_like(text, F.col("shape"))),
-                    at("limit-exceeded", F.when(F.col("type") == "array", size > F.col("most")).otherwise((number < F.col("least")) | (number > F.col("most")))),
-                    at("empty-collection", (F.col("type") == "array") & (size < F.col("least"))),
-                    F.when(F.col("key").isNotNull() & order.isNotNull(), F.array(F.struct("path", order.alias("code")))),
-                )
-            ]
-        )
-        found = known.select("id", F.explode(F.coalesce(first, rest)).alias("x")).select("id", "x.path", "x.code")
-        out = found if out is None else out.union(found)
-        inner = known.where("type = is and type in ('object', 'array')").select("id", "path", "pattern", "v", "type")
-        members = spark.sql("SELECT id, path, pattern, type, m.pos, m.key, m.value FROM {inner}, LATERAL variant_explode(v) AS m", inner=inner)
-        dot = F.when(F.col("pattern") == "", "").otherwise(".")
-        step = F.when(F.col("type") == "array", F.concat(F.lit("["), "pos", F.lit("]"))).otherwise(F.concat(dot, "key"))
-        kind = F.when(F.col("type") == "array", F.concat("pattern", F.lit("[]"))).otherwise(F.concat("pattern", dot, "key"))
-        nodes = members.select("id", F.concat("path", step).alias("path"), kind.alias("pattern"), F.col("value").alias("v"))
-    return out
+    parent = lambda p: p[:-2] if p.endswith("[]") else p.rpartition(".")[0] if "." in p else ""
+    wants = {f.path: [g.path.rpartition(".")[2] for g in fields if g.path and not g.path.endswith("[]") and g.required and parent(g.path) == f.path] for f in fields}
+    known, patterns = {f.path: f for f in fields}, {f.shape: identity.SHAPES[f.shape].replace(r"\z", r"\Z") for f in fields if f.shape}
+    schema = T.StructType([docs.schema["id"], T.StructField("path", T.StringType()), T.StructField("code", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes = {name: re.compile(p, re.ASCII) for name, p in patterns.items()}
+        for batch in batches:
+            told = [(i, *found) for i, doc in enumerate(batch["document"].to_pylist()) for found in _checked(doc, known, wants, shapes)]
+            at, paths, codes = (list(x) for x in zip(*told)) if told else ([], [], [])
+            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(at, pa.int64())), pa.array(paths, pa.string()), pa.array(codes, pa.string())], names=["id", "path", "code"])
+
+    return docs.select("id", "document").where(F.try_parse_json("document").isNotNull()).mapInArrow(run, schema)
 
 
 def artifact_defects(docs: DataFrame) -> DataFrame:
     """(id, path, code) of what an artifact's parts say of each other; docs (id, document) have no violation of the table.
 
+    Where docs have a column ``found``, the violations (path, code) of a document or null, those are given as they are; so the table is gone through once.
     Failures name scanners that are there, a scanner that didn't complete has a failure and a complete one none, and coverage adds up to the counts.
     """
     part = lambda path, kind: F.try_variant_get("v", f"$.{path}", kind)
-    rows = docs.select("id", F.try_parse_json("document").alias("v")).where("v is not null")
+    given = F.col("found") if "found" in docs.columns else F.lit(None).cast("array<struct<path:string,code:string>>")
+    rows = docs.select("id", given.alias("found"), F.try_parse_json("document").alias("v"))
     counts = "struct<authoredCases:bigint,variants:bigint,occurrences:bigint>"
-    rows = rows.select("id", part("scanners", "array<struct<id:string,status:string>>").alias("scanners"), part("failures", "array<struct<scannerId:string,code:string>>").alias("failures"), part("methodCoverage", "array<struct<cases:bigint,variants:bigint>>").alias("methods"), part("populationCounts", counts).alias("counts"))
+    rows = rows.select("id", "found", part("scanners", "array<struct<id:string,status:string>>").alias("scanners"), part("failures", "array<struct<scannerId:string,code:string>>").alias("failures"), part("methodCoverage", "array<struct<cases:bigint,variants:bigint>>").alias("methods"), part("populationCounts", counts).alias("counts"))
     ids, failed = F.transform("scanners", lambda s: s["id"]), F.transform("failures", lambda f: f["scannerId"])
     total = lambda c: F.aggregate(F.transform("methods", lambda m: m[c]), F.lit(0).cast("long"), lambda a, x: a + x)
     stray = F.transform(F.filter(F.transform("failures", lambda f, i: F.struct(f["scannerId"].alias("s"), i.alias("i"))), lambda x: ~F.array_contains(ids, x["s"])), lambda x: F.struct(F.format_string("failures[%d]", x["i"]).alias("path"), F.lit("unknown-scanner").alias("code")))
@@ -163,5 +165,5 @@ def artifact_defects(docs: DataFrame) -> DataFrame:
     n = F.col("counts")
     wrong = (total("cases") != n["authoredCases"]) | (total("variants") != n["variants"]) | (n["variants"] < n["authoredCases"]) | (n["occurrences"] < n["variants"])
     one = lambda test, path, code: F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(path).alias("path"), F.lit(code).alias("code")))
-    found = F.concat(stray, F.array_compact(F.array(one(torn, "failures", "status-inconsistent"), one(wrong, "populationCounts", "count-mismatch"))))
-    return rows.select("id", F.explode(found).alias("x")).select("id", "x.path", "x.code")
+    own = F.concat(stray, F.array_compact(F.array(one(torn, "failures", "status-inconsistent"), one(wrong, "populationCounts", "count-mismatch"))))
+    return rows.select("id", F.explode(F.coalesce("found", own)).alias("x")).select("id", "x.path", "x.code")
