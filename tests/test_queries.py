@@ -41,3 +41,16 @@ def test_entry_without_the_training_data_operators(monkeypatch):
     fresh = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(fresh)
     assert fresh.LLM is None and set(fresh.queries()) == set(fresh.QUERIES)
+
+
+def test_assessment_is_compiled(spark):
+    """The virtual machine never compiles methods over 8000 bytes; the assessment's had 9510, and each row was interpreted."""
+    import re
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = entry.queries()["outcome_matrix"](spark, FOLDER)._jdf.queryExecution().executedPlan()
+        text = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package").codegenString(plan)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", text))) < 8000
