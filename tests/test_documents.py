@@ -152,3 +152,17 @@ def test_older_accounting_by_hand(spark):
     assert tell(0, "benign-suppression-rate") == (0, 1, 1) and tell(legacy.ANY_ROW, "benign-suppression-rate") == (1, 1, 1)
     assert tell(0, "range-collateral-rate") == (0, 1, 1)
     assert {s for (s, _), r in got.items() if r["refused"]} == {s for s in range(8) if s & legacy.DISTINCT_BENIGN}
+
+
+def test_rows_of_one_key_spread_over_tasks(spark):
+    """All rows of a key used to go to one task where they meet its median."""
+    rows = spark.range(0, 1000, 1, 16).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("v"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = compare._beside(rows, spark.createDataFrame([("a", 1.0)], "k string, median double"), "k")
+        assert met.count() == 1000 and met.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [tuple(r) for r in compare.trials(rows, "k", "v").collect()] == [("a", 1000, 499.5, 250.0, 0.0, 999.0)]
