@@ -54,3 +54,17 @@ def test_assessment_is_compiled(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", text))) < 8000
+
+
+def test_assessment_moves_rows_by_the_case_alone(spark):
+    """Line items met variants by the case, occurrences by the variant and folds by the case again, each with a shuffle of all rows."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for name, value in conf.items():
+        spark.conf.set(name, value)
+    try:
+        plan = entry.queries()["projection_cells"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in conf:
+            spark.conf.unset(name)
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(moved) == 6 and not [line for line in moved if "variant_id" in line]
