@@ -87,3 +87,16 @@ def test_validators_and_references(spark):
         (None, "reference-unavailable", "review-required"),
         ("missing-reference", None, None),
     ]
+
+
+def test_a_roster_is_counted_in_one_aggregate(spark):
+    """Joins and aggregates of their own for each of eight defects held the cases several times in one task."""
+    make, sizes = spark.createDataFrame, "case_id long, view string"
+    cases = make([(i, None if i == 4 else "x") for i in range(6)], "case_id long, family string")
+    roster = make([(0, "v"), (1, "v"), (1, "w"), (9, "v"), (9, "v"), (4, "w")], sizes)
+    classes = make([(0, "d"), (0, "d"), (8, "d"), (None, "d")], "case_id long, control_class string")
+    out = projection.roster_defects(cases, roster, classes, ["v", "w"])
+    want = [("1", "duplicate-assignment"), *[("9", "unknown-case")] * 2, ("9", "duplicate-assignment"), *[(i, "unassigned-case") for i in "235"], ("4", "ambiguous-family"), ("0", "duplicate-control-assignment"), ("8", "unknown-control-case"), (None, "unknown-control-case")]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Aggregate") == 2
