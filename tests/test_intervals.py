@@ -55,3 +55,18 @@ def test_bins_do_not_change_outcomes(spark, monkeypatch):
     usual = [ask(q) for q in names]
     monkeypatch.setattr(intervals.overlapping, "__defaults__", (5,))
     assert [ask(q) for q in names] == usual
+
+
+def test_islands_are_sorted_once(spark):
+    """A second window in another order sorted all ranges again."""
+    from tallyspan.operators import compare
+
+    rows = [("a", 0, 5), ("a", 0, 5), ("a", 5, 9), ("a", 12, 14), ("a", 12, 12), ("b", 3, 4), ("b", 3, 4), ("c", 7, 7), ("c", 7, 7), ("c", 7, 9), ("d", 9, 3), ("d", 9, 3), ("d", 4, 6)]
+    out = compare.islands(spark.createDataFrame(rows, "k string, x long, y long"), "k", "x", "y")
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == [("a", 0, 9, 3), ("a", 12, 14, 2), ("b", 3, 4, 2), ("c", 7, 9, 3), ("d", 4, 6, 1), ("d", 9, 3, 1), ("d", 9, 3, 1)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert compare.islands(spark.createDataFrame(rows, "k string, x long, y long"), "k", "x", "y")._jdf.queryExecution().executedPlan().toString().count("Sort [k") == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
