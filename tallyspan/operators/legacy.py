@@ -78,14 +78,18 @@ def counts(rows: DataFrame) -> DataFrame:
     share = lambda s: F.when(s["review"], "unresolved").when(s["missing"], "not-measured").otherwise("numerator")
     told += [("measurable-share", 0, False, share(F.col("type"))), ("measurable-share", 0, False, F.when(F.col("open_mood"), "unresolved").otherwise(share(F.col("mood"))))]
 
-    one = lambda m, bit, on, b: F.struct(F.lit(m).alias("metric"), F.lit(bit).alias("bit"), F.lit(on).alias("on"), b.alias("bucket"))
-    stood = cases.select("scanner_id", F.explode(F.array(*[one(*t) for t in told])).alias("x")).select("scanner_id", "x.*")
-    n = lambda *names: F.count_if(F.col("bucket").isin(*names))
+    # cases that stand alike everywhere are counted before they are dealt into metrics, so that no row is repeated for each of them
+    several = (F.col("method") == "pii-benign") & (F.col("n") > 1)
+    stands = [f"stand{i}" for i in range(len(told))]
+    alike = cases.select("scanner_id", several.alias("several"), *[t[-1].alias(c) for c, t in zip(stands, told)]).groupBy("scanner_id", "several", *stands).agg(F.count("*").alias("cases"))
+    one = lambda m, bit, on, b: F.struct(F.lit(m).alias("metric"), F.lit(bit).alias("bit"), F.lit(on).alias("on"), F.col(b).alias("bucket"))
+    stood = alike.select("scanner_id", "cases", F.explode(F.array(*[one(*t[:-1], c) for c, t in zip(stands, told)])).alias("x")).select("scanner_id", "cases", "x.*")
+    n = lambda *names: F.sum(F.when(F.col("bucket").isin(*names), F.col("cases")).otherwise(0))
     tallied = stood.groupBy("scanner_id", "metric", "bit", "on").agg(
         n("numerator", "other", "unresolved", "not-measured").alias("eligible"), n("numerator", "other").alias("measured"), n("numerator").alias("numerator"),
-        n("unresolved").alias("unresolved"), n("not-measured").alias("not_measured"), n("not-applicable").alias("not_applicable"), F.count("bucket").alias("total"),
+        n("unresolved").alias("unresolved"), n("not-measured").alias("not_measured"), n("not-applicable").alias("not_applicable"), F.sum(F.when(F.col("bucket").isNotNull(), F.col("cases")).otherwise(0)).alias("total"),
     )
-    mixed = cases.groupBy("scanner_id").agg(F.coalesce(F.bool_or((F.col("method") == "pii-benign") & (F.col("n") > 1)), F.lit(False)).alias("mixed"))
+    mixed = alike.groupBy("scanner_id").agg(F.coalesce(F.bool_or("several"), F.lit(False)).alias("mixed"))
     settings = tallied.withColumn("switches", F.explode(F.array(*map(F.lit, EVERY_SETTING))))
     settings = settings.where((F.col("bit") == 0) | ((F.col("switches").bitwiseAND(F.col("bit")) > 0) == F.col("on"))).join(mixed, "scanner_id")
     refused = F.col("mixed") & (F.col("switches").bitwiseAND(F.lit(DISTINCT_BENIGN)) > 0)
