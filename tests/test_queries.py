@@ -68,3 +68,9 @@ def test_assessment_moves_rows_by_the_case_alone(spark):
             spark.conf.unset(name)
     moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert len(moved) == 6 and not [line for line in moved if "variant_id" in line]
+
+
+@pytest.mark.parametrize("name", ["explained_differences", "compare_metrics"])
+def test_metrics_that_are_read_twice_are_worked_out_once(spark, name):
+    read = entry.queries()[name](spark, FOLDER).inputFiles()
+    assert read and not [f for f in read if "lineitem" in f]
