@@ -377,7 +377,7 @@ FROM (SELECT * REPLACE (CASE WHEN metric = 'sensitive-miss-rate' THEN numerator
 LEFT JOIN lcounts n ON n.scanner_id = o.scanner_id AND n.metric = o.metric AND NOT n.refused AND {_SAME} GROUP BY ALL""", _LEGACY_SQL))
 def explained_differences(spark: SparkSession, d: str) -> DataFrame:
     """Figures of the setting 5, one metric of which no setting explains."""
-    found = _older(Of(spark, d))
+    found = staging.kept(_older(Of(spark, d)), "older")
     more = F.when(F.col("metric") == "sensitive-miss-rate", 1).otherwise(0)
     return legacy.explained(found, found.where("switches = 5").withColumn("numerator", F.col("numerator") + more))
 
