@@ -87,3 +87,12 @@ def test_every_cell(spark):
     for code, (axis, value, where) in broken.items():
         bad = verify.lattice(rows.where(where).withColumn(axis, F.lit(value)))
         assert {r.code for r in bad.where("cap_jurisdiction <> 'unsupported'").collect()} == {code}
+
+
+def test_findings_are_gone_through_once_for_all_scanners(spark):
+    """The findings of a case were copied and filtered again for each scanner."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["public_outcomes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, crossing, below = plan.partition("Join")
+    assert crossing and "lambda" not in above and "lambda" in below
