@@ -20,7 +20,13 @@ MOST_SAFE, MOST_SCALE = 2**53 - 1, 12
 
 def preimage(*fields: Column) -> Column:
     """Binary: each field as its byte length in four bytes, the highest first, and its bytes."""
-    one = lambda f: F.concat(F.unhex(F.lpad(F.hex(F.octet_length(f)), 8, "0")), F.encode(f, "UTF-8"))
+
+    def one(f: Column) -> Column:
+        n = F.octet_length(f)
+        # most fields are short, and a length below 128 is a byte that is a character too
+        length = F.when(n < 128, F.concat(F.lit(bytes(3)), F.char(n).cast("binary"))).otherwise(F.unhex(F.lpad(F.hex(n), 8, "0")))
+        return F.concat(length, f.cast("string").cast("binary"))
+
     return F.concat(*map(one, fields))
 
 
