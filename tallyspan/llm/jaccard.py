@@ -239,22 +239,36 @@ def _within(percent: int):
     return run
 
 
-def across(stars: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int, folder: str) -> DataFrame:
+def crossing(stars: DataFrame, pairs: DataFrame, signers: DataFrame, folder: str) -> DataFrame:
+    """The rows of stars whose signature has holders in different groups, as it has if a row's own ends are.
+
+    pairs: the distinct (id, lead) of stars, signers: (id, label). Only pairs meet labels, and bitmaps drop most other rows before the shuffle.
+    """
+    labels = signers.select("id", "label")
+    ends = cut(pairs.join(labels, "id"), folder)
+    ends = salted(ends, labels.select(F.col("id").alias("lead"), F.col("label").alias("lead_label")), "lead").where("label <> lead_label")
+    ends = cut(ends.select("id", "lead", F.xxhash64("id", "lead").alias("pair")), folder)
+    met = keep_likely(stars.withColumn("pair", F.xxhash64("id", "lead")), "pair", ends.select("pair")).join(ends.select("id", "lead"), ["id", "lead"], "left_semi")
+    crossed = cut(met.select("sig").distinct(), folder)
+    return salted(cut(keep_likely(stars, "sig", crossed), folder), crossed, "sig").select("sig", "id", "lead")
+
+
+def across(stars: DataFrame, pairs: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int, folder: str) -> DataFrame:
     """Distinct pairs (a, b), a > b, of heads of different groups that share signatures and may be similar.
 
-    stars: (sig, id, lead), nodes: (id, head, n, sketch, need_even, need_odd), groups: (node, label). A member of different
+    stars: (sig, id, lead), pairs: its distinct (id, lead), nodes: (id, head, n, sketch, need_even, need_odd), groups: (node, label). A member of different
     groups' signatures stays for the bands in which it has them in as many ranges as it must agree in. The m members of a
     lead are dealt into ceil(m / BLOCK) blocks, and every pair of blocks is a unit of about 2 * BLOCK rows at most.
     """
-    members = stars.select("sig", "id").union(stars.select("sig", F.col("lead").alias("id"))).distinct()
-    signers = stars.select("id").union(stars.select("lead")).distinct()
+    signers = pairs.select("id").union(pairs.select("lead")).distinct()
     signers = cut(nodes.select("id", "head", "need_even", "need_odd").join(signers, "id", "left_semi"), folder)
     labels = groups.select(F.col("node").alias("head"), "label")
     signers = cut(salted(signers, labels, "head", "left").select("id", "head", F.coalesce("label", "head").alias("label"), "need_even", "need_odd"), folder)
-    members = cut(members.join(signers, "id").select("sig", "head", "label", "need_even", "need_odd").distinct(), folder)
+    stars = cut(crossing(stars, pairs, signers, folder), folder)
+    members = stars.select("sig", "id").union(stars.select("sig", F.col("lead").alias("id"))).distinct()
+    members = members.join(signers, "id").select("sig", "head", "label", "need_even", "need_odd").distinct()
+    members = cut(members.withColumn("parity", F.expr(PARITY)), folder)
 
-    crossed = members.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig")
-    members = cut(salted(members, crossed, "sig").withColumn("parity", F.expr(PARITY)), folder)
     agreed = members.select("head", "parity", F.expr(RANGE).alias("range"), "need_even", "need_odd").distinct()
     agreed = agreed.groupBy("head", "parity").agg(F.count("*").alias("ranges"), F.max(F.when(F.col("parity") == 0, F.col("need_even")).otherwise(F.col("need_odd"))).alias("need"))
     members = cut(members.join(agreed.where("ranges >= need").select("head", "parity"), ["head", "parity"], "left_semi").select("sig", "head", "label"), folder)
@@ -294,10 +308,11 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
         rest = F.expr("transform(coalesce(more, array()), x -> struct(x as id, id as lead))")
         stars = cut(signed.select("sig", F.explode(F.concat(own, rest)).alias("star")).select("sig", "star.id", "star.lead"), folder)
 
-        pairs = cut(alike(stars.select("id", "lead").distinct(), nodes, percent, folder), folder)
+        leads = cut(stars.select("id", "lead").distinct(), folder)
+        pairs = cut(alike(leads, nodes, percent, folder), folder)
         links = cut(verified(pairs, with_id, size, percent, folder), folder)
         groups = components(links, folder)
-        pairs = cut(across(stars, nodes, groups, percent, folder).join(pairs, ["a", "b"], "left_anti"), folder)
+        pairs = cut(across(stars, leads, nodes, groups, percent, folder).join(pairs, ["a", "b"], "left_anti"), folder)
         more = cut(verified(pairs, with_id, size, percent, folder), folder)
         if not more.isEmpty():
             groups = components(links.union(more), folder)

@@ -251,3 +251,15 @@ def test_digests(spark):
         raw = docs[r.doc_id].encode()
         raw += b" " * (-len(raw) % 192 if raw else 192)
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), sha256(raw).hexdigest(), zlib.crc32(raw[-16:]))
+
+
+def test_signatures_within_a_group_move_no_further(spark, tmp_path):
+    """All holders of signatures were shuffled to find those that are in different groups; a signature has such holders if one of its rows has."""
+    from tallyspan.llm import jaccard
+
+    stars = [(10, 2, 1), (10, 3, 1), (11, 2, 1), (12, 4, 1), (12, 2, 1), (13, 4, 3), (14, 5, 4), (15, 6, 5), (15, 5, 4)]
+    labels = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
+    table = spark.createDataFrame(stars, "sig long, id long, lead long")
+    signers = spark.createDataFrame(list(labels.items()), "id long, label long")
+    got = jaccard.crossing(jaccard.cut(table, str(tmp_path)), table.select("id", "lead").distinct(), signers, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(12, 2, 1), (12, 4, 1), (13, 4, 3), (15, 5, 4), (15, 6, 5)]
