@@ -82,12 +82,36 @@ class _Other(str):
     """The text of a number that is no integer."""
 
 
+class _Part(NamedTuple):
+    """A field of the table with the fields of its members, or of its elements, and its shape's pattern."""
+
+    field: Field
+    members: dict[str, _Part]
+    wants: list[str]
+    shape: re.Pattern | None
+
+
+def _parts(fields: list[Field]) -> _Part:
+    """The table as a tree, from the root down; the elements of an array are its member []."""
+    made: dict[str, _Part] = {}
+    for f in fields:
+        shape = re.compile(identity.SHAPES[f.shape].replace(r"\z", r"\Z"), re.ASCII) if f.shape else None
+        made[f.path] = _Part(f, {}, [], shape)
+    for f in fields:
+        if f.path:
+            parent, name = (f.path[:-2], "[]") if f.path.endswith("[]") else f.path.rpartition(".")[::2]
+            made[parent].members[name] = made[f.path]
+            if f.required and name != "[]":
+                made[parent].wants.append(name)
+    return made[""]
+
+
+_KINDS = {bool: "boolean", int: "integer", dict: "object", list: "array", str: "string"}
+
+
 def _kind(v: object) -> str:
-    if isinstance(v, bool):
-        return "boolean"
-    if isinstance(v, int):
-        return "integer" if -(2**63) <= v < 2**63 else "other"
-    return {dict: "object", list: "array", str: "string"}.get(type(v), "other")
+    kind = _KINDS.get(type(v), "other")
+    return "other" if kind == "integer" and not -(2**63) <= v < 2**63 else kind
 
 
 def _order(items: list, key: str) -> str | None:
@@ -98,32 +122,34 @@ def _order(items: list, key: str) -> str | None:
     return "non-canonical-order" if any(a > b for a, b in pairs) else "duplicate-identity" if any(a == b for a, b in pairs) else None
 
 
-def _checked(document: str, fields: dict[str, Field], wants: dict[str, list[str]], shapes: dict[str, re.Pattern]) -> Iterator[tuple[str, str]]:
-    """The violations (path, code) of one well-formed document."""
-    root, _ = json.JSONDecoder(parse_float=_Other).raw_decode(document.lstrip(" \t\r\n"))
-    nodes = [("", "", root)]
-    while nodes:
-        path, pattern, v = nodes.pop()
-        f, dot = fields.get(pattern), "." if path else ""
-        if f is None or f.type != _kind(v):
-            yield path, "schema-violation"
-        elif f.type == "object":
-            yield from ((f"{path}{dot}{w}", "schema-violation") for w in wants[pattern] if w not in v)
-            nodes += [(f"{path}{dot}{k}", f"{pattern}{dot}{k}", x) for k, x in v.items()]
-        else:
-            n = len(v) if f.type == "array" else v if f.type == "integer" else None
-            if f.values is not None and v not in f.values:
-                yield path, "schema-violation"
-            if f.shape and not shapes[f.shape].search(v):
-                yield path, "invalid-identifier"
-            if n is not None and (f.most is not None and n > f.most or f.type == "integer" and f.least is not None and n < f.least):
-                yield path, "limit-exceeded"
-            if f.type == "array":
-                if f.least is not None and n < f.least:
-                    yield path, "empty-collection"
-                if f.key and (code := _order(v, f.key)):
-                    yield path, code
-                nodes += [(f"{path}[{i}]", f"{pattern}[]", x) for i, x in enumerate(v)]
+def _visit(v: object, part: _Part | None, path: str, told: list[tuple[str, str]]) -> None:
+    """Add the violations (path, code) of a value and of what it holds. A table's depth bounds the recursion."""
+    f, kind = part and part.field, _kind(v)
+    if f is None or f.type != kind:
+        told.append((path, "schema-violation"))
+    elif kind == "object":
+        before = f"{path}." if path else ""
+        for name in part.wants:
+            if name not in v:
+                told.append((before + name, "schema-violation"))
+        for name, x in v.items():
+            _visit(x, part.members.get(name), before + name, told)
+    else:
+        if f.values is not None and v not in f.values:
+            told.append((path, "schema-violation"))
+        if part.shape and not part.shape.search(v):
+            told.append((path, "invalid-identifier"))
+        n = len(v) if kind == "array" else v if kind == "integer" else None
+        if n is not None and (f.most is not None and n > f.most or kind == "integer" and f.least is not None and n < f.least):
+            told.append((path, "limit-exceeded"))
+        if kind == "array":
+            if f.least is not None and n < f.least:
+                told.append((path, "empty-collection"))
+            if f.key and (code := _order(v, f.key)):
+                told.append((path, code))
+            items = part.members.get("[]")
+            for i, x in enumerate(v):
+                _visit(x, items, f"{path}[{i}]", told)
 
 
 def violations(docs: DataFrame, fields: list[Field]) -> DataFrame:
@@ -131,20 +157,24 @@ def violations(docs: DataFrame, fields: list[Field]) -> DataFrame:
 
     schema-violation for a member that the table doesn't know, a missing one, another type or value; invalid-identifier, limit-exceeded,
     empty-collection, non-canonical-order and duplicate-identity. A member of the wrong type is named once and not entered.
+    What isn't well-formed becomes null and is left out by the task: a filter would move below a shuffle of the documents, to the few tasks that read them.
     """
-    parent = lambda p: p[:-2] if p.endswith("[]") else p.rpartition(".")[0] if "." in p else ""
-    wants = {f.path: [g.path.rpartition(".")[2] for g in fields if g.path and not g.path.endswith("[]") and g.required and parent(g.path) == f.path] for f in fields}
-    known, patterns = {f.path: f for f in fields}, {f.shape: identity.SHAPES[f.shape].replace(r"\z", r"\Z") for f in fields if f.shape}
     schema = T.StructType([docs.schema["id"], T.StructField("path", T.StringType()), T.StructField("code", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes = {name: re.compile(p, re.ASCII) for name, p in patterns.items()}
+        root, read = _parts(fields), json.JSONDecoder(parse_float=_Other).raw_decode
         for batch in batches:
-            told = [(i, *found) for i, doc in enumerate(batch["document"].to_pylist()) for found in _checked(doc, known, wants, shapes)]
-            at, paths, codes = (list(x) for x in zip(*told)) if told else ([], [], [])
+            at: list[int] = []
+            told: list[tuple[str, str]] = []
+            for i, document in enumerate(batch["document"].to_pylist()):
+                if document is not None:
+                    _visit(read(document.lstrip(" \t\r\n"))[0], root, "", told)
+                    at += [i] * (len(told) - len(at))
+            paths, codes = zip(*told) if told else ((), ())
             yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(at, pa.int64())), pa.array(paths, pa.string()), pa.array(codes, pa.string())], names=["id", "path", "code"])
 
-    return docs.select("id", "document").where(F.try_parse_json("document").isNotNull()).mapInArrow(run, schema)
+    well_formed = F.when(F.try_parse_json("document").isNotNull(), F.col("document"))
+    return docs.select("id", well_formed.alias("document")).mapInArrow(run, schema)
 
 
 def artifact_defects(docs: DataFrame) -> DataFrame:
