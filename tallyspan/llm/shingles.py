@@ -17,6 +17,8 @@ U = np.uint64
 BATCH_BYTES = 1 << 18
 #: Ranges that a signature tells apart, and the bits for them and the parity of a band.
 RANGES, PLACE = 1 << 12, 13
+#: Ranges that two similar sets agree in among those that they sign, where they have as many.
+AGREE = 4
 #: Fewest cells of a sketch.
 SKETCH_BITS = 512
 
@@ -102,18 +104,18 @@ class PartEnum:
     """Signatures such that any two sets with intersection / union >= percent / 100 share one.
 
     Set sizes fall into bands that grow by ``growth``. Within a band the largest symmetric difference of two similar
-    sets is at most ``k``. The 64-bit feature domain is cut into ``n1`` equal ranges of three parts each. Every range
-    that holds at most one difference has two parts without any, so each of the three pairs of parts is one signature:
-    the hash of the elements that fall in it. With n1 > k // 2 some range holds at most one difference, so similar
-    sets agree on at least one signature. A set near the next band's lower end signs there as well.
-
-    Pairs of parts without elements would put unrelated sets together. A set is safe when more than k // 2 of its ranges
-    have elements in two parts: a similar set then shares a signature that isn't empty. Only sets that aren't safe also
-    sign their empty pairs, so nothing is lost.
+    sets is at most ``k``. The 64-bit feature domain is cut into ``n1`` > k equal ranges, and the elements that fall in a
+    range are one signature; a difference spoils one range at most, so similar sets agree on at least one signature.
+    A set near the next band's lower end signs there as well.
 
     Mostly more than one signature agrees: a set differs from any similar one of the band by a number d <= k that depends on
-    its size. Of its ranges with elements in two parts at most d // 2 hold two differences, and each of the others agrees
-    on a signature. ``needs`` gives that least number of agreeing ranges.
+    its size, so of its ranges with elements all but d agree. Of these ranges AGREE are enough: a set with more leaves out
+    as many of the last ranges as it has more. Of two similar sets the one that leaves out more still has AGREE of its agreeing
+    ranges among the rest, which the other signs too, so nothing is lost.
+
+    Ranges without elements would put unrelated sets together. Only sets that may have no agreeing range with elements sign
+    them; if both of two similar sets may, both sign all ranges.
+    ``needs`` gives the least number of agreeing ranges among those that are signed.
     The lowest PLACE bits of a signature name its band's parity and its range, so that agreeing ranges can be counted.
     """
 
@@ -135,7 +137,7 @@ class PartEnum:
             total = np.arange(2, 2 * high + 1)
             k = int(most_apart(total, self.percent).max())
             self.k.append(k)
-            need = k // 2 + 1
+            need = k + 1
             self.n1.append(need if need <= 2 else int(np.ceil(need * self.spare)))
             self.low.append(high + 1)
 
@@ -153,14 +155,20 @@ class PartEnum:
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[own], n)
             yield b, own, at, np.repeat(np.arange(len(own)), n)
 
-    def _parts(self, b: int, features: np.ndarray, local: np.ndarray) -> np.ndarray:
-        """The part of each element, numbered through the sets of a band."""
-        width = 3 * self.n1[b]
+    def _ranges(self, b: int, features: np.ndarray, local: np.ndarray) -> np.ndarray:
+        """The range of each element, numbered through the sets of a band."""
+        width = self.n1[b]
         return (((features >> U(32)) * U(width)) >> U(32)).astype(np.int64) + local * width
 
+    def _agreeing(self, b: int, sizes: np.ndarray, full: np.ndarray) -> np.ndarray:
+        """How many ranges with elements each set at least shares with any similar set of the band; not above zero where there may be none."""
+        total = sizes + np.minimum(self.low[b + 1] - 1, 100 * sizes // self.percent)
+        return full.sum(axis=1) - np.minimum(self.k[b], total * (100 - self.percent) // (100 + self.percent))
+
     def signatures(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """All signatures of a batch of sorted sets, and the index of the set that each belongs to."""
         flat = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)])
+        sizes = np.array([len(s) for s in sets], dtype=np.int64)
         order = mix(flat ^ U(0xD6E8FEB86659FD93))
         sigs, owners = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
         for b, own, at, local in self._bands(sets):
@@ -171,22 +179,20 @@ class PartEnum:
                 owners.append(own)
                 continue
             n1 = self.n1[b]
-            part = self._parts(b, flat[at], local)
-            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            sums = np.zeros(len(own) * 3 * n1, dtype=np.uint64)
-            sums[part[first]] = np.add.reduceat(order[at], first)
+            place = self._ranges(b, flat[at], local)
+            first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            sums = np.zeros(len(own) * n1, dtype=np.uint64)
+            sums[place[first]] = np.add.reduceat(order[at], first)
             full = np.zeros(len(sums), bool)
-            full[part[first]] = True
-            sums, full = sums.reshape(-1, n1, 3), full.reshape(-1, n1, 3)
-            safe = (full.sum(axis=2) >= 2).sum(axis=1) > self.k[b] // 2
+            full[place[first]] = True
+            sums, full = sums.reshape(-1, n1), full.reshape(-1, n1)
+            agree = self._agreeing(b, sizes[own], full)
             ranges = np.arange(n1, dtype=np.uint64)
-            place = parity | (ranges & U(RANGES - 1))
-            for i, (x, y) in enumerate(((0, 1), (0, 2), (1, 2))):
-                key = mix(ranges * U(4) + U(i) + (U(b + 1) << U(32)))
-                sign = _placed(mix((sums[:, :, x] + U(1)) * U(0xD1342543DE82EF95) + mix(sums[:, :, y] + U(2)) + key), place)
-                live = full[:, :, x] | full[:, :, y] | ~safe[:, None]
-                sigs.append(sign[live])
-                owners.append(own[np.nonzero(live)[0]])
+            key = mix(ranges * U(4) + (U(b + 1) << U(32)))
+            sign = _placed(mix((sums + U(1)) * U(0xD1342543DE82EF95) + key), parity | (ranges & U(RANGES - 1)))
+            live = (full | (agree < 1)[:, None]) & (np.arange(n1) < (n1 - np.maximum(0, agree - AGREE))[:, None])
+            sigs.append(sign[live])
+            owners.append(own[np.nonzero(live)[0]])
         return np.concatenate(sigs), np.concatenate(owners)
 
     def needs(self, sets: list[np.ndarray]) -> np.ndarray:
@@ -197,11 +203,9 @@ class PartEnum:
         for b, own, at, local in self._bands(sets):
             if self.k[b]:
                 n1 = self.n1[b]
-                full = np.zeros(len(own) * 3 * n1, bool)
-                full[self._parts(b, flat[at], local)] = True
-                total = sizes[own] + np.minimum(self.low[b + 1] - 1, 100 * sizes[own] // self.percent)
-                apart = np.minimum(self.k[b], total * (100 - self.percent) // (100 + self.percent))
-                agree = (full.reshape(-1, n1, 3).sum(axis=2) >= 2).sum(axis=1) - apart // 2
+                full = np.zeros(len(own) * n1, bool)
+                full[self._ranges(b, flat[at], local)] = True
+                agree = np.minimum(AGREE, self._agreeing(b, sizes[own], full.reshape(-1, n1)))
                 out[own, b & 1] = np.maximum(1, -(-agree // -(-n1 // RANGES)))
         return out
 

@@ -263,3 +263,33 @@ def test_signatures_within_a_group_move_no_further(spark, tmp_path):
     signers = spark.createDataFrame(list(labels.items()), "id long, label long")
     got = jaccard.crossing(jaccard.cut(table, str(tmp_path)), table.select("id", "lead").distinct(), signers, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == [(12, 2, 1), (12, 4, 1), (13, 4, 3), (15, 5, 4), (15, 6, 5)]
+
+
+def test_similar_sets_agree_in_as_many_signed_ranges_as_each_needs():
+    """The pipeline's shuffle of signatures: a set used to sign three times for every range of its band, more than its own size calls for."""
+    from tallyspan.llm import shingles
+
+    rng = np.random.default_rng(5)
+    for percent in (50, 80, 85, 100):
+        scheme = shingles.PartEnum(percent)
+        for n in [*range(1, 40), *rng.integers(40, 1500, 60).tolist()]:
+            # hashes below 2^63 leave half of the ranges empty
+            top = 2**63 if n % 2 else 2**64
+            one = np.unique(rng.integers(0, top, n, dtype=np.uint64))
+            sets = [one]
+            for lost in range(0, n - -(-percent * n // 100) + 1, max(1, n // 50)):
+                # as many elements are lost and added as similar sets may differ in
+                kept = rng.permutation(one)[: n - lost]
+                more = max(0, 100 * len(kept) // percent - n)
+                sets.append(np.unique(np.concatenate([kept, rng.integers(0, top, more, dtype=np.uint64)])))
+            sign, owner = scheme.signatures(sets)
+            needs = scheme.needs(sets)
+            of = [set(sign[owner == i].tolist()) for i in range(len(sets))]
+            for i in range(1, len(sets)):
+                met = of[0] & of[i]
+                for parity in (0, 1):
+                    ranges = {s & (shingles.RANGES - 1) for s in met if (s >> (shingles.PLACE - 1)) & 1 == parity}
+                    assert not ranges or len(ranges) >= max(1, min(needs[0, parity], needs[i, parity]))
+                assert met
+            if n > 100 and n % 2 == 0 and percent >= 80:
+                assert len(of[0]) <= 2 * (1.1 * n * (100 / percent - 1) + 4)
