@@ -49,7 +49,8 @@ def test_documents_are_parsed_after_they_are_dealt(spark):
 
     plan = exchanges.typed_observations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     at = plan.index("RepartitionByExpression")
-    assert "parse_json" in plan[:at] and "parse_json" not in plan[at:]
+    made, dealt = plan[:at], plan[at:]
+    assert "concat(" in made and "concat(" not in dealt
 
 
 def test_names_that_look_like_paths_are_unknown(spark):
