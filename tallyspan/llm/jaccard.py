@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: exact similarity links and groups of word-shingle sets, found by PartEnum signatures.
+"""N-gram Jaccard join: exact similarity links and groups of word-shingle sets, found by signatures of ranges of their hashes.
 
 1. One pass gives each document's set size, fingerprint, parity sketch and the number of signature ranges in which it must
    agree with any similar set (``shingles``). Equal sets are grouped by fingerprint, with the smallest id as their head.
